@@ -60,5 +60,83 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count_of(spans, k).alias(f"n_{k}") for k in kinds], F.sha2(base, 256).alias("base_sha256"), spans_text(spans).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_best_fit, op4_secrets, op10_personal)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_digits, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits(F.col("simhash")).alias("fingerprint"), "component_id")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = score(docs, model).drop("text")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import containment, fingerprint, likeness, sketch, with_next
+
+    docs = with_next(table(spark, sf_dir, "documents"))
+    n = F.char_length("text")
+    edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 2)).cast("int")), F.coalesce(F.col("next_part"), F.lit("")))
+    made = docs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
+    made = made.withColumn("edited_sketch", sketch(F.col("edited")))
+    own, other = F.col("sketch"), F.col("edited_sketch")
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(other).alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"), likeness(own, F.col("next_sketch")).alias("near_next"), containment(own, other).alias("contained_in_edited"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS r FROM v),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE a.r > 0 AND b.r > 0 AND list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.98
+        ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+        deg AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+        SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+        FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id
+    """,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+            list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+                (('0x' || substr(p.h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN f ON p.h = f.h
+    """,
+}
