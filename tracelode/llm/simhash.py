@@ -31,6 +31,8 @@ WORDS = 4
 SEED = 42
 #: Rows of one table slot that are compared with each other at once.
 BLOCK = 1024
+#: Owners of a slot up to which their links are all written.
+FEW = 16
 #: Distinct fingerprints up to which three segments keep the slots of a table sparse; beyond it there are two.
 THREE_SEGMENTS = 1 << 27
 
@@ -40,8 +42,28 @@ _upper = {c: c + 32 for c in range(65, 91)}
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(texts: list[str], size: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """The majority of each bit over the hashes of a text's shingles."""
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The majority of each bit over each ``counts`` (1 or more) hashes."""
+    # bits are counted in bytes, over up to 255 hashes, and those counts are added up
+    parts = -(-counts // 255)
+    owner = np.repeat(np.arange(len(counts)), parts)
+    starts = np.cumsum(counts) - counts
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at = starts[owner] + 255 * within
+    small = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], at, axis=0).view(np.uint8).reshape(len(at), 64)
+    sums = np.add.reduceat(small.astype(np.int64), np.cumsum(parts) - parts, axis=0)
+    return np.packbits((2 * sums > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+def fingerprints(texts: list[str], size: int = WORDS, seed: int = SEED, wide: bool = False) -> np.ndarray:
+    """The majority of each bit over the hashes of a text's shingles; if ``wide``, a second row holds 64 further bits."""
     from xxhash import xxh64_intdigest as digest
 
     hashes: list[int] = []
@@ -61,34 +83,26 @@ def fingerprints(texts: list[str], size: int = WORDS, seed: int = SEED) -> np.nd
         stop = (ends[size - 1 :] - 1).tolist()
         hashes += [digest(whole[a:b], seed) for a, b in zip(begin, stop, strict=True)]
         counts[k] = len(begin)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((1 + wide, len(texts)), np.uint64)
     some = np.flatnonzero(counts)
-    if not len(some):
-        return out
-    h = np.array(hashes, np.uint64)
-    # bits are counted in bytes, over up to 255 hashes, and those counts are added up
-    parts = -(-counts[some] // 255)
-    owner = np.repeat(np.arange(len(some)), parts)
-    starts = np.cumsum(counts[some]) - counts[some]
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    at = starts[owner] + 255 * within
-    small = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], at, axis=0).view(np.uint8).reshape(len(at), 64)
-    sums = np.add.reduceat(small.astype(np.int64), np.cumsum(parts) - parts, axis=0)
-    bits = (2 * sums > counts[some][:, None]).astype(np.uint8)
-    out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    if len(some):
+        h = np.array(hashes, np.uint64)
+        out[0, some] = majority(h, counts[some])
+        if wide:
+            out[1, some] = majority(spread(h), counts[some])
+    return out if wide else out[0]
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "simhash", size: int = WORDS, seed: int = SEED) -> DataFrame:
-    """Add ``out_col``, the 64 bits as a (signed) long."""
+def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "simhash", size: int = WORDS, seed: int = SEED, wide: bool = False) -> DataFrame:
+    """Add ``out_col``, the 64 bits as a (signed) long; if ``wide``, also ``out_col``_more, 64 further bits."""
 
     def make():
         def run(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
-            return [pa.array(fingerprints(texts, size, seed).view(np.int64))]
+            return [pa.array(x) for x in np.atleast_2d(fingerprints(texts, size, seed, wide)).view(np.int64)]
 
         return run
 
-    return map_texts(df, text_col, [field(out_col, "long")], make)
+    return map_texts(df, text_col, [field(out_col, "long"), *[field(f"{out_col}_more", "long")] * wide], make)
 
 
 def plan(segments: int, bits: int) -> list[tuple[int, int, int]]:
@@ -99,7 +113,7 @@ def plan(segments: int, bits: int) -> list[tuple[int, int, int]]:
 
 
 def probes(prints: DataFrame, segments: int, bits: int) -> DataFrame:
-    """Rows (seg, slot, probe, fp, node): each fingerprint's own slot, and those that it looks up."""
+    """Rows (seg, slot, probe, fp, more, node): each fingerprint's own slot, and those that it looks up."""
     steps = [(s, shift, width, radius) for s, (shift, width, radius) in enumerate(plan(segments, bits)) if radius >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,29 +133,38 @@ def probes(prints: DataFrame, segments: int, bits: int) -> DataFrame:
                             probe.append(np.full(len(at), n > 0))
                             row.append(at)
                 at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seg)), pa.array(np.concatenate(slot)), pa.array(np.concatenate(probe)), b.column(0).take(at), b.column(1).take(at)], names=["seg", "slot", "probe", "fp", "node"])
-
-    return prints.select("fp", "node").mapInArrow(run, "seg byte, slot long, probe boolean, fp long, node long")
-
-
-def verify(rows: DataFrame, bits: int) -> DataFrame:
-    """Links (a, b) within each block pair that connect all fingerprints of it that are linked."""
-
-    def links(fp: np.ndarray, node: np.ndarray, probe: np.ndarray, side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-        def near(i: int, rest: np.ndarray) -> np.ndarray:
-            hit = np.bitwise_count(fp[rest] ^ fp[i]) <= bits
-            return hit & (side[rest] != side[i]) if cross else hit
-
-        return [(int(node[i]), int(node[j])) for i, j in forest(len(fp), near)]
-
-    def small(fp: np.ndarray, start: np.ndarray, n: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
-        """All groups of up to 8 rows at once: each row against the next ones."""
-        out = []
-        owner = np.repeat(np.arange(len(start)), n)
-        for step in range(1, 8):
-            i = np.flatnonzero(owner[step:] == owner[:-step])
-            hit = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= bits]
-            out += list(zip(node[hit].tolist(), node[hit + step].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seg)), pa.array(np.concatenate(slot)), pa.array(np.concatenate(probe)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["seg", "slot", "probe", "fp", "more", "node"])
+
+    return prints.select("fp", "more", "node").mapInArrow(run, "seg byte, slot long, probe boolean, fp long, more long, node long")
+
+
+def verify(rows: DataFrame, bits: int, more_bits: int = 64) -> DataFrame:
+    """Links (a, b) within each block pair that connect all fingerprints of it that are linked.
+
+    A slot with few owners gives each owner's links to the rows that look it up; any other gives a spanning forest.
+    """
+
+    def near(fp: np.ndarray, more: np.ndarray, i, j: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(fp[i] ^ fp[j]) <= bits
+        return hit & (np.bitwise_count(more[i] ^ more[j]) <= more_bits) if more_bits < 64 else hit
+
+    def forested(fp: np.ndarray, more: np.ndarray, node: np.ndarray, side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+        found = forest(len(fp), lambda i, rest: near(fp, more, i, rest) & ((side[rest] != side[i]) | (not cross)))
+        return [(int(node[i]), int(node[j])) for i, j in found]
+
+    def owned(fp: np.ndarray, more: np.ndarray, node: np.ndarray, owner: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+        """``owner``: rows that own their slot, whose group begins at ``start`` and has ``n`` rows."""
+        out: list[tuple[int, int]] = []
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(owner):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), side="right")))
+            size = n[at:upto]
+            i = np.repeat(owner[at:upto], size)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[at:upto], size)
+            hit = near(fp, more, i, j) & (node[i] != node[j])
+            out += list(zip(node[i[hit]].tolist(), node[j[hit]].tolist(), strict=True))
+            at = upto
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +181,17 @@ def verify(rows: DataFrame, bits: int) -> DataFrame:
                 start, end = start[:-1], end[:-1]
             if not len(start):
                 return None, rest
-            fp, node, probe, side = (t.column(c).to_numpy() for c in ("fp", "node", "probe", "side"))
-            fp = fp.view(np.uint64)
+            fp, more, node, side = (t.column(c).to_numpy() for c in ("fp", "more", "node", "side"))
+            own = ~t.column("probe").to_numpy(zero_copy_only=False)
+            fp, more = fp.view(np.uint64), more.view(np.uint64)
             n = end - start
-            pairs: list[tuple[int, int]] = []
-            few = n <= 8
-            if few.any():
-                take = np.concatenate([np.arange(a, b) for a, b in zip(start[few].tolist(), end[few].tolist(), strict=True)])
-                pairs += small(fp[take], start[few], n[few], node[take])
+            owners = np.diff(np.concatenate([[0], np.cumsum(own.astype(np.int64))])[np.concatenate([start, end[-1:]])])
+            few = (owners <= FEW) & (keys[2][start] == keys[3][start])
+            group = np.repeat(np.arange(len(start)), n)
+            who = np.flatnonzero(own[: end[-1]] & few[group])
+            pairs = owned(fp, more, node, who, start[group[who]], n[group[who]])
             for a, b in zip(start[~few].tolist(), end[~few].tolist(), strict=True):
-                pairs += links(fp[a:b], node[a:b], probe[a:b], side[a:b], keys[2][a] != keys[3][a])
+                pairs += forested(fp[a:b], more[a:b], node[a:b], side[a:b], keys[2][a] != keys[3][a])
             pairs = [(a, b) for a, b in pairs if a != b]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"]), rest
 
@@ -184,32 +208,38 @@ def verify(rows: DataFrame, bits: int) -> DataFrame:
                 yield out
 
     keys = ["seg", "slot", "bi", "bj"]
-    dealt = rows.select(*keys, "probe", "fp", "node", "side").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "probe", "fp", "more", "node", "side").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_links(prints: DataFrame, bits: int = BITS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Links among distinct fingerprints (fp, node) that connect all that differ in at most ``bits`` bits."""
+def near_links(prints: DataFrame, bits: int = BITS, segments: int | None = None, block: int = BLOCK, more_bits: int = 64) -> DataFrame:
+    """Links among distinct fingerprints (fp, more, node) that connect all that differ in at most ``bits`` bits of fp and
+    ``more_bits`` of more."""
     if segments is None:
         segments = 3 if prints.count() <= THREE_SEGMENTS else 2
     found = probes(prints, segments, bits)
-    return verify(blocked(found, ["seg", "slot"], "fp", block, F.count_if(~F.col("probe")) > 0), bits).distinct()
-
-
-def group(df: DataFrame, id_col: str = "doc_id", fp_col: str = "simhash", bits: int = BITS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Add component_id: the least id that is reachable over links of at most ``bits`` differing bits."""
-    prints = staged(df.where(F.col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).cast("long").alias("node")), "fingerprints")
-    comp = components(near_links(prints, bits, segments, block), "simhash-links")
-    lead = prints.join(comp, "node", "left").select(F.col("fp").alias(fp_col), F.coalesce("component", "node").alias("component_id"))
-    out = df.drop("component_id").join(lead, fp_col, "left")
+    return verify(blocked(found, ["seg", "slot"], "fp", block, F.count_if(~F.col("probe")) > 0), bits, more_bits).distinct()
+
+
+def group(df: DataFrame, id_col: str = "doc_id", fp_col: str = "simhash", bits: int = BITS, segments: int | None = None, block: int = BLOCK, more_bits: int = 64) -> DataFrame:
+    """Add component_id: the least id that is reachable over links of at most ``bits`` differing bits (and of at most
+    ``more_bits`` in ``fp_col``_more, where that is less than 64)."""
+    more = f"{fp_col}_more"
+    parts = [fp_col, more] if more_bits < 64 else [fp_col]
+    least = df.where(F.col(id_col).isNotNull()).groupBy(*parts).agg(F.min(id_col).cast("long").alias("node"))
+    prints = staged(least.select(F.col(fp_col).alias("fp"), (F.col(more) if more_bits < 64 else F.lit(0).cast("long")).alias("more"), "node"), "fingerprints")
+    comp = components(near_links(prints, bits, segments, block, more_bits), "simhash-links")
+    lead = prints.join(comp, "node", "left").select(F.col("fp").alias(fp_col), *([F.col("more").alias(more)] if more_bits < 64 else []), F.coalesce("component", "node").alias("component_id"))
+    out = df.drop("component_id").join(lead, parts, "left")
     return out.select(*[c for c in df.columns if c.lower() != "component_id"], "component_id")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, bits: int = BITS, seed: int = SEED, segments: int | None = None, more_bits: int = 64) -> DataFrame:
     """Id, simhash (long) and component_id of each document; texts are hashed once and staged as fingerprints."""
+    wide = more_bits < 64
     small = df.select(F.col(id_col), F.col(text_col))
-    made = staged(with_fingerprint(small, text_col, "simhash", size, seed).select(id_col, "simhash"), "simhash")
-    return group(made, id_col, "simhash", bits)
+    made = staged(with_fingerprint(small, text_col, "simhash", size, seed, wide).drop(text_col), "simhash")
+    return group(made, id_col, "simhash", bits, segments, more_bits=more_bits)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, slices, staged
 
@@ -328,38 +329,54 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     return hits
 
 
-def remove(docs: DataFrame, hits: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Id, kept (binary), n_bytes, n_removed, n_spans and spans (first byte and end of each removed run, flat)."""
+def remove(docs: DataFrame, hits: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+    """kept (binary), n_bytes, n_removed, n_spans and spans (first byte and end of each removed run, flat) instead of d, v and text.
+
+    With ``whole_characters`` a run that begins or ends within a character leaves that character in place.
+    """
     at = hits.groupBy("d", "v").agg(F.flatten(F.collect_list("at")).alias("at"))
-    both = docs.join(at, ["d", "v"], "left").select("id", F.col("text").cast("binary").alias("raw"), "at")
+    carried = [f for f in docs.schema if f.name not in ("d", "v", "text")]
+    names = [f.name for f in carried]
+    both = docs.join(at, ["d", "v"], "left").select(F.col("text").cast("binary").alias("raw"), "at", *names)
+
+    def inner(raw: bytes, a: int, z: int) -> list[int]:
+        while a < z and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < z < len(raw) and raw[z] & 0xC0 == 0x80:
+            z -= 1
+        return [a, z] if a < z else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 0):
                 kept, n, gone, spans = [], [], [], []
-                for raw, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for raw, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     cuts: list[int] = []
                     if at:
                         x = np.array(at, np.int64).reshape(-1, 2)
                         x = x[np.argsort(x[:, 0], kind="stable")]
                         end = np.maximum.accumulate(x[:, 1] + length)
-                        new = np.concatenate([[True], x[1:, 0] > end[:-1]])
-                        first = np.flatnonzero(new)
+                        first = np.flatnonzero(np.concatenate([[True], x[1:, 0] > end[:-1]]))
                         lo, hi = x[first, 0], end[np.concatenate([first[1:], [len(x)]]) - 1]
                         cuts = np.stack([lo, hi], 1).ravel().tolist()
+                        if whole_characters:
+                            cuts = [y for a, z in zip(cuts[::2], cuts[1::2], strict=True) for y in inner(raw, a, z)]
                     edge = [0, *cuts, len(raw)]
                     kept.append(b"".join(raw[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True)) if cuts else raw)
                     n.append(len(raw))
                     gone.append(len(raw) - len(kept[-1]))
                     spans.append(cuts)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
+                made = [pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[2:], *made], names=schema.names)
 
-    return both.mapInArrow(run, "id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<bigint>")
+    schema = T.StructType([*carried, *T._parse_datatype_string("kept binary, n_bytes long, n_removed long, n_spans long, spans array<bigint>")])
+    return both.mapInArrow(run, schema)
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """One row a document: ``id_col``, kept, n_bytes, n_removed, n_spans, spans."""
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """One row a document: ``id_col``, the columns to ``carry``, kept, n_bytes, n_removed, n_spans, spans."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("d"), F.xxhash64(text).alias("v"), text.alias("text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("d"), F.xxhash64(text).alias("v"), text.alias("text"), F.col(id_col).alias("__id"), *[F.col(c).alias(f"__{c}") for c in carry])
     hits = repeated_runs(docs.select("d", "v", "text"), length, min(gram, length), shard_contexts)
-    return remove(docs, hits, length).withColumnRenamed("id", id_col)
+    out = remove(docs, hits, length, whole_characters)
+    return out.select(F.col("__id").alias(id_col), *[F.col(f"__{c}").alias(c) for c in carry], "kept", "n_bytes", "n_removed", "n_spans", "spans")
