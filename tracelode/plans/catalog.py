@@ -1,4 +1,6 @@
 """All queries of the evidence engine by name, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import corpus, records
+
+QUERIES = {**corpus.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**corpus.ORACLE_SQL, **records.ORACLE_SQL}
