@@ -35,6 +35,7 @@ _phone = re.compile(r"[0-9][\x20().0-9-]+")
 _url = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _host = re.compile(r"(?:[A-Za-z0-9_.~%+-]+(?::[^@/]*)?@)?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?::[0-9]{1,5})?(?:[/?#].*)?", re.S)
 _account = re.compile(r"(?:\s*(?:number|no|nr|num|id))?[.:#=\s]{0,4}([A-Z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20-][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)")
+_iban = re.compile(r"(?:\s*(?:number|no|nr))?[.:#=\s]{0,4}([A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30})")
 _word = re.compile(r"\w")
 
 
@@ -115,11 +116,19 @@ class Finder:
                     if _host.fullmatch(body) or lower.startswith("tel:", at) and sum(map(str.isdigit, body)) >= 5:
                         url = last + 1 + len(body)
                         out.append(("url", at, url))
-            elif at >= account and not (at and _word.match(text[at - 1])) and (m := _account.match(text, last + 1)):
-                value = re.sub(r"[\x20-]", "", m[1])
-                if 4 <= sum(map(str.isdigit, value)) and 6 <= len(value) <= 34 and (not value[:2].isalpha() or not lower.startswith("iban", at) or iban(value)):
-                    account = m.end(1)
-                    out.append(("account", m.start(1), account))
+            elif at >= account and not (at and _word.match(text[at - 1])):
+                if lower.startswith("iban", at) and (m := _iban.match(text, last + 1)):
+                    value = m[1]
+                    while len(value) >= 15 and not iban(re.sub(r"[\x20-]", "", value)):
+                        value = value[:-1].rstrip(" -")  # the longest start whose check digits hold
+                    if len(value) >= 15:
+                        account = m.start(1) + len(value)
+                        out.append(("account", m.start(1), account))
+                elif m := _account.match(text, last + 1):
+                    value = re.sub(r"[\x20-]", "", m[1])
+                    if 4 <= sum(map(str.isdigit, value)) and 6 <= len(value) <= 34:
+                        account = m.end(1)
+                        out.append(("account", m.start(1), account))
         out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
         return out
 
