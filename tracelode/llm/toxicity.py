@@ -1,12 +1,13 @@
 """A toxicity classifier with counterfactual regularisation.
 
-Logistic regression on the presence of words. Besides the loss on labels, each labelled text that names a group is paired
+Logistic regression on the presence of words and of their beginnings (``PREFIXES`` letters), so that forms of a word that no
+label shows still tell. Besides the loss on labels, each labelled text that names a group is paired
 with the same text naming another group of the same kind, and each benign text with itself plus a neutral mention; the
 squared change of the score within a pair is penalised. What a text says of a group then carries the score, the group's
 name alone does not.
 
 Learning is bounded: at most ``SAMPLE_ROWS`` labelled rows, taken by the order of a hash of the id, and ``MAX_FEATURES``
-words, chosen on that sample by how far their share among toxic texts stands from that among the others. Scoring reads every
+features, chosen on that sample by how far their share among toxic texts stands from that among the others. Scoring reads every
 text whole. Ids, sources, languages and labels are never inputs of a score.
 
 Defined cases: a null or empty text gets the score of a text with no known word; labels other than 0 and 1, null ids and
@@ -33,8 +34,11 @@ SAMPLE_ROWS = 20_000
 MAX_FEATURES = 4_096
 #: A word is a feature from so many sampled texts and standard errors on.
 LEAST_TEXTS, LEAST_Z = 4, 5.0
-PENALTY, RIDGE = 4.0, 2e-4
+PENALTY, RIDGE = 4.0, 2e-5
 THRESHOLD = 0.7
+PREFIXES = (4, 5, 6, 7)
+#: Words that a worker remembers the features of before it starts anew.
+CACHE_WORDS = 400_000
 
 # Identity terms by kind; a term is swapped for the others of its kind.
 IDENTITY = (
@@ -63,14 +67,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def forms(word: str) -> set[str]:
+    """A word and its beginnings, which ``^`` marks."""
+    return {word, *(f"^{word[:k]}" for k in PREFIXES if len(word) > k)}
+
+
+def features(found: set[str]) -> set[str]:
+    return {f for w in found for f in forms(w)}
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self):
+        self._hits: dict[str, tuple[str, ...]] = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "bias": self.bias, "_hits": {}}
+
     def score(self, text: str) -> float:
-        w = self.weights
-        z = self.bias + sum([w[x] for x in words(text) & w.keys()]) if w else self.bias
+        w, hits = self.weights, self._hits
+        if not w:
+            return float(1 / (1 + np.exp(-np.clip(self.bias, -40, 40))))
+        if len(hits) > CACHE_WORDS:
+            hits.clear()
+        seen: set[str] = set()
+        for x in words(text):
+            h = hits.get(x)
+            if h is None:
+                h = hits[x] = tuple(sorted(forms(x) & w.keys()))
+            if h:
+                seen.update(h)
+        z = self.bias + sum([w[x] for x in sorted(seen)])
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -80,26 +110,26 @@ def swapped(found: set[str]) -> list[set[str]]:
     for kind in IDENTITY:
         for term in kind:
             if term in found:
-                out += [(found - {term}) | {other} for other in kind if other not in found]
+                out += [(found - forms(term)) | forms(other) for other in kind if other not in found]
     return out
 
 
-def fit(rows: list[tuple[set[str], int]], features: list[str], penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 300) -> Model:
-    """Adam on the penalised loss over all rows at once. ``rows``: the known words of a text, and its label."""
+def fit(rows: list[tuple[set[str], int]], chosen: list[str], penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 300) -> Model:
+    """Adam on the penalised loss over all rows at once. ``rows``: the known features of a text, and its label."""
     n = len(rows)
     y = np.array([t for _, t in rows], float)
     share = float(y.mean()) if n else 0.0
     if not 0 < share < 1:
         return Model({}, 40.0 if share else -40.0)
     terms = [t for kind in IDENTITY for t in kind]
-    names = list(dict.fromkeys([*features, *terms]))
+    names = list(dict.fromkeys([*chosen, *terms]))
     at = {w: i for i, w in enumerate(names)}
 
     pairs: list[tuple[int, set[str]]] = []  # a row, and the words of its counterfactual
     for i, (found, label) in enumerate(rows):
         pairs += [(i, x) for x in swapped(found)]
         if not label and terms:
-            pairs.append((i, found | {terms[i % len(terms)]}))  # a neutral mention
+            pairs.append((i, found | forms(terms[i % len(terms)])))  # a neutral mention
 
     def flat(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
         idx = [[at[w] for w in s if w in at] for s in sets]
@@ -139,19 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words(t or "")) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(words(t or ""))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
 
     bags = staged(chosen.select("__y", "__text").mapInArrow(split, "y int, words array<string>"), "toxicity-sample")
     totals = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    features: list[str] = []
+    best: list[str] = []
     if n0 and n1:
         share = n1 / (n0 + n1)
         z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
         counted = bags.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-        best = counted.where(F.col("n") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(MAX_FEATURES)
-        features = [r["w"] for r in best.collect()]
-    known = spark.sparkContext.broadcast({*features, *(t for kind in IDENTITY for t in kind)})
+        far = counted.where(F.col("n") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(MAX_FEATURES)
+        best = [r["w"] for r in far.collect()]
+    known = spark.sparkContext.broadcast({*best, *(t for kind in IDENTITY for t in kind)})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = bags.mapInArrow(pick, "y int, words array<string>").collect()
     ordered = sorted((tuple(r["words"]), r["y"]) for r in rows)  # sums then don't depend on the order of tasks
-    return fit([(set(w), t) for w, t in ordered], features)
+    return fit([(set(w), t) for w, t in ordered], best)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
