@@ -12,6 +12,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_of(a: Column, b: Column, dim: int) -> Column:
+    """The same for arrays of a known length, written out so that it compiles; beyond 256 places as a fold."""
+    if dim > 256:
+        return dot(a, b)
+    total = F.lit(0.0)
+    for i in range(dim):
+        total = total + F.get(a, F.lit(i)) * F.get(b, F.lit(i))
+    return total
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -25,7 +35,7 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_terms(text: Column, dim: int) -> Column:
     """A deterministic stand-in for an embedding: counts of hashed terms, of unit length. No model is behind it."""
     slots = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-    spread = lambda ss: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(ss, lambda s: s == i)).cast("double"))
+    spread = lambda ss: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(ss) - F.size(F.array_remove(ss, i))).cast("double"))
     # one-element arrays bind a value to a name, so that it is computed once
     counts = F.transform(F.array(slots), spread)[0]
     unit = lambda c, n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c)
