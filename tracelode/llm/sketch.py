@@ -91,8 +91,11 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    halves = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(half).alias("half"))
+    named = docs.where(F.col(id_col).isNotNull())  # the same rows and columns on both sides, or the exchange is made twice
+    halves = named.groupBy(id_col).agg(F.max(half).alias("half"))
     pairs = next_ids(df, id_col).join(halves, id_col).select(F.col(id_col).alias("to_id"), F.col("next_id").alias(id_col), "half")
-    made = docs.select(id_col, "text", sketch(F.col("text")).alias("sketch"))
+    made = named.select(id_col, "text", sketch(F.col("text")).alias("sketch"))
     sent = made.join(pairs, id_col).select(F.col("to_id").alias(id_col), F.substring("text", F.lit(1), F.col("half")).alias("next_part"), F.col("sketch").alias("next_sketch"))
-    return made.join(sent, id_col, "left")
+    out = made.join(sent, id_col, "left")
+    lone = docs.where(F.col(id_col).isNull()).select(id_col, "text", sketch(F.col("text")).alias("sketch"))
+    return out.unionByName(lone, allowMissingColumns=True)
