@@ -12,14 +12,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_of(a: Column, b: Column, dim: int) -> Column:
-    """The same for arrays of a known length, written out so that it compiles; beyond 256 places as a fold."""
-    if dim > 256:
-        return dot(a, b)
-    total = F.lit(0.0)
-    for i in range(dim):
-        total = total + F.get(a, F.lit(i)) * F.get(b, F.lit(i))
-    return total
+def unit(a: Column, dim: int) -> Column:
+    """``a`` in double precision and of unit length; null where it is zero or of another length."""
+    doubles = F.transform(a, lambda x: x.cast("double"))
+    with_size = F.transform(F.array(doubles), lambda v: F.struct(v.alias("v"), dot(v, v).alias("s")))
+    return F.transform(with_size, lambda x: F.when((F.size(x["v"]) == dim) & (x["s"] > 0), F.zip_with(x["v"], F.array_repeat(F.sqrt(x["s"]), dim), lambda y, r: y / r)))[0]
 
 
 def norm(a: Column) -> Column:

@@ -76,20 +76,18 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = CONFIG.top_k) -> DataFrame:
     """Exact: every query (query_id, v) against every vector (id, v). The queries are the stated, bounded side, and their number is checked.
 
-    Each side is scaled to unit length once, so that a pair costs one compiled product; zero vectors match nothing.
+    Each side is scaled to unit length once, so that a pair costs one product; zero vectors match nothing.
     """
     n = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     if n["n"] > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} queries in one pass; split them")
     dim = max(n["dim"] or 0, 0)
 
-    def unit(df: DataFrame, key: str, name: str) -> DataFrame:
-        sized = df.select(key, F.transform("v", lambda x: x.cast("double")).alias("v")).where(F.size("v") == dim)
-        scaled = sized.select(key, "v", V.dot_of(F.col("v"), F.col("v"), dim).alias("s")).where("s > 0")
-        return scaled.select(key, F.zip_with("v", F.array_repeat(F.sqrt("s"), F.size("v")), lambda x, r: x / r).alias(name))
-
-    pairs = unit(vectors, "id", "__v").crossJoin(F.broadcast(unit(queries, "query_id", "__q")))
-    return top(pairs.select("query_id", "id", F.round(V.dot_of(F.col("__q"), F.col("__v"), dim), 6).alias("score")), k)
+    # nothing is filtered by a vector before the pairs are ranked, or the vector would be made again for the filter
+    left = vectors.select("id", V.unit(F.col("v"), dim).alias("__v"))
+    right = queries.select("query_id", V.unit(F.col("v"), dim).alias("__q"))
+    scored = left.crossJoin(F.broadcast(right)).select("query_id", "id", F.round(V.dot(F.col("__q"), F.col("__v")), 6).alias("score"))
+    return top(scored, k).where("score is not null")
 
 
 def rrf_fusion(channels: list[DataFrame], k: int = CONFIG.rrf_k, top_k: int | None = None) -> DataFrame:
