@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_texts
+from .common import field, map_texts, only_cache
 
 #: Pieces longer than this are merged by a heap; a matrix round on them would cost their length each.
 MATRIX_BYTES = 256
@@ -240,6 +240,7 @@ _held: dict[int, tuple[bytes, Vocabulary, dict[str, Encoder]]] = {}
 
 def _vocabulary(content: bytes) -> tuple[bytes, Vocabulary, dict[str, Encoder]]:
     """Built once a worker process."""
+    only_cache("bpe", _held.clear)
     key = hash(content)
     if key not in _held or _held[key][0] != content:
         _held.clear()

@@ -18,6 +18,15 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4 << 20
 
 _fallback: dict[str, str] = {}
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins: a worker that served another operator lets go of what that one remembered."""
+    for name in [n for n in _caches if n != owner]:
+        _caches.pop(name)()
+    if clear:
+        _caches[owner] = clear
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,16 +57,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a staged table that nothing needs any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = f"{shared_dir(spark)}/tracelode/"
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         if "/tracelode/" in parent and path.getName():
             path.getFileSystem(conf).delete(path, True)
-    del root
-
-
-def rows_of(df: DataFrame) -> int:
-    return df.count()
 
 
 def shards_for(total: float, each: float, least: int = 1) -> int:

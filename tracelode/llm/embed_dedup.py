@@ -111,12 +111,10 @@ def compare(rows: DataFrame, bits: int, threshold: float) -> DataFrame:
         linked = np.unique(np.concatenate([i, j]))
         tree: list[tuple[int, int]] = []
         if len(linked):
-            at = {v: k for k, v in enumerate(linked.tolist())}
             near = np.zeros((len(linked), len(linked)), bool)
             i, j = np.searchsorted(linked, i), np.searchsorted(linked, j)
             near[i, j] = near[j, i] = True
             tree = [(int(ids[linked[p]]), int(ids[linked[q]])) for p, q in forest(len(linked), lambda p, rest: near[p, rest])]
-            del at
         some = np.flatnonzero(counts)
         left = [*ids[some].tolist(), *(p for p, _ in tree)]
         right = [*([None] * len(some)), *(q for _, q in tree)]
@@ -165,7 +163,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     bits, passes = schedule(about["n"], about["k"], threshold, miss)
     vectors = staged(hashed(small, id_col, vec_col, label_col, bits, passes, seed), "vectors")
     entries = vectors.select("label", "dim", F.posexplode("codes").alias("pass", "code"), "row", "id", "unit", "codes")
-    # only keys are counted and dealt; the vectors join the blocks they are needed in
     windows = blocked(entries, ["label", "dim", "pass", "code"], "id", block)
     found = staged(compare(windows, bits, threshold), "vector-links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))

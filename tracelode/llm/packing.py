@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Merges
-from .common import discard, shards_for, slices, staged
+from .common import discard, only_cache, shards_for, slices, staged
 
 CAPACITY = 2048
 #: Bound of the broadcast intervals; four numbers of 8 bytes each.
@@ -137,6 +137,7 @@ _held: dict[int, tuple[str, Tokens]] = {}
 
 
 def _tokens(content: str) -> Tokens:
+    only_cache("packing", _held.clear)
     key = hash(content)
     if key not in _held or _held[key][0] != content:
         _held.clear()

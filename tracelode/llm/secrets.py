@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, field, joined, lut, map_texts, runs
+from .common import code_points, field, joined, lut, map_texts, only_cache, runs
 
 # The kinds in the order in which spans of one start are listed, and the patterns of the first three.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -141,6 +141,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secrets"
     def make():
         from pyspark.sql.pandas.types import to_arrow_type
 
+        only_cache("secrets")
         scanner, arrow = Scanner(windows, allowed, candidate), to_arrow_type(kind.dataType)
 
         def run(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:

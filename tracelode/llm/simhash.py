@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, staged
+from .common import field, map_texts, only_cache, staged
 from .components import blocked, components, forest
 
 BITS = 4
@@ -97,6 +97,8 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "simh
     """Add ``out_col``, the 64 bits as a (signed) long; if ``wide``, also ``out_col``_more, 64 further bits."""
 
     def make():
+        only_cache("simhash")
+
         def run(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
             return [pa.array(x) for x in np.atleast_2d(fingerprints(texts, size, seed, wide)).view(np.int64)]
 

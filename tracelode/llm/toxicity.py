@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, staged
+from .common import field, map_texts, only_cache, staged
 
 #: Labelled rows that are learned from, at most; the broadcast ids take 8 bytes each.
 SAMPLE_ROWS = 20_000
@@ -198,6 +198,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        only_cache("toxicity")
         m = shared.value
 
         def run(batch: pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
