@@ -51,6 +51,7 @@ def blocked(entries: DataFrame, keys: Sequence[str], salt: str, block: int, need
     nothing to compare and are dropped too.
     """
     sizes = entries.groupBy(*keys).agg(F.count("*").alias("__n"), (F.lit(True) if need is None else need).alias("__need")).where("__n > 1 and __need").drop("__need")
+    sizes = staged(sizes, "group-sizes")  # so that the join deals both of its sides anew and may split a hot group
     dealt = entries.join(sizes, list(keys)).withColumn("__s", F.ceil(F.col("__n") / block).cast("int"))
     dealt = dealt.withColumn("__i", F.when(F.col("__s") > 1, F.pmod(F.xxhash64(salt, F.lit(7)), F.col("__s"))).otherwise(0).cast("int"))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__s") - 1)))

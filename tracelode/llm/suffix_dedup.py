@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, slices, staged
+from .common import discard, only_cache, slices, staged
 
 LENGTH = 200
 GRAM = 32
 #: Contexts of one anchor that a shard takes; more are dealt to several.
-SHARD_CONTEXTS = 8192
+SHARD_CONTEXTS = 4096
 #: Bytes of contexts that a suffix array is made over, unless one anchor has more.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Strings that start within so many bytes are hashed at once.
 SEGMENT = 1 << 20
 
@@ -116,6 +116,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows (d, v, h, c, p, w): document, anchor, context, first string, further strings. ``docs`` has d, v and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("suffix_dedup", _powers.clear)
         for whole in batches:
             for b in slices(whole, 2, SEGMENT):
                 raws, owner, base = [], [], []
@@ -262,6 +263,7 @@ def search_shards(contexts: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["h", "c", "spans", "sub", "i", "d1", "d2"])
 
+        only_cache("suffix_dedup", _powers.clear)
         held: list[tuple] = []
         size = 0
         for b in batches:
@@ -305,11 +307,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     """Rows (d, v, at): the first and last string, flat, of each run of strings that occur twice. ``docs`` has d, v and text."""
     spark = docs.sparkSession
     every = staged(anchors(docs, length, gram), "anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # counts by anchor are written, so that the join deals both of its sides anew and may split those of a hot anchor
+    twice = staged(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-twice")
     some = staged(every.join(twice, "h", "left_semi"), "repeated-anchors")
     discard(spark, every)
+    discard(spark, twice)
     kinds = some.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "v", "p", "w")).alias("one"))
-    of_anchor = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    of_anchor = staged(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "contexts-by-anchor")
     doubt = kinds.join(of_anchor, "h").select("h", "c", "n", "k", "one.*")
     held = docs.select("d", "v", F.col("text").cast("binary").alias("raw"))
     cut = doubt.join(held, ["d", "v"]).select(
