@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from tracelode.llm.common import staged
 from tracelode.llm.packing import pack_documents
 from tracelode.llm.secrets import find_secrets, redact
-from tracelode.llm.simhash import near_duplicates
+from tracelode.llm.shingles import near_copies
 from tracelode.llm.suffix_dedup import deduplicate
 from tracelode.llm.toxicity import THRESHOLD, score, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies share five-word shingles: at most so many of 64 bits differ, found by multi-index hashing over so many
-#: segments, and at most MORE_BITS of 64 further bits, which keeps apart what agrees by chance.
-WORDS, BITS, SEGMENTS, MORE_BITS = 5, 8, 4, 16
+#: Near copies share four fifths of their shingles of so many words.
+WORDS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each group of copies."""
-    found = near_duplicates(docs, size=WORDS, bits=BITS, segments=SEGMENTS, more_bits=MORE_BITS)
+    found = near_copies(docs, size=WORDS)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
