@@ -182,3 +182,21 @@ def test_suffix_segments_of_long_texts(monkeypatch, spark):
     for d, raw in enumerate(raws):
         covered = sorted(x for r in rows if r["d"] == d for x in range(r["p"], r["p"] + r["w"] + 1))
         assert covered == list(range(len(raw) - 199))
+
+
+def test_common_prefixes_of_contexts_that_agree_beyond_the_sorted_depth():
+    rng = random.Random(0)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(300))
+    for last in (b"za", b"az"):
+        contexts = [passage[:280] + bytes([c]) + bytes(rng.choice(b"abcdefgh") for _ in range(80)) for c in last]
+        raw = b"\xff".join(contexts) + b"\xff"
+        data, lens = np.frombuffer(raw, np.uint8), np.array([len(c) + 1 for c in contexts])
+        starts = np.cumsum(lens) - lens
+        order, _, eight = X.suffix_array(data, 200)
+        before, common = X.common_prefixes(order, eight, starts, starts + lens, 200)
+        ends = np.repeat(starts + lens, lens)
+        for i, j in enumerate(before.tolist()):
+            n = 0
+            while j >= 0 and n < 200 and max(i + n - ends[i], j + n - ends[j]) < 0 and raw[i + n] == raw[j + n]:
+                n += 1
+            assert common[i] == n

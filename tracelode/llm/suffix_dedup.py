@@ -7,7 +7,7 @@ A string of ``length`` bytes that occurs twice has the same least ``GRAM``-byte
 2. anchors that occur once cannot be repeated and are dropped; contexts that occur twice are repeated from end to end;
 3. what is left, each different context of an anchor that has several, goes to the shard of its anchor. There its bytes make
    a suffix array (Larsson-Sadakane: ranks by 8 bytes, then doubled, only unsorted groups being sorted again), whose
-   neighbours' common prefixes (Kasai, in lanes of one context each) tell which strings occur twice;
+   neighbours' common prefixes (each compared from its first byte) tell which strings occur twice;
 4. an anchor with more than ``SHARD_CONTEXTS`` contexts is dealt to several shards; the sorted digests of their strings are then
    merged: each shard's run is looked up in those of the others by binary search;
 5. the strings found give byte ranges, which are removed from each text.
@@ -180,39 +180,35 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def common_prefixes(order: np.ndarray, eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Kasai in lanes: each suffix's predecessor in the array, and the length of what both begin with, up to ``cap``.
+    """Each suffix's predecessor in the array, and the length of what both begin with, up to ``cap``.
 
-    A lane walks through one context; what its suffix has in common with its predecessor falls by one at most from one place to
-    the next. Eight bytes are compared at once. Stretches end with their context.
+    Each pair of neighbours is compared from its first byte: the array is ordered by ``cap`` bytes or more and not to the end, so
+    that what one place has in common with its predecessor says nothing about the next place. Eight bytes are compared
+    at once. Stretches end with their context.
     """
     n = len(order)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     remains = np.repeat(ends, ends - starts) - np.arange(n)
+    top = np.where(before >= 0, np.minimum(np.minimum(remains, remains[before]), cap), 0)
     common = np.zeros(n, np.int64)
-    size = ends - starts
-    lanes = np.argsort(-size, kind="stable")
-    have = np.zeros(len(starts), np.int64)
-    limits = size[lanes]
-    for k in range(int(size.max(initial=0))):
-        live = lanes[: np.searchsorted(-limits, -k, side="left")]
-        i = starts[live] + k
-        j = before[i]
-        got = np.maximum(have[live] - 1, 0)
-        top = np.where(j >= 0, np.minimum(np.minimum(remains[i], remains[np.maximum(j, 0)]), cap), 0)
-        open_ = np.flatnonzero(got < top)
-        while len(open_):
-            x = eight[i[open_] + got[open_]] ^ eight[j[open_] + got[open_]]
-            more = np.full(len(open_), 8)
-            for b in range(1, 8):
-                more -= x >= np.uint64(1 << 8 * b)
-            more -= x > 0
-            got[open_] += more
-            open_ = open_[(x == 0) & (got[open_] < top[open_])]
-        got = np.minimum(got, top)
-        common[i] = got
-        have[live] = got
-    return before, common
+    i = np.flatnonzero(top > 0)
+    j = before[i]
+    at = 0
+    while len(i):
+        x = eight[i + at] ^ eight[j + at]
+        same = x == 0
+        part = x[~same]
+        more = np.full(len(part), 8)
+        for b in range(1, 8):
+            more -= part >= np.uint64(1 << 8 * b)
+        common[i[~same]] = at + more - 1
+        at += 8
+        i, j = i[same], j[same]
+        common[i] = at
+        open_ = top[i] > at
+        i, j = i[open_], j[open_]
+    return before, np.minimum(common, top)
 
 
 def repeated(contexts: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
