@@ -1,6 +1,7 @@
 """The evidence engine: every query against its SQL, and operators on the awkward cases."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -248,3 +249,18 @@ def test_call_log_as_a_stream(spark, tmp_path):
     batch = spark.read.parquet(f"{SF}/events.parquet").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
     assert 0 < got.count() <= batch.count()
     assert got.join(batch.withColumn("hour", F.col("hour").cast("timestamp")), ["hour", "event_type"]).where("n <> n_calls").count() == 0
+
+
+@pytest.mark.parametrize("few", [7, 10_000])
+def test_cosine_of_more_queries_than_are_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", few)
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)] + [(90, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    got = R.cosine_topk(vectors.where("id % 2 = 0").withColumnRenamed("id", "query_id"), vectors, 4).collect()
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows if any(v)}
+    want = []
+    for q in range(0, 90, 2):
+        best = sorted((-round(sum(x * y for x, y in zip(unit[q], v, strict=True)), 6), i) for i, v in unit.items())[:4]
+        want += [(q, i, r) for r, (_, i) in enumerate(best, 1)]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == sorted(want)

@@ -74,19 +74,19 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = CONFIG.top_k) -> DataFrame:
-    """Exact: every query (query_id, v) against every vector (id, v). The queries are the stated, bounded side, and their number is checked.
+    """Exact: every query (query_id, v) against every vector (id, v). Queries are broadcast where they are few; more are dealt into
+    blocks of about ``BROADCAST_ROWS``, and each block meets each partition of the vectors in a task of its own.
 
     Each side is scaled to unit length once, so that a pair costs one product; zero vectors match nothing.
     """
     n = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    if n["n"] > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries in one pass; split them")
     dim = max(n["dim"] or 0, 0)
 
     # nothing is filtered by a vector before the pairs are ranked, or the vector would be made again for the filter
     left = vectors.select("id", V.unit(F.col("v"), dim).alias("__v"))
     right = queries.select("query_id", V.unit(F.col("v"), dim).alias("__q"))
-    scored = left.crossJoin(F.broadcast(right)).select("query_id", "id", F.round(V.dot(F.col("__q"), F.col("__v")), 6).alias("score"))
+    right = F.broadcast(right) if n["n"] <= BROADCAST_ROWS else right.repartition(-(-n["n"] // BROADCAST_ROWS), "query_id")
+    scored = left.crossJoin(right).select("query_id", "id", F.round(V.dot(F.col("__q"), F.col("__v")), 6).alias("score"))
     return top(scored, k).where("score is not null")
 
 
