@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, only_cache, slices, staged
+from .common import discard, field, map_texts, only_cache, slices, staged
 from .components import components
 
 WORDS = 5
@@ -155,6 +155,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     every = staged(nodes.select("s", "n", F.posexplode("first").alias("i", "h")), "entries")
     twice = staged(every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "entries-twice")
     some = staged(every.join(twice, "h", "left_semi"), "shared-entries")
+    discard(df.sparkSession, every)
+    discard(df.sparkSession, twice)
 
     hubs = some.groupBy("h").agg(F.min(F.struct(F.xxhash64("s", "h").alias("o"), "s", "n", "i")).alias("hub"))
     hubs = staged(hubs.select("h", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"), F.col("hub.i").alias("hi")), "hubs")
