@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as PT
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode.llm import bpe, packing, pii, secrets, sketch, toxicity, warc
+from tracelode.llm import bpe, common, packing, pii, secrets, sketch, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", "a", " ", "  a  b ", "a\n\nb", "\x1c\x1ca b", "é" * 400, "aaaa" * 300, "x  ", "it's we'll  I'd", "日本語 テスト 🎉🎉 z", "<|endoftext|> b", "0123456789" * 100, "ΑΣ σας", "İSTANBUL", "é ́"]
@@ -46,7 +47,7 @@ def test_bpe_of_pieces_longer_than_a_matrix(monkeypatch):
     v = bpe.Vocabulary(bpe._read(PT.path("byte_bpe_50k.tiktoken")))
     pieces = [x.encode() for x in random_texts(2, list("abcdefghiéß"), 40, 200) if x]
     wide = v.encode_pieces(pieces)
-    monkeypatch.setattr(bpe, "MATRIX_BYTES", 1)
+    monkeypatch.setattr(bpe, "WIDE", 2)
     assert v.encode_pieces(pieces) == wide
 
 
@@ -58,9 +59,9 @@ def test_word_tokens_match_the_library(texts):
     assert own.merges is not None
     cases = texts + random_texts(3, ["a", "İ", "ß", "b  ", "\n", "\x1c", "é", "é", "́", " ", "日本", "Σ", " ", "\x85", "'s", "12"], 1500, 25)
     want = [e.ids for e in library.encode_batch(cases, add_special_tokens=False)]
-    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(cases)] == want
-    own.merges, own.known = None, {}
-    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(cases[:300])] == want[:300]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(pa.array(cases))] == want
+    own.merges, own.words = None, common.Remembered()
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(pa.array(cases[:300]))] == want[:300]
 
 
 def test_packing_fills_sequences_without_gaps(spark, texts):

@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding in padded numpy matrices.
 
-Texts are cut at single spaces between other characters, where the split pattern always cuts too; distinct pieces are
-encoded once a worker and remembered in a bounded cache. Pieces go through matrices of rows of similar length: in each
-round every row merges its leftmost pair of least rank, pairs are looked up in an open-addressing hash table, finished
-rows leave the matrix.
-
-Defined cases: a null or empty text has no ids; equal texts have equal ids; a piece longer than ``MATRIX_BYTES`` is
-merged by a heap, with the same result; extra columns pass through, one named like an output is replaced; an empty table
-gives an empty one. Ids out of the vocabulary raise when decoded, null ids decode to nothing.
+Under the split pattern ``SPACED`` texts are first cut at single spaces between other characters, where it always cuts too;
+distinct pieces are encoded once a worker and remembered in a cache of bounded bytes. Pieces go through matrices of rows of
+similar length: in each round every row merges its leftmost pair of least rank, pairs are looked up in an open-addressing hash
+table, and one compaction takes merged places and finished rows out. A row of ``WIDE`` bytes or more is a matrix of its own;
+there a round merges all occurrences of the pair, as long as no pair that this makes has a lesser rank.
+
+Defined cases: a null or empty text has no ids; equal texts have equal ids; pieces of any length are merged by matrices;
+extra columns pass through, one named like an output is replaced; an empty table gives an empty one. Ids out of the
+vocabulary raise when decoded, null ids decode to nothing.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_texts, only_cache
+from .common import Remembered, field, map_texts, only_cache, tidy
 
-#: Pieces longer than this are merged by a heap; a matrix round on them would cost their length each.
-MATRIX_BYTES = 256
-#: Distinct pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: A piece of so many bytes is a matrix of one row.
+WIDE = 256
+#: Fixed value: a split pattern that always cuts before a single space between other characters.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 
 
@@ -40,8 +40,10 @@ class Merges:
         if (first < 0).any() or (last < 0).any():
             raise ValueError("the vocabulary lacks a byte")
         self.first, self.last, self.merged = first, last, merged
-        self.whole: dict[bytes, int] = {}  # pieces that are tokens, whatever the merges would do
+        self.whole: dict[bytes, bytes] = {}  # ids of pieces that are tokens, whatever the merges would do
         self._table(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.inner, self.final = self.pair_ranks(first[a], first[b]), self.pair_ranks(first[a], last[b])  # of two bytes
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
@@ -78,89 +80,99 @@ class Merges:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian int32."""
-        out: list[bytes] = [b""] * len(pieces)
-        by_width: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            if (r := self.whole.get(p)) is not None:
-                out[i] = r.to_bytes(4, "little")
-            elif len(p) > MATRIX_BYTES:
-                out[i] = self._heap(p)
-            elif p:
-                n = len(p)
-                by_width.setdefault(n + n % 2 if n <= 16 else 1 << (n - 1).bit_length(), []).append(i)
-        for width, rows in by_width.items():
-            for at in range(0, len(rows), step := max(64, (1 << 19) // width)):
-                part = rows[at : at + step]
-                for i, ids in zip(part, self._matrix([pieces[i] for i in part], width), strict=True):
-                    out[i] = ids
+        out: list[bytes | None] = list(map(self.whole.get, pieces)) if self.whole else [None] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces) + bytes(WIDE), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        open_ = np.fromiter((x is None for x in out), bool, len(out))
+        for i in np.flatnonzero(open_ & (sizes >= WIDE)).tolist():
+            out[i] = self._wide(pieces[i])
+        for i in np.flatnonzero(sizes == 0).tolist():
+            out[i] = b""
+        narrow = np.flatnonzero(open_ & (sizes > 0) & (sizes < WIDE))
+        widths = np.where(sizes[narrow] <= 16, sizes[narrow], (sizes[narrow] + 7) & -8)
+        narrow = narrow[np.argsort(widths, kind="stable")]
+        widths = np.sort(widths)
+        edge = np.flatnonzero(np.concatenate([[True], widths[1:] != widths[:-1], [True]])) if len(widths) else np.zeros(0, np.int64)
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            width = int(widths[a])
+            for at in range(a, z, step := max(64, (1 << 18) // width)):
+                part = narrow[at : min(at + step, z)]
+                self._matrix(data[starts[part][:, None] + np.arange(width)], sizes[part].astype(np.int32), part, out)
         return out
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
-        ids = np.where(np.arange(width) < n[:, None], self.first[raw], -1).astype(np.int32)
-        ids[np.arange(len(n)), n - 1] = self.last[raw[np.arange(len(n)), n - 1]]
-        out: list[bytes] = [b""] * len(pieces)
-        rows = np.arange(len(pieces))
+    def encode_distinct(self, plans: Sequence[Sequence[str]]) -> dict[str, bytes]:
+        """The ids of each different piece of some plans."""
+        new = list({m for p in plans for m in p})
+        return dict(zip(new, self.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new]), strict=True))
+
+    def _matrix(self, raw: np.ndarray, n: np.ndarray, places: np.ndarray, out: list[bytes | None]) -> None:
+        """The ids of the first ``n`` bytes of each row of ``raw``, put into ``out`` at ``places``."""
+        width, rows = raw.shape[1], np.arange(len(raw))
+        ids = np.where(np.arange(width) < n[:, None], self.first[raw], np.int32(-1))
+        ids[rows, n - 1] = self.last[raw[rows, n - 1]]
         ranks = np.full(ids.shape, NONE, np.int32)
-        ranks[:, :-1] = self.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
+        two = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        ranks[:, :-1] = np.where(np.arange(1, width) < n[:, None] - 1, self.inner[two], NONE)
+        long = np.flatnonzero(n > 1)
+        ranks[long, n[long] - 2] = self.final[two[long, n[long] - 2]]
         while len(rows):
+            line = np.arange(len(rows))
             at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), at]
+            best = ranks[line, at]
             done = best == NONE
+            keep = np.ones(ids.shape, bool)
             if done.any():
-                ended, size = ids[done], n[rows[done]]
-                flat = ended.tobytes()
-                for k, (r, s) in enumerate(zip(rows[done].tolist(), size.tolist(), strict=True)):
-                    out[r] = flat[4 * width * k : 4 * (width * k + s)]
-                rows, ids, ranks, at, best = rows[~done], ids[~done], ranks[~done], at[~done], best[~done]
-                if not len(rows):
+                size, w = n[done].tolist(), ids.shape[1]
+                flat = ids[done].tobytes()
+                for k, (i, z) in enumerate(zip(places[done].tolist(), size, strict=True)):
+                    out[i] = flat[4 * w * k : 4 * (w * k + z)]
+                live = ~done
+                keep[done] = False
+                line, at, best, n, places = line[live], at[live], best[live], n[live], places[live]
+            rows = line
+            if not len(rows):
+                break
+            # the right place of each pair goes, so that all rows get narrower by one
+            ids[line, at] = self.merged[best]
+            keep[line, at + 1] = False
+            w = ids.shape[1] - 1
+            ids, ranks = ids[keep].reshape(-1, w), ranks[keep].reshape(-1, w)
+            n = n - 1
+            line = np.arange(len(rows))
+            mid = ids[line, at]
+            ranks[line, at] = self.pair_ranks(mid, np.where(at + 1 < w, ids[line, np.minimum(at + 1, w - 1)], -1))
+            has = np.flatnonzero(at > 0)
+            ranks[has, at[has] - 1] = self.pair_ranks(ids[has, at[has] - 1], mid[has])
+
+    def _wide(self, piece: bytes) -> bytes:
+        """The ids of one long piece."""
+        raw = np.frombuffer(piece, np.uint8)
+        ids = self.first[raw]
+        ids[-1] = self.last[raw[-1]]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # of pairs that overlap, as in aaa, the leftmost of each run counts, then every second one
+            head = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 0]
+            while True:
+                new = ids.copy()
+                new[at] = self.merged[best]
+                keep = np.ones(len(ids), bool)
+                keep[at + 1] = False
+                new = new[keep]
+                now = at - np.arange(len(at))
+                left, right = now[now > 0], now[now < len(new) - 1]
+                before, after = self.pair_ranks(new[left - 1], new[left]), self.pair_ranks(new[right], new[right + 1])
+                if len(at) == 1 or min(before.min(initial=NONE), after.min(initial=NONE)) > best:
                     break
-            n[rows] -= 1
-            width_now = int(n[rows].max()) + 1
-            if width_now < ids.shape[1]:
-                ids, ranks = np.ascontiguousarray(ids[:, :width_now]), np.ascontiguousarray(ranks[:, :width_now])
-                width = width_now
-            k, cols = np.arange(len(rows)), np.arange(width)
-            take = np.minimum(cols + (cols > at[:, None]), width - 1)
-            full = n[rows] + 1 == width
-            ids, ranks = np.take_along_axis(ids, take, 1), np.take_along_axis(ranks, take, 1)
-            ids[full, -1], ranks[full, -1] = -1, NONE
-            ids[k, at] = self.merged[best]
-            ranks[k, -1] = NONE
-            right = np.where(at + 1 < width, ids[k, np.minimum(at + 1, width - 1)], -1)
-            ranks[k, at] = self.pair_ranks(ids[k, at], right)
-            has = at > 0
-            ranks[k[has], at[has] - 1] = self.pair_ranks(ids[k[has], at[has] - 1], ids[k[has], at[has]])
-        return out
-
-    def _heap(self, piece: bytes) -> bytes:
-        """The same merges for one long piece, in its length times the logarithm."""
-        ids: list[int] = self.first[np.frombuffer(piece, np.uint8)].tolist()
-        ids[-1] = int(self.last[piece[-1]])
-        n = len(ids)
-        nxt, prv, get = list(range(1, n + 1)), list(range(-1, n - 1)), self._pair
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(self.pair_ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            m = int(self.merged[r])
-            ids[i], ids[j] = m, -1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-                if (x := get(m, ids[nxt[j]])) is not None:
-                    heapq.heappush(heap, (x, i, m, ids[nxt[j]]))
-            if prv[i] >= 0 and (x := get(ids[prv[i]], m)) is not None:
-                heapq.heappush(heap, (x, prv[i], ids[prv[i]], m))
-        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
-
-    def _pair(self, a: int, b: int) -> int | None:
-        r = int(self.pair_ranks(np.array([a], np.int32), np.array([b], np.int32))[0])
-        return None if r == NONE else r
+                at = at[:1]  # a pair that comes first is made: one merge, as in a narrow row
+            ranks = ranks[keep[1:]] if len(new) > 1 else ranks[:0]
+            ranks[left - 1] = before
+            ranks[right] = after
+            ids = new
+        return ids.tobytes()
 
 
 class Vocabulary(Merges):
@@ -184,7 +196,8 @@ class Vocabulary(Merges):
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = r
         super().__init__(single, single, pairs, np.arange(n, dtype=np.int32))
-        self.whole = self.ranks = ranks
+        self.ranks = ranks
+        self.whole = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) == 0:
@@ -201,37 +214,30 @@ class Encoder:
     """Whole texts to ids, with what a worker remembers between batches."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.v, self.split = vocabulary, regex.compile(pattern)
+        self.v, self.split, self.spaced = vocabulary, regex.compile(pattern), pattern == SPACED
         self.edge, self.odd = regex.compile(r"(?<=\S) (?=\S)"), regex.compile(r"\s\s|\A\s|\s\Z")
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.rest: dict[str, bytes] = {}  # pieces after a space, keyed without it
-        self.pieces: dict[str, bytes] = {}  # matches of the split pattern
+        self.first, self.rest = Remembered(), Remembered()  # starts of texts; parts after a space, without it
 
     def _parts(self, text: str) -> list[str]:
+        if not self.spaced:
+            return [text]
         return self.edge.split(text) if self.odd.search(text) else text.split(" ")
 
-    def _learn(self, cache: dict[str, bytes], missing: list[str], before: str) -> None:
-        split, known = self.split.findall, self.pieces
-        plans = [split(before + x) for x in missing]
-        new = {m for p in plans for m in p if m not in known}
-        if new:
-            known.update(zip(new, self.v.encode_pieces([x.encode() for x in new]), strict=True))
-        cache.update((x, known[p[0]] if len(p) == 1 else b"".join([known[m] for m in p])) for x, p in zip(missing, plans, strict=True))
+    def _learn(self, missing: list[str], before: str) -> list[bytes]:
+        if self.spaced:
+            # a part that is letters alone is one match
+            plans = [(before + x,) if x.isascii() and x.isalpha() else self.split.findall(before + x) for x in missing]
+        else:
+            plans = [self.split.findall(x) for x in missing]
+        known = self.v.encode_distinct(plans)
+        return [known[p[0]] if len(p) == 1 else b"".join([known[m] for m in p]) for p in plans]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > CACHE_PIECES:
-            self.first, self.rest = {}, {}
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
         parts = [self._parts(t) if t else [] for t in texts]
-        heads = {p[0] for p in parts if p}
-        tails: set[str] = set()
-        for p in parts:
-            tails.update(p[1:])
-        for cache, want, before in ((self.first, heads, ""), (self.rest, tails, " ")):
-            if missing := [x for x in want if x not in cache]:
-                self._learn(cache, missing, before)
-        first, rest = self.first, self.rest.__getitem__
+        heads = list({p[0] for p in parts if p})
+        first = dict(zip(heads, self.first.of(heads, lambda new: self._learn(new, "")), strict=True))
+        tails = list(set().union(*[p[1:] for p in parts]))
+        rest = dict(zip(tails, self.rest.of(tails, lambda new: self._learn(new, " ")), strict=True)).__getitem__
         return [first[p[0]] + b"".join(map(rest, p[1:])) if p else b"" for p in parts]
 
 
@@ -288,4 +294,4 @@ def decode(df: DataFrame, ids_col: str, vocab_path: str, out_col: str = "decoded
                 raw = [vocabulary.decode(flat[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], np.asarray(col.is_valid()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=schema.names)
 
-    return df.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(tidy(run), schema)

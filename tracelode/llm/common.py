@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -29,6 +31,59 @@ def only_cache(owner: str, clear: Callable[[], None] | None = None) -> None:
         _caches[owner] = clear
 
 
+class Remembered:
+    """What a worker remembers of distinct strings: two generations of at most ``limit`` bytes each.
+
+    A string that a batch asks for again moves to the younger generation; when that is full it becomes the older one, and what
+    has not been asked for since is let go. Strings of over ``longest`` characters are not remembered.
+    """
+
+    def __init__(self, limit: int = 12 << 20, longest: int = 64):
+        self.limit, self.longest = limit, longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def of(self, want: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The value of each of some distinct strings; ``learn`` gets those that are not known."""
+        found = list(map(self.young.get, want))
+        if rest := [i for i, v in enumerate(found) if v is None]:
+            names = [want[i] for i in rest]
+            again = list(map(self.old.get, names))
+            if missing := [k for k, v in enumerate(again) if v is None]:
+                for k, v in zip(missing, learn([names[k] for k in missing]), strict=True):
+                    again[k] = v
+            for i, v in zip(rest, again, strict=True):
+                found[i] = v
+            keep = {x: v for x, v in zip(names, again, strict=True) if len(x) <= self.longest}
+            self.size += sum(map(len, keep)) + sum(map(len, keep.values())) + 180 * len(keep)
+            self.young.update(keep)
+            if self.size > self.limit:
+                self.young, self.old, self.size = {}, self.young, 0
+        return found
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose worker gives freed memory back to the system when the task ends."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return out
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -110,7 +165,7 @@ def map_texts(
                 cols = [batch.column(i) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*cols, *f(batch, texts)], names=[x.name for x in schema])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def field(name: str, kind: str | T.DataType) -> T.StructField:

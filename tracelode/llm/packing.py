@@ -22,26 +22,27 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Merges
-from .common import discard, only_cache, shards_for, slices, staged
+from .common import Remembered, discard, only_cache, shards_for, slices, staged, tidy
 
 CAPACITY = 2048
 #: Bound of the broadcast intervals; four numbers of 8 bytes each.
 MAX_INTERVALS = 4_000_000
-#: Distinct pieces of text between white space that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: Fixed value: a split pattern under which letters alone are one match, and so is a sign after them.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = frozenset(".,;:!?)")
 #: Pieces of documents that one partition of the sort holds.
 SORT_ROWS = 200_000
 
@@ -57,6 +58,12 @@ def _lower(s: str) -> str:
     return s.lower() if "\u03a3" not in s else "".join([c.lower() for c in s])  # a final sigma is no exception here
 
 
+def memory_of(texts: pa.Array) -> bytes:
+    """All bytes of some texts."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+    return texts.buffers()[2].slice(int(ends[texts.offset]), int(ends[texts.offset + len(texts)] - ends[texts.offset])).to_pybytes() if len(texts) and texts.buffers()[2] else b""
+
+
 class Tokens:
     """Whole texts to ids, as the ``tokenizers`` library has them, for a file whose model never looks across white space.
 
@@ -69,9 +76,7 @@ class Tokens:
         self.content, self.library = content, None
         spec = json.loads(content)
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.odd = re.compile(r"[\x1c-\x1f]")  # white space to str.split() but not to the tokenizer
+        self.words = Remembered()
         self.merges = self._merges(spec)
 
     def _merges(self, spec: dict) -> Merges | None:
@@ -83,7 +88,7 @@ class Tokens:
         split, level = cuts["pretokenizers"]
         if not split.get("invert") or split.get("behavior") != "Removed" or level.get("use_regex") or level.get("add_prefix_space"):
             return None
-        self.split = regex.compile(split["pattern"]["Regex"])
+        self.split, self.letters = regex.compile(split["pattern"]["Regex"]), split["pattern"]["Regex"] == LETTERS
         vocab, end, chars = model["vocab"], model["end_of_word_suffix"], byte_characters()
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
         pairs = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(merges)}
@@ -99,35 +104,54 @@ class Tokens:
             self.library = Tokenizer.from_str(self.content)
         return self.library
 
-    def _learn(self, missing: list[str]) -> None:
+    def _plan(self, word: str) -> tuple[str, ...] | list[str]:
+        """The matches of the split pattern in a word."""
+        if word.isascii():
+            word = word.lower()
+        elif max(word) < "\u0130":  # composed already, and no letter gets longer
+            word = word.lower()
+        else:
+            return self.split.findall(_lower(unicodedata.normalize("NFC", word)))
+        if self.letters:
+            if word.isalpha():
+                return (word,)
+            if word[-1:] in SIGNS and word[:-1].isalpha():
+                return word[:-1], word[-1]
+        return self.split.findall(word)
+
+    def _learn(self, missing: list[str]) -> list[bytes]:
         if self.merges:
-            known, split = self.pieces, self.split.findall
-            plans = [split(_lower(x if x.isascii() else unicodedata.normalize("NFC", x))) for x in missing]
-            if new := {m for p in plans for m in p if m not in known}:
-                known.update(zip(new, self.merges.encode_pieces([x.encode() for x in new]), strict=True))
-            self.known.update((x, known[p[0]] if len(p) == 1 else b"".join([known[m] for m in p])) for x, p in zip(missing, plans, strict=True))
-            return
+            plans = [self._plan(x) for x in missing]
+            known = self.merges.encode_distinct(plans)
+            return [known[p[0]] if len(p) == 1 else b"".join([known[m] for m in p]) for p in plans]
+        out: list[bytes] = []
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(coded.ids, np.uint32).tobytes()
             edge = (np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            self.known.update((w, ids[a:b]) for w, a, b in zip(part, edge[:-1], edge[1:], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
-        whole = {i for i, t in enumerate(texts) if self.odd.search(t) or any(s in t for s in self.special)}
-        parts = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        want: set[str] = set()
-        for p in parts:
-            want.update(p)
-        if missing := [x for x in want if x not in self.known]:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [self._whole(t) if i in whole else b"".join(map(get, p)) for i, (t, p) in enumerate(zip(texts, parts, strict=True))]
+            out += [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        # \x1c to \x1f are white space to Arrow but not to the tokenizer
+        apart = [x for x in (*self.special, "\x1c", "\x1d", "\x1e", "\x1f") if x.encode() in memory_of(texts)]
+        whole = np.logical_or.reduce([np.zeros(len(texts), bool), *(pc.match_substring(texts, x).to_numpy(zero_copy_only=False) for x in apart)])
+        plain = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts) if apart else texts
+        split = pc.utf8_split_whitespace(plain)
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if known:
+            values = self.words.of(known, self._learn)
+            size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+            flat, which = np.frombuffer(b"".join(values), np.int32), words.indices.to_numpy()
+            each = size[which]
+            ends = np.cumsum(each)
+            ids = flat[np.repeat((np.cumsum(size) - size)[which] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+            edge = (np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4).tolist()
+        else:
+            ids, edge = b"", [0] * (len(texts) + 1)
+        return [self._whole(texts[i].as_py()) if w else ids[a:b] for i, (w, a, b) in enumerate(zip(whole.tolist(), edge[:-1], edge[1:], strict=True))]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -157,7 +181,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         tokens = _tokens(content.value)
         for whole in batches:
             for batch in slices(whole, 1):
-                coded = [x + end for x in tokens.encode([t or "" for t in batch.column(1).to_pylist()])]
+                coded = [x + end for x in tokens.encode(pc.fill_null(batch.column(1), ""))]
                 cut = [(i, k, c[4 * capacity * k : 4 * capacity * (k + 1)]) for i, c in enumerate(coded) for k in range(-(-len(c) // (4 * capacity)))]
                 cols = [batch.column(0).take(pa.array([i for i, _, _ in cut], pa.int32())), pa.array([k for _, k, _ in cut], pa.int32()), pa.array([k * capacity for _, k, _ in cut], pa.int64()), pa.array([len(c) // 4 for *_, c in cut], pa.int64()), pa.array([zlib.crc32(c) for *_, c in cut], pa.int64())]
                 if keep_ids:
@@ -165,7 +189,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(c for *_, c in cut), np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -249,7 +273,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, le
             m = matches[np.searchsorted(keys, length * big + rank, side="right") - 1]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(f.name)) for f in keep), pa.array(m[:, 2] + rank - m[:, 1]), pa.array(m[:, 3])], names=schema.names)
 
-    return ordered.select(*[f.name for f in keep], "__part", "__pos").mapInArrow(place, schema)
+    return ordered.select(*[f.name for f in keep], "__part", "__pos").mapInArrow(tidy(place), schema)
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
