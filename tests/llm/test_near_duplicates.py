@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
 from tracelode.llm import components as C
 from tracelode.llm import embed_dedup as E
 from tracelode.llm import simhash as S
+from tracelode.llm import queries
 from tracelode.llm import suffix_dedup as X
 
 SF = "/root/testdata/sf0.001"
@@ -151,7 +153,8 @@ def test_suffix_removal_matches_brute_force(spark, shard):
 
 
 def test_suffix_removal_of_repeated_rows_null_ids_and_no_rows(spark):
-    text = "".join(random.Random(1).choice("abcdef ") for _ in range(400))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef ") for _ in range(400))
     rows = [(1, text), (1, text), (None, "z" * 10), (None, text[100:] + "q" * 199)]
     got = X.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 300), (1, 400), (1, 400)]
@@ -160,9 +163,9 @@ def test_suffix_removal_of_repeated_rows_null_ids_and_no_rows(spark):
 
 def test_suffix_array_and_common_prefixes():
     data = np.frombuffer(b"banana bandana banana bandana xyz banana\xff", np.uint8)
-    order, _, eight = X.suffix_array(data, len(data))
+    order, eight = X.suffix_array(data)
     raw = data.tobytes()
-    assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:] + bytes([255]) * len(raw))
     before, common = X.common_prefixes(order, eight, np.array([0]), np.array([len(data)]), 100)
     for i in range(len(raw)):
         j = before[i]
@@ -184,15 +187,17 @@ def test_suffix_segments_of_long_texts(monkeypatch, spark):
         assert covered == list(range(len(raw) - 199))
 
 
-def test_common_prefixes_of_contexts_that_agree_beyond_the_sorted_depth():
-    rng = random.Random(0)
-    passage = bytes(rng.choice(b"abcdefgh") for _ in range(300))
-    for last in (b"za", b"az"):
-        contexts = [passage[:280] + bytes([c]) + bytes(rng.choice(b"abcdefgh") for _ in range(80)) for c in last]
+@pytest.mark.parametrize("shared", [201, 256, 280, 400])
+def test_common_prefixes_of_contexts_that_agree_in_many_bytes(shared):
+    rng = random.Random(shared)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(shared))
+    for last in (b"za", b"az", b"zaz"):
+        contexts = [passage + bytes([c]) + bytes(rng.choice(b"abcdefgh") for _ in range(80)) for c in last]
         raw = b"\xff".join(contexts) + b"\xff"
         data, lens = np.frombuffer(raw, np.uint8), np.array([len(c) + 1 for c in contexts])
         starts = np.cumsum(lens) - lens
-        order, _, eight = X.suffix_array(data, 200)
+        order, eight = X.suffix_array(data)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:] + bytes([255]) * len(raw))
         before, common = X.common_prefixes(order, eight, starts, starts + lens, 200)
         ends = np.repeat(starts + lens, lens)
         for i, j in enumerate(before.tolist()):
@@ -200,3 +205,23 @@ def test_common_prefixes_of_contexts_that_agree_beyond_the_sorted_depth():
             while j >= 0 and n < 200 and max(i + n - ends[i], j + n - ends[j]) < 0 and raw[i + n] == raw[j + n]:
                 n += 1
             assert common[i] == n
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_suffix_query_matches_brute_force_on_whole_tables(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()}
+    ids = sorted(docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op8_suffix_dedup(spark, f"/root/testdata/{sf}").collect()}
+    assert [got[i] for i in ids] == removed_by_hand([docs[i] for i in ids], 200)
+
+
+def test_suffix_removal_of_many_equal_rows(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef ") for _ in range(3000))
+    df = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = df.select(F.col("doc_id").alias("d"), F.lit(1).cast("long").alias("v"), "text")
+    hits = X.repeated_runs(docs)
+    most = hits.groupBy("d", "v").agg(F.size(F.flatten(F.collect_set("at"))).alias("n")).first()["n"]
+    assert most < 200
+    got = X.deduplicate(df).select("n_removed", "n_spans").distinct().collect()
+    assert [tuple(r) for r in got] == [(3000, 1)]

@@ -6,14 +6,16 @@ A string of ``length`` bytes that occurs twice has the same least ``GRAM``-byte
    string to the end of its last, are its context, told from others by a second hash;
 2. anchors that occur once cannot be repeated and are dropped; contexts that occur twice are repeated from end to end;
 3. what is left, each different context of an anchor that has several, goes to the shard of its anchor. There its bytes make
-   a suffix array (Larsson-Sadakane: ranks by 8 bytes, then doubled, only unsorted groups being sorted again), whose
-   neighbours' common prefixes (each compared from its first byte) tell which strings occur twice;
-4. an anchor with more than ``SHARD_CONTEXTS`` contexts is dealt to several shards; the sorted digests of their strings are then
-   merged: each shard's run is looked up in those of the others by binary search;
+   a suffix array (Larsson-Sadakane: ranks by 8 bytes, then doubled to the end, only unsorted groups being sorted again), whose
+   neighbours' common prefixes (Kasai) tell which strings occur twice;
+4. an anchor with more than ``SHARD_CONTEXTS`` contexts is dealt to several shards; the sorted digests of their strings, one for
+   each that differs within its shard, are then merged: each shard's run is looked up in those of the others by binary search;
 5. the strings found give byte ranges, which are removed from each text.
 
 Shards hold a bounded number of contexts, no anchor or text is brought together in one task, and no text is read in part.
 
+Contexts are told apart by two hashes of 64 bits each.
+
 Defined cases: a null text counts as the empty one; texts shorter than ``length`` lose nothing; repeated rows lose all of a
 text that is long enough; documents are told apart by id and text, null ids too; an empty table gives an empty one; columns other
 than id and text are not read.
@@ -30,17 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, only_cache, slices, staged
+from .common import discard, only_cache, slices, staged, tidy
 
 LENGTH = 200
 GRAM = 32
 #: Contexts of one anchor that a shard takes; more are dealt to several.
-SHARD_CONTEXTS = 4096
+SHARD_CONTEXTS = 1024
 #: Bytes of contexts that a suffix array is made over, unless one anchor has more.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Strings that start within so many bytes are hashed at once.
 SEGMENT = 1 << 20
 
+#: A string of a run: two digests, its context and its place there.
+RUN = np.dtype([("d1", np.uint64), ("d2", np.uint64), ("c", np.int64), ("i", np.int32)])
+
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASE)
 _BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=16).digest() for i in range(256)), np.uint64).reshape(256, 2)
@@ -140,91 +145,91 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     at = pa.array(np.array(owner, np.int64)[src])
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h), pa.array(c), pa.array(p + np.array(base, np.int64)[src]), pa.array(w.astype(np.int32))], names=["d", "v", "h", "c", "p", "w"])
 
-    return docs.select("d", "v", "text").mapInArrow(run, "d long, v long, h long, c long, p long, w int")
+    return docs.select("d", "v", "text").mapInArrow(tidy(run), "d long, v long, h long, c long, p long, w int")
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes ordered by their first ``depth`` bytes or more, their ranks, and the first eight bytes from each place."""
+def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and the first eight bytes from each place. Places take four bytes: shards are far smaller."""
     n = len(data)
-    padded = np.concatenate([data, np.full(8, 255, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.full(8, 255, np.uint8)])
     eight = np.zeros(n, np.uint64)
     for k in range(8):
-        eight = eight << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(eight, kind="stable").astype(np.int64)
+        eight <<= np.uint64(8)
+        eight |= padded[k : k + n]
+    order = np.argsort(eight, kind="stable").astype(np.int32)
     key = eight[order]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     head = np.concatenate([[True], key[1:] != key[:-1]])
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group has the place of its first
-    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))  # a group has the place of its first
+    rank[n] = n  # what follows the end comes last, as the separator does
+    del key, padded
+    at = np.flatnonzero(~(head & np.concatenate([head[1:], [True]]))).astype(np.int32)
     step = 8
-    while step < depth:
-        group = rank[order]
-        tied = np.zeros(n, bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
+    while len(at):  # places of suffixes that are tied in their first ``step`` bytes
         who = order[at]
-        pair = group[at].astype(np.uint64) << np.uint64(32) | (rank[np.minimum(who + step, n)] + 1).astype(np.uint64)
+        pair = rank[who].astype(np.uint64) << np.uint64(32) | rank[np.minimum(who.astype(np.int64) + step, n)].astype(np.uint64)
         inner = np.argsort(pair, kind="stable")
         who, pair = who[inner], pair[inner]
         order[at] = who
         head = np.concatenate([[True], pair[1:] != pair[:-1]])
-        fresh = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        rank_new = at[fresh]
-        rank[who] = rank_new
+        rank[who] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+        at = at[~(head & np.concatenate([head[1:], [True]]))]
         step *= 2
-    return order, rank[:n], eight
+    return order, eight
 
 
 def common_prefixes(order: np.ndarray, eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each suffix's predecessor in the array, and the length of what both begin with, up to ``cap``.
+    """Kasai in lanes: each suffix's predecessor in the array, and the length of what both begin with, up to ``cap``.
 
-    Each pair of neighbours is compared from its first byte: the array is ordered by ``cap`` bytes or more and not to the end, so
-    that what one place has in common with its predecessor says nothing about the next place. Eight bytes are compared
-    at once. Stretches end with their context.
+    A lane walks through one context; what its suffix has in common with its predecessor falls by one at most from one place to
+    the next, as the array is sorted to the end. Eight bytes are compared at once. Stretches end with their context.
     """
     n = len(order)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    remains = np.repeat(ends, ends - starts) - np.arange(n)
+    remains = (np.repeat(ends, ends - starts) - np.arange(n)).astype(np.int32)
     top = np.where(before >= 0, np.minimum(np.minimum(remains, remains[before]), cap), 0)
-    common = np.zeros(n, np.int64)
-    i = np.flatnonzero(top > 0)
-    j = before[i]
-    at = 0
-    while len(i):
-        x = eight[i + at] ^ eight[j + at]
-        same = x == 0
-        part = x[~same]
-        more = np.full(len(part), 8)
-        for b in range(1, 8):
-            more -= part >= np.uint64(1 << 8 * b)
-        common[i[~same]] = at + more - 1
-        at += 8
-        i, j = i[same], j[same]
-        common[i] = at
-        open_ = top[i] > at
-        i, j = i[open_], j[open_]
-    return before, np.minimum(common, top)
-
-
-def repeated(contexts: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each context which of its strings start elsewhere in the shard too; also all bytes, and where contexts start."""
+    common = np.zeros(n, np.int32)
+    size = ends - starts
+    lanes = np.argsort(-size, kind="stable")
+    have = np.zeros(len(starts), np.int64)  # by lane: may be more than the cap, as it is carried on
+    limits = size[lanes]
+    for k in range(int(size.max(initial=0))):
+        live = int(np.searchsorted(-limits, -k, side="left"))
+        i = starts[lanes[:live]] + k
+        j, most = before[i], top[i]
+        got = np.minimum(np.maximum(have[:live] - 1, 0), most)
+        open_ = np.flatnonzero(got < most)
+        while len(open_):
+            x = eight[i[open_] + got[open_]] ^ eight[j[open_] + got[open_]]
+            same = x == 0
+            more = np.full(len(open_), 8)
+            for b in range(1, 8):
+                more -= x >= np.uint64(1 << 8 * b)
+            got[open_] += more - ~same
+            open_ = open_[same & (got[open_] < most[open_])]
+        got = np.minimum(got, most)
+        common[i] = got
+        have[:live] = got
+    return before, common
+
+
+def repeated(contexts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each context which of its strings start elsewhere in the shard too, and which have no equal one before them in the
+    array; also all bytes, and where contexts start."""
     sep = b"\xff"  # in no UTF-8 text
     data = np.frombuffer(sep.join(contexts) + sep, np.uint8)
     lens = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
     starts = np.cumsum(lens) - lens
-    order, _, eight = suffix_array(data, length)
+    order, eight = suffix_array(data)
     before, common = common_prefixes(order, eight, starts, starts + lens, length)
     rest = np.repeat(starts + lens - 1, lens) - np.arange(len(data))  # bytes of the context from here
     hit = (common >= length) & (rest >= length)
     found = np.zeros(len(data), bool)
     found[hit] = True
     found[before[hit]] = True
-    return [found[s : s + max(0, n - 1 - length + 1)] for s, n in zip(starts.tolist(), lens.tolist(), strict=True)], data, starts
+    edge = [(s, s + max(0, n - length)) for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
+    return [found[a:b] for a, b in edge], [~hit[a:b] for a, b in edge], data, starts
 
 
 def spans_of(mask: np.ndarray) -> list[int]:
@@ -235,35 +240,47 @@ def spans_of(mask: np.ndarray) -> list[int]:
 
 
 def search_shards(contexts: DataFrame, length: int) -> DataFrame:
-    """Rows (h, c, spans) of repeated strings within shards; of anchors in several shards also digests of their strings.
+    """Rows (h, c, spans) of repeated strings within shards; of anchors in several shards also sorted runs of digests.
 
-    ``contexts`` has h, sub, parts, c and bytes.
+    ``contexts`` has h, sub, parts, c and bytes. A shard's run is cut into as many ranges of digests as its anchor has shards,
+    a row each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows: list[tuple]) -> pa.RecordBatch:
             out: list[tuple] = []
-            masks, data, starts = repeated([r[4] for r in rows], length)
-            hot = [k for k, r in enumerate(rows) if r[2] > 1]
+            masks, news, data, starts = repeated([r[4] for r in rows], length)
             for (h, _, _, c, _), m in zip(rows, masks, strict=True):
                 if m.any():
-                    out.append((h, c, spans_of(m), None, None, None, None))
-            if hot:
+                    out.append((h, c, spans_of(m), None, None, None))
+            groups: dict[tuple[int, int, int], list[int]] = {}
+            for k, (h, sub, parts, _, _) in enumerate(rows):
+                if parts > 1:
+                    groups.setdefault((h, sub, parts), []).append(k)
+            if groups:
                 one, two = Rolling(data, 0), Rolling(data, 1)
-                for k in hot:
-                    h, sub, _, c, _ = rows[k]
-                    at = starts[k] + np.arange(len(masks[k]))
-                    for i, (a, b) in enumerate(zip(one.of(at, at + length).view(np.int64).tolist(), two.of(at, at + length).view(np.int64).tolist(), strict=True)):
-                        out.append((h, c, None, sub, i, a, b))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["h", "c", "spans", "sub", "i", "d1", "d2"])
+            for (h, sub, parts), who in groups.items():
+                place = [np.flatnonzero(news[k]) for k in who]
+                found = np.zeros(sum(map(len, place)), RUN)
+                at = np.concatenate([starts[k] + x for k, x in zip(who, place, strict=True)])
+                found["i"] = np.concatenate(place)
+                found["c"] = np.repeat(np.array([rows[k][3] for k in who], np.int64), list(map(len, place)))
+                found["d1"], found["d2"] = one.of(at, at + length), two.of(at, at + length)
+                found = found[np.argsort(found["d1"], kind="stable")]
+                block = (found["d1"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                edge = np.searchsorted(block, np.arange(parts + 1)).tolist()
+                out += [(h, None, None, sub, j, found[a:b].tobytes()) for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["h", "c", "spans", "sub", "block", "run"])
 
         only_cache("suffix_dedup", _powers.clear)
         held: list[tuple] = []
         size = 0
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 4, SHARD_BYTES)):
             for row in zip(*(b.column(x).to_pylist() for x in ("h", "sub", "parts", "c", "bytes")), strict=True):
+                if held and (held[-1][0], held[-1][3]) == (row[0], row[3]):
+                    continue  # the context of a repeated row
                 if size >= SHARD_BYTES and held and (held[-1][0], held[-1][1]) != (row[0], row[1]):
                     yield work(held)
                     held, size = [], 0
@@ -273,30 +290,50 @@ def search_shards(contexts: DataFrame, length: int) -> DataFrame:
             yield work(held)
 
     dealt = contexts.repartition(F.col("h"), F.col("sub")).sortWithinPartitions("h", "sub", "c")
-    return dealt.select("h", "sub", "parts", "c", "bytes").mapInArrow(run, "h long, c long, spans array<int>, sub int, i int, d1 long, d2 long")
+    return dealt.select("h", "sub", "parts", "c", "bytes").mapInArrow(tidy(run), "h long, c long, spans array<int>, sub int, block int, run binary")
 
 
-def merge_shards(digests: DataFrame) -> DataFrame:
-    """Rows (h, c, i) of strings that another shard of their anchor has too: sorted runs searched in one another."""
+def merge_shards(runs: DataFrame) -> DataFrame:
+    """Rows (h, c, spans) of strings that another shard of their anchor has too: each run is searched in the merged others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+    ``runs`` has h, sub, block and run. A block of an anchor has about as many digests as one of its shards.
+    """
+
+    def merged(h: int, held: list[bytes]) -> Iterator[tuple]:
+        if len(held) < 2:
             return
-        t = pa.Table.from_batches(rows)
-        sub = t.column("sub").to_numpy()
-        key = np.rec.fromarrays([t.column(x).to_numpy() for x in ("h", "d1", "d2")])
-        _, code = np.unique(key, return_inverse=True)
-        order = np.lexsort([code, sub])
-        bounds = np.flatnonzero(np.concatenate([[True], sub[order][1:] != sub[order][:-1], [True]]))
-        shard_runs = [code[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        merged = np.sort(np.concatenate([np.unique(r) for r in shard_runs]))
-        # a string that n shards hold stands n times in the merged run
-        times = np.searchsorted(merged, code, side="right") - np.searchsorted(merged, code, side="left")
-        hit = pa.array(np.flatnonzero(times > 1))
-        yield from t.select(["h", "c", "i"]).take(hit).to_batches()
-
-    return digests.repartition(F.col("h"), F.col("d1")).select("h", "c", "i", "sub", "d1", "d2").mapInArrow(run, "h long, c long, i int")
+        every = np.concatenate([np.frombuffer(x, RUN) for x in held])
+        order = np.sort(every["d1"])
+        # a digest that n shards hold stands n times in the merged run
+        some = every[np.searchsorted(order, every["d1"], side="right") - np.searchsorted(order, every["d1"], side="left") > 1]
+        some = some[np.lexsort([some["d2"], some["d1"]])]
+        same = (some["d1"][1:] == some["d1"][:-1]) & (some["d2"][1:] == some["d2"][:-1])
+        hit = some[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(some) else some
+        hit = hit[np.argsort(hit["c"], kind="stable")]
+        edge = np.flatnonzero(np.concatenate([[True], hit["c"][1:] != hit["c"][:-1], [True]])).tolist() if len(hit) else []
+        for a, b in zip(edge[:-1], edge[1:], strict=False):
+            yield h, int(hit["c"][a]), np.repeat(hit["i"][a:b], 2).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["h", "c", "spans"])
+
+        key, held = None, []
+        for b in (part for whole in batches for part in slices(whole, 2, SHARD_BYTES)):
+            out: list[tuple] = []
+            for h, block, found in zip(*(b.column(x).to_pylist() for x in ("h", "block", "run")), strict=True):
+                if (h, block) != key:
+                    if key:
+                        out += merged(key[0], held)
+                    key, held = (h, block), []
+                held.append(found)
+            yield rows(out)
+        if key:
+            yield rows(list(merged(key[0], held)))
+
+    dealt = runs.repartition(F.col("h"), F.col("block")).sortWithinPartitions("h", "block", "sub")
+    return dealt.select("h", "block", "run").mapInArrow(tidy(run), "h long, c long, spans array<int>")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -317,9 +354,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     )
     cut = cut.withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("c"), F.col("parts"))).otherwise(0).cast("int"))
     found = staged(search_shards(cut, length), "shard-results")
-    across = merge_shards(found.where("i is not null"))
+    across = merge_shards(found.where("run is not null"))
     inside = found.where("spans is not null").select("h", "c", "spans")
-    across = across.groupBy("h", "c").agg(F.array_sort(F.collect_set("i")).alias("is")).select("h", "c", F.flatten(F.transform("is", lambda i: F.array(i, i))).alias("spans"))
     partly = inside.unionByName(across).groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     fully = kinds.where("n > 1").select("h", "c", F.lit(True).alias("all"))
     known = fully.join(partly, ["h", "c"], "full").select("h", "c", F.coalesce("all", F.lit(False)).alias("all"), "spans")
@@ -334,7 +370,7 @@ def remove(docs: DataFrame, hits: DataFrame, length: int = LENGTH, whole_charact
 
     With ``whole_characters`` a run that begins or ends within a character leaves that character in place.
     """
-    at = hits.groupBy("d", "v").agg(F.flatten(F.collect_list("at")).alias("at"))
+    at = hits.groupBy("d", "v").agg(F.flatten(F.collect_set("at")).alias("at"))  # rows that repeat a document add nothing
     carried = [f for f in docs.schema if f.name not in ("d", "v", "text")]
     names = [f.name for f in carried]
     both = docs.join(at, ["d", "v"], "left").select(F.col("text").cast("binary").alias("raw"), "at", *names)
@@ -370,7 +406,7 @@ def remove(docs: DataFrame, hits: DataFrame, length: int = LENGTH, whole_charact
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], *made], names=schema.names)
 
     schema = T.StructType([*carried, *T._parse_datatype_string("kept binary, n_bytes long, n_removed long, n_spans long, spans array<bigint>")])
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(tidy(run), schema)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
