@@ -25,14 +25,17 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     while True:
         # large star: neighbours above a node link to the least one around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, as are those below, so that the join deals both of its sides anew and may split a hot node
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below a node, and the node itself, link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, f"{name}-large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = staged(small, name)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard(edges.sparkSession, edges)
+        for old in (edges, least, large, low):
+            discard(old.sparkSession, old)
         edges = after
         if mark == seen or mark[0] == 0:
             break

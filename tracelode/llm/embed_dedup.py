@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, staged, tidy
 from .components import blocked, components, forest
 
 THRESHOLD = 0.98
@@ -76,7 +76,7 @@ def hashed(df: DataFrame, id_col: str, vec_col: str, label_col: str, bits: int,
     usable = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     # a row's key: equal rows are told apart by nothing and are one row with a count
     src = usable.groupBy(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v")).agg(F.count("*").alias("row"))
-    return src.select("row", "id", "label", "v").mapInArrow(run, "row long, id long, label string, dim int, unit binary, codes array<int>")
+    return src.select("row", "id", "label", "v").mapInArrow(tidy(run), "row long, id long, label string, dim int, unit binary, codes array<int>")
 
 
 def compare(rows: DataFrame, bits: int, threshold: float) -> DataFrame:
@@ -153,7 +153,7 @@ def compare(rows: DataFrame, bits: int, threshold: float) -> DataFrame:
             yield from emit(groups(held.combine_chunks(), True)[0])
 
     dealt = rows.select(*keys, "side", "row", "id", "unit", "codes").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return dealt.mapInArrow(tidy(run), "a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, seed: int = SEED) -> DataFrame:

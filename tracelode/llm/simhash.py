@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, only_cache, staged
+from .common import field, map_texts, only_cache, staged, tidy
 from .components import blocked, components, forest
 
 BITS = 4
@@ -137,7 +137,7 @@ def probes(prints: DataFrame, segments: int, bits: int) -> DataFrame:
                 at = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seg)), pa.array(np.concatenate(slot)), pa.array(np.concatenate(probe)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["seg", "slot", "probe", "fp", "more", "node"])
 
-    return prints.select("fp", "more", "node").mapInArrow(run, "seg byte, slot long, probe boolean, fp long, more long, node long")
+    return prints.select("fp", "more", "node").mapInArrow(tidy(run), "seg byte, slot long, probe boolean, fp long, more long, node long")
 
 
 def verify(rows: DataFrame, bits: int, more_bits: int = 64) -> DataFrame:
@@ -211,7 +211,7 @@ def verify(rows: DataFrame, bits: int, more_bits: int = 64) -> DataFrame:
 
     keys = ["seg", "slot", "bi", "bj"]
     dealt = rows.select(*keys, "probe", "fp", "more", "node", "side").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_links(prints: DataFrame, bits: int = BITS, segments: int | None = None, block: int = BLOCK, more_bits: int = 64) -> DataFrame:

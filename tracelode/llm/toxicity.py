@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, only_cache, staged
+from .common import field, map_texts, only_cache, staged, tidy
 
 #: Labelled rows that are learned from, at most; the broadcast ids take 8 bytes each.
 SAMPLE_ROWS = 20_000
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(words(t or ""))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
 
-    bags = staged(chosen.select("__y", "__text").mapInArrow(split, "y int, words array<string>"), "toxicity-sample")
+    bags = staged(chosen.select("__y", "__text").mapInArrow(tidy(split), "y int, words array<string>"), "toxicity-sample")
     totals = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     best: list[str] = []
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             kept = [sorted(known.value.intersection(w)) for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.string()))], names=["y", "words"])
 
-    rows = bags.mapInArrow(pick, "y int, words array<string>").collect()
+    rows = bags.mapInArrow(tidy(pick), "y int, words array<string>").collect()
     ordered = sorted((tuple(r["words"]), r["y"]) for r in rows)  # sums then don't depend on the order of tasks
     return fit([(set(w), t) for w, t in ordered], best)
 

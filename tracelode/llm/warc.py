@@ -24,7 +24,7 @@ import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged
+from .common import new_path, staged, tidy
 
 CHUNK = 1 << 20
 #: Bytes of payload that an archive holds, about.
@@ -72,7 +72,7 @@ def digests(chunked: DataFrame, keep: list[str]) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*kinds, T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())])
-    return chunked.select(*names, "last", "data").mapInArrow(run, schema)
+    return chunked.select(*names, "last", "data").mapInArrow(tidy(run), schema)
 
 
 def decide(records: DataFrame, least: int = 0) -> DataFrame:
@@ -144,7 +144,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], names=["archive", "records"])
 
-    return staged(rows.mapInArrow(run, "archive string, records long"), "archives")
+    return staged(rows.mapInArrow(tidy(run), "archive string, records long"), "archives")
 
 
 class Stream:
@@ -248,7 +248,7 @@ def read(spark: SparkSession, archives: DataFrame, chunk: int = CHUNK) -> DataFr
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    return archives.select("archive").repartition(n).mapInArrow(run, CHUNK_TYPE)
+    return archives.select("archive").repartition(n).mapInArrow(tidy(run), CHUNK_TYPE)
 
 
 def records(chunked: DataFrame) -> DataFrame:
