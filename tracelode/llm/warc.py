@@ -1,9 +1,10 @@
 """WARC archives through a chunked record table.
 
-Payloads move as rows of record identifier and chunk number, a chunk at most ``CHUNK`` bytes, in the order of their record; digests
-are carried from chunk to chunk. Writer and reader hold one chunk at a time, whatever a record's size (the source row itself
-is the one place where a payload is whole). Each record is a gzip member of its own. Archives lie in a shared folder; a
-task writes under a name of its own and renames it when it is complete, so a task that is lost or repeated leaves no second archive.
+Each payload becomes rows of record and chunk number, a chunk at most ``CHUNK`` bytes, as soon as it is read; its digest is carried
+from chunk to chunk. These rows are written, and they are all that is exchanged from then on: decisions join them by record, writer
+and reader hold one chunk at a time, whatever a record's size (the source row itself is the one place where a payload is whole).
+Each record is a gzip member of its own. Archives lie in a shared folder, under names that hold the attempt of their task;
+only those of tasks that ended are in the table of archives, so a task that is lost or repeated adds no second archive.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest id is a response, the others revisit it.
 
@@ -18,13 +19,14 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, tidy
+from .common import discard, new_path, staged, tidy
 
 CHUNK = 1 << 20
 #: Bytes of payload that an archive holds, about.
@@ -32,16 +34,46 @@ ARCHIVE_BYTES = 256 << 20
 URN = "urn:tracelode:record:"
 CRLF = b"\r\n"
 CHUNK_TYPE = "archive string, record long, record_id string, record_type string, target string, refers_to string, payload_digest string, chunk int, last boolean, data binary"
-DATE = "2000-01-01T00:00:00Z"
 
 
-def chunks(df: DataFrame, payload_col: str = "payload", size: int = CHUNK) -> DataFrame:
-    """A row a chunk, adjacent and in order: chunk, last and data instead of the payload. An empty payload is one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(payload_col) / size)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda k: F.struct(k.alias("chunk"), (k == F.col("__n") - 1).alias("last")))
-    keep = [c for c in df.columns if c != payload_col]
-    rows = df.withColumn("__n", n).select(*keep, payload_col, F.explode(parts).alias("__p")).select(*keep, payload_col, "__p.*")
-    return rows.select(*keep, "chunk", "last", F.expr(f"substring({payload_col}, chunk * {size} + 1, {size})").alias("data"))
+def chunk_rows(df: DataFrame, id_col: str, url_col: str, payload_col: str, size: int = CHUNK) -> DataFrame:
+    """The chunked record table of payloads. The last chunk of a record, which may be its only one and empty, has size and digest."""
+    src = df.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"[\x00-\x20]", ""), F.lit("about:blank")).alias("url"),
+        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
+    )
+    names = ["row", "id", "url", "chunk", "last", "data", "payload_bytes", "payload_digest"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
+        total = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+        for b in batches:
+            for id_, url, payload in zip(*b.columns, strict=True):
+                raw = payload.as_buffer()
+                state, about = hashlib.sha1(), (row, id_.as_py(), url.as_py())
+                parts = max(1, -(-len(raw) // size))
+                for k in range(parts):
+                    data = raw.slice(k * size, min(size, len(raw) - k * size))
+                    state.update(data)
+                    last = k == parts - 1
+                    held.append((*about, k, last, data.to_pybytes(), len(raw) if last else None, base32(state.digest()) if last else None))
+                    total += len(data)
+                    if total >= 4 * size or len(held) >= 1000:
+                        yield out()
+                        held, total = [], 0
+                row += 1
+        if held:
+            yield out()
+
+    return src.mapInArrow(tidy(run), "row long, id long, url string, chunk int, last boolean, data binary, payload_bytes long, payload_digest string")
 
 
 def base32(digest: bytes) -> str:
@@ -78,6 +110,7 @@ def digests(chunked: DataFrame, keep: list[str]) -> DataFrame:
 def decide(records: DataFrame, least: int = 0) -> DataFrame:
     """Add record_type and refers_to to records (id, payload_bytes, payload_digest)."""
     first = records.where((F.col("payload_bytes") >= least) & F.col("id").isNotNull()).groupBy("payload_digest").agg(F.min("id").alias("__first"))
+    first = staged(first, "first-records")  # so that the join deals both of its sides anew and may split a common payload
     again = (F.col("payload_bytes") >= least) & F.col("__first").isNotNull() & ~F.col("id").eqNullSafe(F.col("__first"))
     out = records.join(first, "payload_digest", "left")
     return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__first"))).drop("__first")
@@ -87,26 +120,28 @@ def _folder(path: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def _head(kind: str, record_id: str, target: str, refers_to: str | None, digest: str, size: int) -> bytes:
+def _head(kind: str, record_id: str, target: str, refers_to: str | None, digest: str, size: int, date: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: " + str(size).encode() + CRLF * 2
     block = len(http) + (size if kind == "response" else 0)
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}"]
     return "\r\n".join(lines).encode() + CRLF * 2 + http
 
 
-def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Write archives below ``path``; a row each (archive, records). Ids are long."""
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"[\x00-\x20]", ""), F.lit("about:blank")).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    src = src.withColumn("v", F.xxhash64("payload"))
-    records = staged(digests(chunks(src.select("id", "v", "payload"), "payload", chunk), ["id", "v"]), "digests")
-    # rows of one id and payload decide alike, so one of them stands for all
-    chosen = decide(records, least).dropDuplicates(["id", "v"]).select(F.col("id").alias("__id"), F.col("v").alias("__v"), "record_type", "refers_to", "payload_digest", "payload_bytes")
-    both = src.join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("v") == F.col("__v"))).drop("__id", "__v", "v")
-    both = both.withColumn("payload", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")))
-    rows = chunks(both, "payload", chunk).select("id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "chunk", "last", "data")
+def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, chunk: int = CHUNK, date: str | None = None) -> DataFrame:
+    """Write archives below ``path``; a row each (archive, records). Ids are long. ``date`` is that of the records, by default now."""
+    spark = df.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    table = staged(chunk_rows(df, id_col, url_col, payload_col, chunk), "record-chunks")
+    chosen = decide(table.where("last").select("row", "id", "payload_bytes", "payload_digest"), least).drop("id")
+    again = F.col("record_type") == "revisit"
+    # dealt by record first: however the decisions are joined, a record's chunks stay together
+    dealt = table.drop("payload_bytes", "payload_digest").repartition(F.col("row"))
+    both = dealt.join(chosen.hint("shuffle_hash"), "row").where(~again | (F.col("chunk") == 0))
+    both = both.withColumn("last", again | F.col("last")).withColumn("data", F.when(again, F.lit(b"")).otherwise(F.col("data")))
+    rows = both.sortWithinPartitions("row", "chunk").select("id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "chunk", "last", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,37 +149,36 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
         fs, top = _folder(path)
         fs.create_dir(top, recursive=True)
         task = TaskContext.get()
-        part, number, out, zipped, written, records = task.partitionId(), 0, None, None, 0, 0
+        out, zipped, written, records, name = None, None, 0, 0, ""
         done: list[tuple[str, int]] = []
-
-        def close() -> None:
-            nonlocal out, number, written, records
-            out.close()
-            name = f"{top}/part-{part:06d}-{number:04d}.warc.gz"
-            fs.move(temp, name)
-            done.append((name, records))
-            out, number, written, records = None, number + 1, 0, 0
-
-        temp = f"{top}/.writing-{part}-{task.taskAttemptId()}"
-        for b in batches:
-            for row in zip(*b.columns, strict=True):
-                id_, url, kind, refers, digest, size, k, last = (x.as_py() for x in row[:8])
-                if out is None:
-                    out = fs.open_output_stream(temp)
-                if k == 0:
-                    zipped = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(zipped.compress(_head(kind, f"{URN}{'' if id_ is None else id_}", url, None if refers is None else f"{URN}{refers}", digest, size)))
-                out.write(zipped.compress(row[8].as_buffer()))
-                if last:
-                    out.write(zipped.compress(CRLF * 2) + zipped.flush())
-                    written, records = written + size, records + 1
-                    if written >= ARCHIVE_BYTES:
-                        close()
+        try:
+            for b in batches:
+                for row in zip(*b.columns, strict=True):
+                    id_, url, kind, refers, digest, size, k, last = (x.as_py() for x in row[:8])
+                    if out is None:
+                        name = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+                        out = fs.open_output_stream(name, compression=None)
+                    if k == 0:
+                        zipped = zlib.compressobj(1, zlib.DEFLATED, 31)
+                        out.write(zipped.compress(_head(kind, f"{URN}{'' if id_ is None else id_}", url, None if refers is None else f"{URN}{refers}", digest, size, date)))
+                    out.write(zipped.compress(row[8].as_buffer()))
+                    if last:
+                        out.write(zipped.compress(CRLF * 2) + zipped.flush())
+                        written, records = written + size, records + 1
+                        if written >= ARCHIVE_BYTES:
+                            out.close()
+                            done.append((name, records))
+                            out, written, records = None, 0, 0
+        finally:
+            if out is not None:
+                out.close()
         if out is not None:
-            close()
+            done.append((name, records))
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], names=["archive", "records"])
 
-    return staged(rows.mapInArrow(tidy(run), "archive string, records long"), "archives")
+    found = staged(rows.mapInArrow(tidy(run), "archive string, records long"), "archives")
+    discard(spark, table)
+    return found
 
 
 class Stream:
@@ -261,6 +295,7 @@ def records(chunked: DataFrame) -> DataFrame:
     found = digests(chunked.withColumnRenamed("payload_digest", "__told").select(*[c if c != "payload_digest" else "__told" for c in keep], "last", "data"), [c if c != "payload_digest" else "__told" for c in keep])
     found = staged(found.select(number("record_id").alias("id"), "record_type", number("refers_to").alias("refers_to"), F.col("__told").alias("told"), "payload_bytes", "payload_digest"), "records-read")
     whole = found.where("record_type = 'response' and id is not null").groupBy(F.col("id").alias("refers_to"), F.col("payload_digest").alias("told")).agg(F.min("payload_bytes").alias("__n"))
+    whole = staged(whole, "records-whole")
     own = found.where("record_type <> 'revisit'")
     again = found.where("record_type = 'revisit'").join(whole, ["refers_to", "told"], "left").select("id", "record_type", "refers_to", "told", F.col("__n").alias("payload_bytes"), F.col("told").alias("payload_digest"))
     return own.unionByName(again).drop("told")
