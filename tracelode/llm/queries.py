@@ -99,8 +99,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = with_next(table(spark, sf_dir, "documents"))
     n = F.char_length("text")
-    edited = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 2)).cast("int")), F.coalesce(F.col("next_part"), F.lit("")))
-    made = docs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_part", F.lit("")), F.lit(1), half))
+    made = docs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), F.coalesce("next_sketch", sketch(F.lit(""))).alias("next_sketch"))
     made = made.withColumn("edited_sketch", sketch(F.col("edited")))
     own, other = F.col("sketch"), F.col("edited_sketch")
     return made.select(

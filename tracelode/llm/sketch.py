@@ -3,10 +3,13 @@
 Every hash of a shingle below a fixed fraction of the hash range is retained, so a sketch grows with its text, two sketches
 merge by union, and the share of one within another estimates containment however unequal the texts are.
 
-Defined cases: a null text counts as the empty one, whose sketch is empty; a text of fewer words than a shingle is one shingle; where no hash
-falls below the threshold the least one is retained, so that only texts without a word have empty sketches; the order of
-documents is by id, rows of one id are paired with every row of the next; a null id has no next document and is the next of
-none; equal texts have equal sketches; an empty table gives an empty one.
+Beside it stands the least hash of all, which tells texts apart of which nothing is retained: it serves the fingerprint and
+the likeness of two empty sketches, and never merges or containment.
+
+Defined cases: a null text counts as the empty one, whose sketch is empty and whose least hash is null; a text of fewer words than
+a shingle is one shingle; the order of documents is by id, and each row of an id is paired with one row of the next, the one
+whose text has the least hash; a null id has no next document and is the next of none; equal texts have equal sketches; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def words(text: Column) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE, size: int = WORDS) -> Column:
-    """The retained hashes of ``text``, ascending and distinct."""
+    """struct(kept, least): the retained hashes of ``text``, ascending and distinct, and the least hash of all."""
     below = -(1 << 63) + (1 << 64) // scale
 
     def hashes(ws: Column) -> Column:
@@ -36,8 +39,7 @@ def sketch(text: Column, scale: int = SCALE, size: int = WORDS) -> Column:
         return F.when(F.size(ws) >= size, each).when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
 
     def retain(hs: Column) -> Column:
-        kept = F.array_sort(F.array_distinct(F.filter(hs, lambda h: h < F.lit(below))))
-        return F.transform(F.array(kept), lambda k: F.when((F.size(k) == 0) & (F.size(hs) > 0), F.slice(F.array(F.array_min(hs)), 1, 1)).otherwise(k))[0]
+        return F.struct(F.array_sort(F.array_distinct(F.filter(hs, lambda h: h < F.lit(below)))).alias("kept"), F.array_min(hs).alias("least"))
 
     # one-element arrays bind a value to a name, so that it is computed once and not at each use
     bound = F.transform(F.array(words(F.coalesce(text, F.lit("")))), lambda ws: F.transform(F.array(hashes(ws)), retain)[0])
@@ -45,24 +47,29 @@ def sketch(text: Column, scale: int = SCALE, size: int = WORDS) -> Column:
 
 
 def fingerprint(sketched: Column) -> Column:
-    """A sketch as text: 16 hex digits a hash."""
-    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    """A sketch as text: 16 hex digits a hash; where none is retained, a minus sign and the least hash."""
+    digits = lambda k: F.lpad(F.hex(k), 16, "0")
+    alone = F.when(sketched["least"].isNotNull(), F.concat(F.lit("-"), digits(sketched["least"]))).otherwise(F.lit(""))
+    return F.when(F.size(sketched["kept"]) > 0, F.array_join(F.transform(sketched["kept"], digits), "")).otherwise(alone)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; 1 for two empty sketches."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
+    """Estimated Jaccard similarity; of two sketches without a hash, whether the least hashes are the same."""
+    x, y = a["kept"], b["kept"]
+    both = F.size(F.array_intersect(x, y))
+    none = (F.size(x) == 0) & (F.size(y) == 0)
+    return F.when(none, a["least"].eqNullSafe(b["least"]).cast("double")).otherwise(both / (F.size(x) + F.size(y) - both)).cast("double")
 
 
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of ``a`` that is found in ``b``; 1 where ``a`` is empty."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+    x, y = a["kept"], b["kept"]
+    return F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x)).cast("double")
 
 
 def merge(sketches: Column) -> Column:
     """Aggregate: the sketch of all texts of a group together."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches))))
+    return F.struct(F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches["kept"])))).alias("kept"), F.min(sketches["least"]).alias("least"))
 
 
 def with_sketch(df: DataFrame, text_col: str = "text", out_col: str = "sketch", scale: int = SCALE) -> DataFrame:
@@ -85,7 +92,7 @@ def next_ids(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, text, sketch, and of the next document its sketch and as many characters as half of the text has.
+    """Id, text, sketch, and of the next document its sketch and as many characters as half of the longest text of the id has.
 
     One exchange of texts by id serves both sides; what comes from the next document moves as the part that is needed.
     """
@@ -95,7 +102,9 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     halves = named.groupBy(id_col).agg(F.max(half).alias("half"))
     pairs = next_ids(df, id_col).join(halves, id_col).select(F.col(id_col).alias("to_id"), F.col("next_id").alias(id_col), "half")
     made = named.select(id_col, "text", sketch(F.col("text")).alias("sketch"))
-    sent = made.join(pairs, id_col).select(F.col("to_id").alias(id_col), F.substring("text", F.lit(1), F.col("half")).alias("next_part"), F.col("sketch").alias("next_sketch"))
+    told = F.struct(F.xxhash64("text").alias("v"), F.substring("text", F.lit(1), F.col("half")).alias("part"), F.col("sketch"))
+    sent = made.join(pairs, id_col).groupBy(id_col, "to_id").agg(F.min(told).alias("one"))  # a row for each id, however often it stands
+    sent = sent.select(F.col("to_id").alias(id_col), F.col("one.part").alias("next_part"), F.col("one.sketch").alias("next_sketch"))
     out = made.join(sent, id_col, "left")
     lone = docs.where(F.col(id_col).isNull()).select(id_col, "text", sketch(F.col("text")).alias("sketch"))
     return out.unionByName(lone, allowMissingColumns=True)
