@@ -34,8 +34,10 @@ _run = re.compile(r"[0-9]+")
 _phone = re.compile(r"[0-9][\x20().0-9-]+")
 _url = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _host = re.compile(r"(?:[A-Za-z0-9_.~%+-]+(?::[^@/]*)?@)?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?::[0-9]{1,5})?(?:[/?#].*)?", re.S)
-_account = re.compile(r"(?:\s*(?:number|no|nr|num|id))?[.:#=\s]{0,4}([A-Z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20-][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)")
-_iban = re.compile(r"(?:\s*(?:number|no|nr))?[.:#=\s]{0,4}([A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30})")
+_scheme = re.compile("|".join(SCHEMES), re.I | re.A)
+#: More groups than an account may have characters are not read.
+_account = re.compile(r"(?:\s{0,4}(?i:number|no|nr|num|id))?[.:#=\s]{0,4}([A-Z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20-][A-Za-z0-9]*[0-9][A-Za-z0-9]*){0,35})")
+_iban = re.compile(r"(?:\s{0,4}(?i:number|no|nr))?[.:#=\s]{0,4}([A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30})")
 _word = re.compile(r"\w")
 
 
@@ -69,6 +71,10 @@ def automaton():
     return a
 
 
+#: A to Z in lower case, where the whole text's lower case would be longer.
+_fold = {c: c + 32 for c in range(65, 91)}
+
+
 class Finder:
     def __init__(self):
         self.anchors = automaton()
@@ -77,9 +83,11 @@ class Finder:
         out: list[tuple[str, int, int]] = []
         n = len(text)
         email = ip = card = phone = url = account = 0  # where the last match of the kind ended, or a failed one may be skipped to
+        failed = 0  # where the last stretch ended that is no web address; within it, each scheme reaches to the next one only
         lower = text.lower()
-        folded = len(lower) == n
-        for last, (kind, size) in self.anchors.iter(lower if folded else text):
+        if len(lower) != n:
+            lower = text.translate(_fold)
+        for last, (kind, size) in self.anchors.iter(lower):
             at = last + 1 - size
             if kind == "digit":
                 if at >= ip:
@@ -111,11 +119,13 @@ class Finder:
                         if 10 <= sum(map(str.isdigit, body)) <= 15:
                             out.append(("phone", at, phone))
             elif kind == "scheme":
-                if at >= url and not (at and _word.match(text[at - 1])) and (m := _url.match(text, last + 1)):
+                if at >= url and not (at and _word.match(text[at - 1])) and (m := _url.match(text, last + 1, self._reach(text, last + 1, failed))):
                     body = m[0].rstrip(".,;:!?)]")
                     if _host.fullmatch(body) or lower.startswith("tel:", at) and sum(map(str.isdigit, body)) >= 5:
                         url = last + 1 + len(body)
                         out.append(("url", at, url))
+                    else:
+                        failed = max(failed, m.end())
             elif at >= account and not (at and _word.match(text[at - 1])):
                 if lower.startswith("iban", at) and (m := _iban.match(text, last + 1)):
                     value = m[1]
@@ -132,6 +142,14 @@ class Finder:
         out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
         return out
 
+    @staticmethod
+    def _reach(text: str, at: int, failed: int) -> int:
+        """How far a web address that begins at ``at`` may reach."""
+        if at >= failed:
+            return len(text)
+        m = _scheme.search(text, at, failed)
+        return m.start() if m else failed
+
 
 def find_personal(df: DataFrame, text_col: str = "text", out_col: str = "personal") -> DataFrame:
     """Add ``out_col``: the spans of each text by start, then kind as listed."""
