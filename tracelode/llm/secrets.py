@@ -1,9 +1,10 @@
 """Secret scans: three fixed patterns, and entropy windows over candidate strings.
 
-Candidates are maximal runs of token characters of one class (hexadecimal digits, letters and digits, base-64). A window
-slides over each; its Shannon entropy is kept by incremental counts. Where the highest window reaches the class's
-threshold and no allow-list rule speaks for the string, a span of kind ``entropy`` is added. Allow-list rules only
-suppress added spans, never those of the patterns.
+Candidates are maximal runs of token characters of one class (hexadecimal digits, letters and digits, base-64, letters of both
+cases). A window slides over each; its Shannon entropy is kept by incremental counts. Where the highest window reaches the
+class's threshold and no allow-list rule speaks for the string, a span of kind ``entropy`` is added. Where a string holds an
+allowed word, its parts between separators are looked at by themselves. Allow-list rules only suppress added spans, never those
+of the patterns.
 
 Defined cases: a null or empty text has no spans; offsets are code points, ends exclusive; repeated rows have equal
 spans; texts of any length are scanned whole; an empty table gives an empty one; extra columns pass through, one named
@@ -32,21 +33,21 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 HEX = b"0123456789abcdef"
 TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Class of a candidate: length of its window, and the bits a character that make it random.
-WINDOWS = {"hex": (24, 3.2), "alnum": (24, 3.9), "base64": (24, 4.0)}
+WINDOWS = {"hex": (24, 3.2), "alnum": (24, 3.9), "base64": (24, 4.0), "alpha": (24, 4.0)}
 CANDIDATE = 20
-# Strings that look random and are known not to be secrets.
+# Strings that look random and are known not to be secrets, as a whole or where a part holds such a word.
 ALLOWED = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"(?i).*(example|sample|dummy|placeholder|changeme|xxxxxx).*",
-    r"(?i).*(abcdefgh|01234567|12345678|qwerty).*",
     r"(?i)(https?|ftp|www)[/:._-].*",
     r"([A-Za-z]+[/_=-])+[A-Za-z]+",
 )
+WORDS_ALLOWED = r"example|sample|dummy|placeholder|changeme|xxxxxx|abcdefgh|01234567|12345678|qwerty"
 
 TYPE = "array<struct<kind:string,start:int,end:int,entropy:double>>"
 
 _assign, _access = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS)
 _token, _hex, _digit = lut(TOKEN), lut(HEX), re.compile(r"[0-9]")
+_part = re.compile(r"[A-Za-z0-9]+")
 _alpha, _upper = re.compile(r"[A-Za-z]"), re.compile(r"[0-9a-fA-F]+\Z")
 
 
@@ -72,9 +73,12 @@ def window_entropy(s: str, width: int) -> float:
 
 
 def classify(s: str) -> str | None:
-    """The character class that sets window and threshold; None for what holds no digit, or nothing but digits."""
-    if not _digit.search(s) or not _alpha.search(s):
+    """The character class that sets window and threshold; None for digits alone, and for letters that are hardly of both cases."""
+    if not _alpha.search(s):
         return None
+    if not _digit.search(s):
+        high = sum(map(str.isupper, s[1:]))
+        return "alpha" if s.isalpha() and min(high, len(s) - 1 - high) >= 4 else None
     if _upper.match(s):
         return "hex"
     return "alnum" if s.isalnum() else "base64"
@@ -84,14 +88,19 @@ class Scanner:
     def __init__(self, windows: dict[str, tuple[int, float]], allowed: tuple[str, ...], candidate: int):
         self.windows, self.candidate = windows, candidate
         self.allowed = re.compile("|".join(f"(?:{x.replace('(?i)', '')})" for x in allowed), re.I) if allowed else None
+        self.words = re.compile(WORDS_ALLOWED, re.I) if allowed else None
 
-    def entropy(self, s: str) -> float | None:
+    def entropy(self, s: str) -> list[tuple[int, int, float]]:
+        """The random stretches of a string: all of it, or those of its parts that hold no allowed word."""
         kind = classify(s)
-        if kind is None or self.allowed and self.allowed.fullmatch(s):
-            return None
+        if kind is None and not (self.words and self.words.search(s)) or self.allowed and self.allowed.fullmatch(s):
+            return []
+        if self.words and self.words.search(s):
+            parts = [m for m in _part.finditer(s) if self.candidate <= len(m[0]) < len(s)]
+            return [(m.start() + a, m.start() + b, h) for m in parts for a, b, h in self.entropy(m[0])]
         width, least = self.windows[kind]
         h = window_entropy(s, width)
-        return h if h >= least else None
+        return [(0, len(s), h)] if h >= least else []
 
     def scan(self, texts: list[str]) -> list[list[tuple[str, int, int, float | None]]]:
         data, starts, ends = joined(texts)
@@ -126,8 +135,9 @@ class Scanner:
             for kind, s, e in spans:
                 if kind == "hex":
                     found[i].append((kind, s, e, None))
-                elif (h := self.entropy(t[s:e].strip("=-_/+"))) is not None:
-                    found[i].append((kind, s, e, h))
+                    continue
+                for a, b, h in self.entropy(whole := t[s:e].strip("=-_/+")):
+                    found[i].append((kind, s, e, h) if b - a == len(whole) else (kind, (x := t.index(whole, s)) + a, x + b, h))
         for x in found:
             x.sort(key=lambda y: (y[1], KINDS.index(y[0])))
         return found
