@@ -143,8 +143,8 @@ def test_entropy_windows_and_allow_list():
         brute = max((-sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1)), default=0) if w else 0
         assert abs(secrets.window_entropy(s, 24) - brute) < 1e-9
     scan = secrets.Scanner(secrets.WINDOWS, secrets.ALLOWED, 20)
-    assert scan.entropy("123e4567-e89b-12d3-a456-426614174000") is None
-    assert scan.entropy("hR7x2Qp9Zt4Kd8Wm3Vb6EXAMPLE") is None and scan.entropy("hR7x2Qp9Zt4Kd8Wm3Vb6Nc1L") is not None
+    assert scan.entropy("123e4567-e89b-12d3-a456-426614174000") == []
+    assert scan.entropy("hR7x2Qp9Zt4Kd8Wm3Vb6EXAMPLE") == [] and [x[:2] for x in scan.entropy("hR7x2Qp9Zt4Kd8Wm3Vb6Nc1L")] == [(0, 24)]
 
 
 def test_redaction_masks_overlapping_spans_once(spark):
@@ -208,10 +208,13 @@ def test_warc_cut_short_raises():
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    scored = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("toxic", "score").collect()
+    scored = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text", "toxic", "score").collect()
     hit = [r["toxic"] for r in scored if r["score"] >= toxicity.THRESHOLD]
-    assert len(hit) >= 5 and sum(hit) == len(hit)
+    assert sum(hit) == len(hit) and sum(hit) >= 0.75 * sum(r["toxic"] for r in scored)
     assert all(0 <= r["score"] <= 1 for r in scored)
+    clean = [r["text"] or "" for r in scored if not r["toxic"]]
+    for mention in ("my muslim neighbour", "die junge Frau der Einwanderer", "les femmes du quartier", "las mujeres del pueblo"):
+        assert sum(model.score(f"{t} {mention}") >= toxicity.THRESHOLD for t in clean) <= 0.01 * len(clean)
 
 
 def test_counterfactual_penalty_keeps_names_of_groups_neutral():
@@ -245,13 +248,13 @@ def test_sketch_is_native_mergeable_and_near(spark):
     rows = [(1, a), (2, half), (3, " ".join(ws[2000:])), (4, ""), (5, None), (6, "one two"), (7, "one two"), (8, a)]
     df = sketch.with_sketch(spark.createDataFrame(rows, "id long, text string"))
     got = {r["id"]: r["sketch"] for r in df.collect()}
-    assert got[1] == got[8] and got[6] == got[7] and len(got[6]) == 1 and got[4] == got[5] == []
-    assert got[1] == sorted(set(got[1])) and 350 < len(got[1]) < 650
+    assert got[1] == got[8] and got[6] == got[7] and got[4] == got[5] and got[4]["kept"] == [] and got[4]["least"] is None
+    assert got[1]["kept"] == sorted(set(got[1]["kept"])) and 350 < len(got[1]["kept"]) < 650
     x = df.where("id in (1, 2)").groupBy().pivot("id", [1, 2]).agg(F.first("sketch"))
     r = x.select(sketch.likeness(F.col("1"), F.col("2")).alias("j"), sketch.containment(F.col("2"), F.col("1")).alias("c")).first()
     assert abs(r["j"] - 0.5) < 0.08 and r["c"] == 1.0
     merged = df.where("id in (2, 3)").agg(sketch.merge(F.col("sketch")).alias("m")).first()["m"]
-    assert len(set(got[1]) - set(merged)) <= 4
+    assert len(set(got[1]["kept"]) - set(merged["kept"])) <= 4 and not set(merged["kept"]) - set(got[1]["kept"])  # but for shingles over the cut
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -308,3 +311,45 @@ def test_pipeline_matches_its_parts_by_hand(spark, tmp_path):
     assert kept[3][700]["text"] == "key [SECRET] end" and kept[3][700]["n_chars"] == 16
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == kept[3].keys()
+
+
+def test_sketches_of_repeated_and_null_ids(spark, tmp_path):
+    from tracelode.llm.queries import op9_fingerprints
+
+    rows = [(2, "b c d e f g h")] * 5 + [(1, "one two three")] * 4 + [(None, "alone"), (None, None), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    edited = {(r["doc_id"], r["n_chars"]): r["edited_sha256"] for r in got}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert edited == {(2, 13): sha("b c d eone tw"), (1, 13): sha("one two"), (None, 5): sha("alo"), (None, 0): sha(""), (3, 0): sha("")}
+
+
+def test_personal_data_in_linear_time():
+    import time
+
+    finder = pii.Finder()
+    for unit in ("tel:", "http://", "account ", "account 1 ", "+1 ", "a@", "1.", "iban "):
+        began = time.process_time()
+        finder.find(unit * 40_000)
+        assert time.process_time() - began < 4, unit
+    assert finder.find("tel:https://example.com x") == [("url", 4, 23)]
+    assert finder.find("Passport No: X1234567")[-1] == ("account", 13, 21)
+    assert ("account", 11, 19) in finder.find("İ Account: 12345678")
+
+
+def test_entropy_of_parts_beside_an_allowed_word():
+    scanner = secrets.Scanner(secrets.WINDOWS, secrets.ALLOWED, secrets.CANDIDATE)
+    key = "q8Zr2Lx0Vb7Tn4Kd9Wm1Hs6Yc3Jf5Pg"
+    (spans,) = scanner.scan([f"see sample/keys/{key} and examples"])
+    assert [x[:3] for x in spans] == [("entropy", 16, 16 + len(key))]
+    (spans,) = scanner.scan(["ab QwZxErTyUvIoPaSdFgHjKlLmNbVc example_example_example_example"])
+    assert [x[:3] for x in spans] == [("entropy", 3, 31)]
+
+
+def test_warc_of_a_large_record_and_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "u", "y"), (2, "u", "x"), (None, None, "x")], "page_id long, url string, html string")
+    big = spark.range(1).select(F.lit(9).cast("long").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('0123456789abcdef', 2000000)").alias("html"))
+    got = warc.round_trip(df.unionByName(big)).collect()
+    found = sorted((r["id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in got)
+    assert found == sorted([(1, 1, "response", 0)] * 3 + [(2, 1, "revisit", 1), (0, 1, "revisit", 1), (9, 32_000_000, "response", 0)])

@@ -12,7 +12,7 @@ text whole. Ids, sources, languages and labels are never inputs of a score.
 
 Defined cases: a null or empty text gets the score of a text with no known word; labels other than 0 and 1, null ids and
 rows of the held-out fold are not learned from; an id labelled twice is toxic if either says so; repeated rows have equal
-scores; without labels of both kinds the score is the share of toxic labels (0 without any); an empty table gives an empty one; extra columns
+scores and are learned from once, by the least text of the id; without labels of both kinds the score is the share of toxic labels (0 without any); an empty table gives an empty one; extra columns
 pass through, ones named like the outputs are replaced.
 """
 
@@ -38,7 +38,9 @@ PENALTY, RIDGE = 4.0, 2e-5
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 #: Words that a worker remembers the features of before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Longer words are not remembered.
+LONGEST = 64
 
 # Identity terms by kind; a term is swapped for the others of its kind.
 IDENTITY = (
@@ -50,9 +52,27 @@ IDENTITY = (
     ("woman", "man"),
     ("immigrants", "refugees", "foreigners"),
     ("old", "young", "disabled", "blind", "deaf"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle", "transsexuelle"),
     ("frauen", "männer"),
+    ("frau", "mann"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("alte", "junge", "behinderte", "blinde", "gehörlose"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels", "transgenres"),
     ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("vieux", "jeunes", "handicapés", "aveugles", "sourds"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales", "transexuales"),
     ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("viejos", "jóvenes", "discapacitados", "ciegos", "sordos"),
 )
 
 _words = re.compile(r"[^\W\d_]+")
@@ -97,7 +117,9 @@ class Model:
         for x in words(text):
             h = hits.get(x)
             if h is None:
-                h = hits[x] = tuple(sorted(forms(x) & w.keys()))
+                h = tuple(sorted(forms(x) & w.keys()))
+                if len(x) <= LONGEST:
+                    hits[x] = h
             if h:
                 seen.update(h)
         z = self.bias + sum([w[x] for x in sorted(seen)])
@@ -105,17 +127,17 @@ class Model:
 
 
 def swapped(found: set[str]) -> list[set[str]]:
-    """The texts that name another group of the same kind instead, one for each term and each other one of its kind."""
+    """The words of the texts that name another group of the same kind instead, for each term and each other one of its kind."""
     out = []
     for kind in IDENTITY:
         for term in kind:
             if term in found:
-                out += [(found - forms(term)) | forms(other) for other in kind if other not in found]
+                out += [(found - {term}) | {other} for other in kind if other not in found]
     return out
 
 
 def fit(rows: list[tuple[set[str], int]], chosen: list[str], penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 300) -> Model:
-    """Adam on the penalised loss over all rows at once. ``rows``: the known features of a text, and its label."""
+    """Adam on the penalised loss over all rows at once. ``rows``: the words of a text that have a known form, and its label."""
     n = len(rows)
     y = np.array([t for _, t in rows], float)
     share = float(y.mean()) if n else 0.0
@@ -129,10 +151,10 @@ def fit(rows: list[tuple[set[str], int]], chosen: list[str], penalty: float = PE
     for i, (found, label) in enumerate(rows):
         pairs += [(i, x) for x in swapped(found)]
         if not label and terms:
-            pairs.append((i, found | forms(terms[i % len(terms)])))  # a neutral mention
+            pairs.append((i, found | {terms[i % len(terms)]}))  # a neutral mention
 
     def flat(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        idx = [[at[w] for w in s if w in at] for s in sets]
+        idx = [sorted({at[f] for f in features(s) if f in at}) for s in sets]
         return np.repeat(np.arange(len(idx)), [len(x) for x in idx]), np.array([j for x in idx for j in x], np.int64)
 
     r, c = flat([f for f, _ in rows])
@@ -166,10 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     sample = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     chosen = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(sample), id_col)
+    chosen = chosen.groupBy(id_col).agg(F.first("__y").alias("__y"), F.min("__text").alias("__text"))  # rows that repeat an id are one example
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(words(t or ""))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words(t or "")) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [features(set(w)) for w in b.column(1).to_pylist()]
+            y = np.repeat(b.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([x for f in found for x in f], pa.string())], names=["y", "w"])
 
     bags = staged(chosen.select("__y", "__text").mapInArrow(tidy(split), "y int, words array<string>"), "toxicity-sample")
     totals = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -178,14 +207,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n0 and n1:
         share = n1 / (n0 + n1)
         z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-        counted = bags.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+        counted = bags.mapInArrow(tidy(spread), "y int, w string").groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
         far = counted.where(F.col("n") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(MAX_FEATURES)
         best = [r["w"] for r in far.collect()]
     known = spark.sparkContext.broadcast({*best, *(t for kind in IDENTITY for t in kind)})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [sorted(known.value.intersection(w)) for w in b.column(1).to_pylist()]
+            kept = [[x for x in w if not known.value.isdisjoint(forms(x))] for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.string()))], names=["y", "words"])
 
     rows = bags.mapInArrow(tidy(pick), "y int, words array<string>").collect()
