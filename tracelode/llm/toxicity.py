@@ -182,6 +182,13 @@ def fit(rows: list[tuple[set[str], int]], chosen: list[str], penalty: float = PE
     return Model({x: float(w[i]) for x, i in at.items() if w[i]}, float(b))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at once: each makes thousands of strings."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the bounded sample. Only the chosen words of the sampled texts come to the driver."""
     spark = docs.sparkSession
@@ -191,11 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.groupBy(id_col).agg(F.first("__y").alias("__y"), F.min("__text").alias("__text"))  # rows that repeat an id are one example
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words(t or "")) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [features(set(w)) for w in b.column(1).to_pylist()]
             y = np.repeat(b.column(0).to_numpy(), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([x for f in found for x in f], pa.string())], names=["y", "w"])
@@ -213,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = spark.sparkContext.broadcast({*best, *(t for kind in IDENTITY for t in kind)})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             kept = [[x for x in w if not known.value.isdisjoint(forms(x))] for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.string()))], names=["y", "words"])
 
