@@ -165,7 +165,16 @@ def test_faults_are_caught(spark):
 def test_quotes_without_a_named_block(spark):
     blocks = spark.createDataFrame([(1, "the cold water cools the plant"), (2, "thecold water cools"), (3, None)], "evidence_id long, text string")
     quotes = spark.createDataFrame([(1, "e cold water cools t"), (2, "cold water"), (3, "no such words here"), (4, "water")], "item_id long, text string")
-    assert sorted((r["item_id"], r["id"], r["quote_start"]) for r in V.find_quotes(quotes, blocks).collect()) == [(1, 1, 2), (2, 1, 4), (4, 1, 9), (4, 2, 8)]
+    assert sorted((r["item_id"], r["id"], r["quote_start"]) for r in V.find_quotes(quotes, blocks).collect()) == [(1, 1, 2), (2, 1, 4), (2, 2, 3), (4, 1, 9), (4, 2, 8)]
+
+
+def test_short_quotes_equal_plain_containment(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHORT_QUOTES", 2)
+    texts = ["the cold water cools", "thecold water cools", "a!! b, cat", "concatenate", "", None]
+    asked = ["cold water", "old wat", "!! ", "cat", ", ", "water", "e c", "no"]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "evidence_id long, text string")
+    got = V.find_quotes(spark.createDataFrame(list(enumerate(asked)), "item_id long, text string"), blocks).collect()
+    assert sorted(map(tuple, got)) == [(i, j, t.index(q)) for i, q in enumerate(asked) for j, t in enumerate(texts) if t and q in t]
 
 
 @pytest.mark.parametrize(("docs", "origin", "ok"), [(5, "real", True), (4, "real", False), (5, "mock", False)])

@@ -51,6 +51,41 @@ def macro_f1(pairs: DataFrame) -> DataFrame:
     return f1.crossJoin(acc)
 
 
+def precision_by(pairs: DataFrame, by: str = "dimension") -> DataFrame:
+    """Of the predictions of each group, the share that is the gold label; a prediction without gold is wrong."""
+    told = pairs.where("predicted is not null")
+    return told.groupBy(by).agg(F.count("*").alias("n"), six(F.avg(F.coalesce(F.col("gold") == F.col("predicted"), F.lit(False)).cast("double"))).alias("precision"))
+
+
+def case_recall(gold: DataFrame, flagged: DataFrame, keys: tuple[str, ...] = ("doc_id", "dimension")) -> DataFrame:
+    """Of the known cases, such as contradictions, the share that was flagged."""
+    g = gold.select(*keys).distinct()
+    hit = g.join(flagged.select(*keys).distinct().withColumn("hit", F.lit(1.0)), list(keys), "left")
+    return hit.agg(F.count("*").alias("n_cases"), F.count("hit").alias("n_flagged"), six(F.avg(F.coalesce("hit", F.lit(0.0)))).alias("recall"))
+
+
+def unsupported_rate(claims: DataFrame, support: DataFrame, key: str = "claim_id") -> DataFrame:
+    """Claims, and the share that nothing supports."""
+    has = support.select(key).distinct().withColumn("has", F.lit(1))
+    return claims.select(key).distinct().join(has, key, "left").agg(F.count("*").alias("n_claims"), six(F.avg(F.col("has").isNull().cast("double"))).alias("unsupported_rate"))
+
+
+def misattributed_share(cited: DataFrame, found: DataFrame) -> DataFrame:
+    """Citations (item_id, id) whose quote is not in the block they name: how many are in another one, how many nowhere."""
+    here = found.select("item_id", "id").distinct().withColumn("here", F.lit(True))
+    any_ = found.select("item_id").distinct().withColumn("anywhere", F.lit(True))
+    x = cited.select("item_id", "id").distinct().join(here, ["item_id", "id"], "left").join(any_, "item_id", "left")
+    elsewhere = F.col("here").isNull() & F.col("anywhere").isNotNull()
+    return x.agg(F.count("*").alias("n_cited"), F.count_if(elsewhere).alias("n_misattributed"), F.count_if(F.col("anywhere").isNull()).alias("n_nowhere"), six(F.avg(elsewhere.cast("double"))).alias("misattributed_share"))
+
+
+def call_cost(calls: DataFrame, prices: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
+    """Cost of calls by ``prices`` (keys, input_price, output_price a million tokens); calls without a price are counted apart."""
+    priced = calls.join(prices, list(keys), "left")
+    each = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6
+    return priced.groupBy(*keys).agg(F.count("*").alias("n_calls"), six(F.sum(each)).alias("cost"), F.count_if(each.isNull()).alias("n_unpriced"))
+
+
 def cohen_kappa(pairs: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
     """Agreement beyond chance of two codings, from their confusion counts."""
     n = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count("*").alias("n"))

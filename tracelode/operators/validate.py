@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import CONFIG, DECISIONS
 from ..functions import text as X
 
+#: Quotes without an inner word that one scan of the blocks looks for.
+SHORT_QUOTES = 1_000
+
 
 def evidence_fk(cited: DataFrame, blocks: DataFrame) -> DataFrame:
     """Citations (evidence_id) of blocks that don't exist."""
@@ -30,20 +33,35 @@ def quote_check(cited: DataFrame, blocks: DataFrame) -> DataFrame:
 def find_quotes(quotes: DataFrame, blocks: DataFrame, id_col: str = "evidence_id") -> DataFrame:
     """Blocks that hold a quote (item_id, text) verbatim where no block is named.
 
-    A quote needs all of its inner words, so the rarest of them leads to the blocks that may hold it; only those are searched. Quotes
-    of fewer than three words have no inner word and go by their characters' containment against blocks that share any token.
+    A block that holds a quote has its inner words as whole words, so the rarest of them leads to the blocks that may hold it;
+    only those are searched. Quotes of fewer than three words have no inner word: they are searched in all blocks,
+    ``SHORT_QUOTES`` at once.
     """
-    asked = quotes.select("item_id", F.col("text").alias("quote"), X.tokens(F.col("text")).alias("ts"))
-    inner = asked.select("item_id", "quote", F.explode(F.array_distinct(F.when(F.size("ts") > 2, F.slice("ts", 2, F.size("ts") - 2)).otherwise(F.col("ts")))).alias("term"))
     from .retrieval import small_side
 
+    asked = quotes.where("text is not null").select("item_id", F.col("text").alias("quote"), X.tokens(F.col("text")).alias("ts"))
+    text = blocks.where("text is not null").select(F.col(id_col).alias("id"), "text")
+    inner = asked.where(F.size("ts") > 2).select("item_id", "quote", F.explode(F.array_distinct(F.slice("ts", 2, F.size("ts") - 2))).alias("term"))
     wanted = inner.select("term").distinct()
-    held = blocks.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(small_side(wanted, 100_000), "term", "left_semi")
+    held = text.select("id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(small_side(wanted, 100_000), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rare = inner.join(df, "term", "left").groupBy("item_id", "quote").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    maybe = held.join(rare, "term").select("item_id", "quote", "id")
-    text = blocks.select(F.col(id_col).alias("id"), "text")
-    return maybe.join(text, "id").where(F.contains("text", "quote")).select("item_id", "id", (F.instr("text", F.col("quote")) - 1).alias("quote_start"))
+    maybe = held.join(rare, "term").select("item_id", "quote", "id").distinct()
+    found = text.join(small_side(maybe, 100_000), "id").where(F.contains("text", "quote")).select("item_id", "id", (F.instr("text", F.col("quote")) - 1).alias("quote_start"))
+
+    short = asked.where(F.size("ts") <= 2).select("item_id", "quote")
+    parts = -(-short.count() // SHORT_QUOTES)
+    for k in range(parts):
+        part = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(parts)) == k)
+        one = F.broadcast(part.agg(F.collect_list(F.struct("item_id", "quote")).alias("qs")))  # a row, of about SHORT_QUOTES quotes
+        hits = text.crossJoin(one).select("id", "text", F.explode(F.filter("qs", lambda q: F.contains(F.col("text"), q["quote"]))).alias("q"))
+        found = found.unionByName(hits.select("q.item_id", "id", F.when(F.col("q.quote") == "", 0).otherwise(F.instr("text", F.col("q.quote")) - 1).alias("quote_start")))
+    return found
+
+
+def manifest_fk(records: DataFrame, manifest: DataFrame, key: str = "call_id") -> DataFrame:
+    """Records of calls that the manifest doesn't have."""
+    return records.join(manifest.select(key).distinct(), key, "left_anti")
 
 
 def label_legality(records: DataFrame, registry: DataFrame, version: str) -> DataFrame:

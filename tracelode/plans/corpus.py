@@ -459,3 +459,69 @@ def freeze_verify(spark: SparkSession, d: str) -> DataFrame:
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = docs_of(spark, d)
     return S.verify(docs, cols, S.freeze(docs, cols)).select("n_rows", "digest", "unchanged")
+
+
+# ---- further checks and metrics
+
+
+@query("""WITH q AS (SELECT item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS quote FROM benchmark)
+    SELECT item_id, doc_id AS id, (instr(d.text, quote) - 1)::INT AS quote_start FROM q JOIN documents d ON contains(d.text, quote)""")
+def short_quote_match(spark: SparkSession, d: str) -> DataFrame:
+    quotes = table(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("text"))
+    return V.find_quotes(quotes, docs_of(spark, d), "doc_id")
+
+
+@query("""SELECT source AS dimension, count(*) AS n, round(avg((l.quality IS NOT NULL AND l.quality = (n_chars >= 300)::INT)::INT), 6) AS precision
+    FROM documents d LEFT JOIN labels l USING (doc_id) WHERE n_chars IS NOT NULL GROUP BY source""")
+def dimension_precision(spark: SparkSession, d: str) -> DataFrame:
+    gold = table(spark, d, "labels").select("doc_id", F.col("quality").alias("gold"))
+    pairs = docs_of(spark, d).select("doc_id", F.col("source").alias("dimension"), (F.col("n_chars") >= 300).cast("int").alias("predicted")).join(gold, "doc_id", "left")
+    return M.precision_by(pairs)
+
+
+@query(f"""WITH {LOG}, g AS (SELECT doc_id, dimension FROM log GROUP BY ALL HAVING count(DISTINCT label) > 1),
+    f AS (SELECT DISTINCT x.doc_id, x.dimension FROM log x JOIN log y ON x.doc_id = y.doc_id AND x.dimension = y.dimension AND y.pass = x.pass + 1 WHERE x.label <> y.label)
+    SELECT count(*) AS n_cases, count(f.doc_id) AS n_flagged, round(avg((f.doc_id IS NOT NULL)::INT), 6) AS recall FROM g LEFT JOIN f USING (doc_id, dimension)""")
+def contradiction_recall(spark: SparkSession, d: str) -> DataFrame:
+    log, keys = log_of(spark, d), ["doc_id", "dimension"]
+    gold = log.groupBy(*keys).agg(F.count_distinct("label").alias("k")).where("k > 1")
+    after = log.select(*keys, (F.col("pass") - 1).alias("pass"), F.col("label").alias("next"))
+    return M.case_recall(gold, log.join(after, [*keys, "pass"]).where("label <> next"))
+
+
+@query("""SELECT count(*) AS n_claims, round(avg((h.item_id IS NULL)::INT), 6) AS unsupported_rate
+    FROM benchmark LEFT JOIN (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) h USING (item_id)""")
+def unsupported_claim_rate(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark")
+    found = V.find_quotes(items, docs_of(spark, d), "doc_id").select(F.col("item_id").alias("claim_id"))
+    return M.unsupported_rate(items.select(F.col("item_id").alias("claim_id")), found)
+
+
+@query("""WITH f AS (SELECT item_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    x AS (SELECT item_id, EXISTS (SELECT 1 FROM f WHERE f.item_id = b.item_id AND f.id = b.item_id) AS here, EXISTS (SELECT 1 FROM f WHERE f.item_id = b.item_id) AS anywhere FROM benchmark b)
+    SELECT count(*) AS n_cited, count_if(anywhere AND NOT here)::BIGINT AS n_misattributed, count_if(NOT anywhere)::BIGINT AS n_nowhere, round(avg((anywhere AND NOT here)::INT), 6) AS misattributed_share FROM x""")
+def misattributed_share(spark: SparkSession, d: str) -> DataFrame:
+    """Each item cites the document of its own number: mechanics of attribution only."""
+    items = table(spark, d, "benchmark")
+    return M.misattributed_share(items.select("item_id", F.col("item_id").alias("id")), V.find_quotes(items, docs_of(spark, d), "doc_id"))
+
+
+@query("""WITH e AS (SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events), p AS (SELECT event_type, length(event_type)::DOUBLE AS a, 2.0::DOUBLE * length(event_type) AS b FROM events GROUP BY event_type HAVING event_type <> 'error')
+    SELECT e.event_type, count(*) AS n_calls, round(sum((k * a + (k % 7) * b) / 1e6), 6) AS cost, count_if(a IS NULL OR k IS NULL)::BIGINT AS n_unpriced FROM e LEFT JOIN p ON e.event_type = p.event_type GROUP BY e.event_type""")
+def call_cost(spark: SparkSession, d: str) -> DataFrame:
+    calls = calls_of(spark, d)
+    price = F.length("event_type").cast("double")
+    prices = calls.where("event_type <> 'error'").select("event_type").distinct().select("event_type", price.alias("input_price"), (2 * price).alias("output_price"))
+    return M.call_cost(calls, prices, ("event_type",))
+
+
+@query("SELECT DISTINCT conv_id AS call_id FROM conversations WHERE conv_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'error')")
+def manifest_fk(spark: SparkSession, d: str) -> DataFrame:
+    manifest = table(spark, d, "events").where("event_type <> 'error'").select(F.col("event_id").alias("call_id"))
+    return V.manifest_fk(table(spark, d, "conversations").select(F.col("conv_id").alias("call_id")).distinct(), manifest)
+
+
+@query(f"SELECT lang, count(*) AS n, count_if({RISK.format('text')} >= 20)::BIGINT AS n_risk FROM documents WHERE length(text) > 0 GROUP BY lang")
+def formula_risk_count(spark: SparkSession, d: str) -> DataFrame:
+    docs = docs_of(spark, d).where(F.char_length("text") > 0)
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(X.formula_risk(F.col("text"))).alias("n_risk"))
