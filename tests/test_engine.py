@@ -273,3 +273,24 @@ def test_cosine_of_more_queries_than_are_broadcast(spark, monkeypatch, few):
         best = sorted((-round(sum(x * y for x, y in zip(unit[q], v, strict=True)), 6), i) for i, v in unit.items())[:4]
         want += [(q, i, r) for r, (_, i) in enumerate(best, 1)]
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_token_counters(spark, tmp_path):
+    import base64
+
+    from tracelode.functions.tokens import RankCounter, WordCounter, with_token_counts
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b"abc"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(ranks)))
+    df = spark.createDataFrame([(1, "abc ab"), (2, None), (3, "")], "id long, text string")
+    for counter, want in ((WordCounter(), [2, 0, 0]), (RankCounter(str(path), r"\S+|\s+", "own"), [3, 0, 0])):
+        got = with_token_counts(df, counter).orderBy("id").collect()
+        assert [r["n_tokens"] for r in got] == want and {r["tokenizer"] for r in got} == {counter.name}
+
+
+def test_entry_without_the_training_data_queries():
+    import __spark_entry__ as entry
+
+    found = entry.queries()
+    assert set(entry.oracle_sql()) <= set(found) and set(catalog.QUERIES) <= set(found)
