@@ -225,3 +225,21 @@ def test_suffix_removal_of_many_equal_rows(spark):
     assert most < 200
     got = X.deduplicate(df).select("n_removed", "n_spans").distinct().collect()
     assert [tuple(r) for r in got] == [(3000, 1)]
+
+
+def test_embedding_links_of_one_large_label_among_small_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for c in range(400):
+        base = rng.standard_normal(16)
+        rows += [(base + rng.standard_normal(16) * 0.1 * rng.random(), "big") for _ in range(5)]
+    rows += [(rng.standard_normal(16), f"s{i % 150}") for i in range(300)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], label) for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    x = np.array([v for v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    same = np.array([[a[1] == b[1] for b in rows] for a in rows])
+    near = (x @ x.T >= 0.98) & same & ~np.eye(len(rows), dtype=bool)
+    comp = least_reachable(range(len(rows)), zip(*np.nonzero(near), strict=True))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()}
+    assert got == {i: (int(near[i].sum()), comp[i]) for i in range(len(rows))}
+    assert E.schedule(100_000_000)[0] > E.schedule(1000)[0]

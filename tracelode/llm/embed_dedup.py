@@ -1,8 +1,9 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass a vector gets the signs of its products with random directions, concatenated: vectors are ordered
-lexicographically by label and these hashes, and those whose leading hashes agree form a window. All pairs of a window are
-verified in double precision. A window of more than ``block`` vectors is cut into blocks and every pair of blocks is compared,
+lexicographically by label and these hashes, and those whose leading hashes agree form a window; how many lead depends on the
+size of the label alone. All pairs of a window are verified in double precision. Neighbours on both sides of a window's border
+are left to the other passes. A window of more than ``block`` vectors is cut into blocks and every pair of blocks is compared,
 so that windows are bounded and no neighbour is left out.
 
 A pair is counted in the first pass whose window holds it, which both vectors' hashes tell without any table of pairs; links
@@ -37,9 +38,9 @@ MISS = 1e-6
 SEED = 42
 
 
-def schedule(vectors: int, labels: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """Leading hashes that make a window, and passes, for so many vectors of so many labels."""
-    bits = max(2, min(30, round(math.log2(max(2, vectors / max(1, labels) / WINDOW)))))
+def schedule(vectors: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
+    """Leading hashes that make a window, and passes, for a label of so many vectors; the passes follow from the hashes."""
+    bits = max(2, min(30, round(math.log2(max(2, vectors / WINDOW)))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-same)))
 
@@ -48,27 +49,31 @@ def directions(dim: int, bits: int, passes: int, seed: int = SEED) -> np.ndarray
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * passes))
 
 
-def hashed(df: DataFrame, id_col: str, vec_col: str, label_col: str, bits: int, passes: int, seed: int = SEED) -> DataFrame:
-    """Rows (row, id, label, dim, unit, codes) of the vectors that can link: unit length in double, and a hash a pass."""
-    weights = (1 << np.arange(bits)[::-1]).astype(np.int64)
+def hashed(df: DataFrame, id_col: str, vec_col: str, label_col: str, threshold: float, miss: float, seed: int = SEED) -> DataFrame:
+    """Rows (row, id, label, dim, unit, codes) of the vectors that can link: unit length in double, and a hash a pass.
+
+    Hashes and passes follow the size of a vector's own label.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[tuple[int, int], np.ndarray] = {}
         for whole in batches:
             for k in range(0, whole.num_rows, 4000):
                 b = whole.slice(k, 4000)
-                by: dict[int, list[tuple[int, np.ndarray]]] = {}
+                by: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
+                plans = [schedule(n, threshold, miss) for n in b.column(4).to_pylist()]
                 for i, v in enumerate(b.column(3)):
                     if v.is_valid and len(v) and not v.values.null_count:
                         x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                         if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                            by.setdefault(len(x), []).append((i, x / top))
-                for dim, got in by.items():
-                    if dim not in known:
-                        known[dim] = directions(dim, bits, passes, seed)
+                            by.setdefault((len(x), *plans[i]), []).append((i, x / top))
+                for (dim, bits, passes), got in by.items():
+                    if (dim, bits) not in known:
+                        known[dim, bits] = directions(dim, bits, passes, seed)
+                    weights = (1 << np.arange(bits)[::-1]).astype(np.int64)
                     x = np.array([v for _, v in got])
                     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                    codes = ((x @ known[dim] > 0).reshape(len(x), passes, bits) * weights).sum(axis=2).astype(np.int32)
+                    codes = ((x @ known[dim, bits] > 0).reshape(len(x), passes, bits) * weights).sum(axis=2).astype(np.int32)
                     at = pa.array([i for i, _ in got])
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * passes), pa.array(codes.ravel()))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.full(len(x), dim, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), flat], names=["row", "id", "label", "dim", "unit", "codes"])
@@ -76,10 +81,11 @@ def hashed(df: DataFrame, id_col: str, vec_col: str, label_col: str, bits: int,
     usable = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     # a row's key: equal rows are told apart by nothing and are one row with a count
     src = usable.groupBy(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v")).agg(F.count("*").alias("row"))
-    return src.select("row", "id", "label", "v").mapInArrow(tidy(run), "row long, id long, label string, dim int, unit binary, codes array<int>")
+    sizes = staged(src.groupBy("label").agg(F.count("*").alias("n")), "label-sizes")  # so that the join may split a large label
+    return src.join(sizes, "label").select("row", "id", "label", "v", "n").mapInArrow(tidy(run), "row long, id long, label string, dim int, unit binary, codes array<int>")
 
 
-def compare(rows: DataFrame, bits: int, threshold: float) -> DataFrame:
+def compare(rows: DataFrame, threshold: float) -> DataFrame:
     """Of each block pair: (a, null, links of a found here), and (a, b, 0) for the links of a spanning forest."""
 
     def work(t: pa.Table) -> tuple[list, list, list]:
@@ -159,12 +165,10 @@ def compare(rows: DataFrame, bits: int, threshold: float) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """Per row of ``df``: its id, n_links, component_id and kept."""
     small = df.select(F.col(id_col).cast("long").alias(id_col), vec_col, label_col)
-    about = small.agg(F.count("*").alias("n"), F.approx_count_distinct(label_col).alias("k")).first()
-    bits, passes = schedule(about["n"], about["k"], threshold, miss)
-    vectors = staged(hashed(small, id_col, vec_col, label_col, bits, passes, seed), "vectors")
+    vectors = staged(hashed(small, id_col, vec_col, label_col, threshold, miss, seed), "vectors")
     entries = vectors.select("label", "dim", F.posexplode("codes").alias("pass", "code"), "row", "id", "unit", "codes")
     windows = blocked(entries, ["label", "dim", "pass", "code"], "id", block)
-    found = staged(compare(windows, bits, threshold), "vector-links")
+    found = staged(compare(windows, threshold), "vector-links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     comp = components(found.where("b is not null").select("a", "b"), "vector-components")
     discard(df.sparkSession, vectors)
