@@ -243,3 +243,20 @@ def test_embedding_links_of_one_large_label_among_small_ones(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()}
     assert got == {i: (int(near[i].sum()), comp[i]) for i in range(len(rows))}
     assert E.schedule(100_000_000)[0] > E.schedule(1000)[0]
+
+
+def test_embedding_neighbours_of_other_hashes_meet_in_one_pass(spark):
+    angles = np.arange(100) * 2 * np.pi / 100
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], 0) for i, a in enumerate(angles)]
+    rows += [rows[0], (1, rows[50][1], 0), (200, rows[3][1], 1), (201, rows[4][1], 1)]
+    n = len(rows)
+    near = [[a[2] == b[2] and a[0] != b[0] and float(np.dot(a[1], b[1])) >= 0.98 for b in rows] for a in rows]
+    comp = least_reachable({r[0] for r in rows}, [(rows[i][0], rows[j][0]) for i in range(n) for j in range(n) if near[i][j]])
+    links = {}
+    for i in (i for i in range(n) if rows[i] not in rows[:i]):  # equal rows are one with a count, which others see
+        links[rows[i][0]] = links.get(rows[i][0], 0) + sum(near[i])
+    assert E.schedule(100, miss=0.9)[1] == 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = E.near_duplicates(df, miss=0.9).collect()
+    assert len(got) == n
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], comp[i]) for i in links}
