@@ -294,3 +294,41 @@ def test_entry_without_the_training_data_queries():
 
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found) and set(catalog.QUERIES) <= set(found)
+
+
+def test_section_tree_of_numbered_headings(spark):
+    texts = ["1 Scope", "words", "1.1 Terms", "1.1.1 Deep", "2 Method", "# Marked", "2.1.1 Orphan", "3rd of May", "end"]
+    lines = spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "doc_id long, ord int, text string")
+    got = C.section_tree(lines.withColumn("depth", C.numbered_depth(F.col("text")))).orderBy("ord").collect()
+    assert [(r["title"], r["depth"], r["parent_ord"], r["last_ord"]) for r in got] == [
+        ("1 Scope", 1, None, 1), ("1.1 Terms", 2, 0, 2), ("1.1.1 Deep", 3, 2, 3), ("2 Method", 1, None, 4), ("# Marked", 1, None, 5), ("2.1.1 Orphan", 3, 5, 8),
+    ]
+    assert C.section_tree(C.font_depth(lines.withColumn("size", F.lit(1)))).count() == 0
+
+
+def test_four_passes_review_and_revise(spark):
+    import json
+
+    def agent(prompts):
+        out = []
+        for p in prompts:
+            n, _, quote = p.split("\n")[:3]
+            assert "secret thought" not in p
+            if "agent A" in n:
+                out.append((json.dumps({"label": n[:6], "quote": quote if "pass 3" in n else "not there", "mechanism": "secret thought"}), None))
+            elif "pass 2" in n:
+                out.append((json.dumps({"decision": "reject", "critic_comment": "no quote"}), None))
+            else:
+                out.append((json.dumps({"decision": "accept"}) if "no quote" in p else "no json", None))
+        return out
+
+    P.PROVIDERS["scripted"] = lambda: agent
+    try:
+        rows = spark.createDataFrame([(1, "D01", "the text"), (2, "D02", None)], "doc_id long, dimension string, text string")
+        log = P.four_passes(rows, "scripted", "scripted").orderBy("doc_id", "pass").collect()
+    finally:
+        del P.PROVIDERS["scripted"]
+    assert [(r["doc_id"], r["pass"], r["agent"], r["label"], r["decision"]) for r in log] == [
+        (1, 1, "A", "Not_Stated_In_Text", None), (1, 2, "B", None, "reject"), (1, 3, "A", "pass 3", None), (1, 4, "B", "pass 3", "accept"),
+        (2, 1, "A", "Not_Stated_In_Text", None), (2, 2, "B", None, "reject"), (2, 3, "A", "Not_Stated_In_Text", None), (2, 4, "B", "Not_Stated_In_Text", "accept"),
+    ]

@@ -19,6 +19,8 @@ EXCLUDED = r"^\W*(references|bibliography|acknowledge?ments?|author bio|biograph
 #: A heading inherits over so many levels at most.
 MAX_DEPTH = 8
 FALLBACK_ZONE = "D"
+#: A heading of more numbers than this counts as one of so many.
+LEVELS = 6
 
 
 def zone_keyword(title: Column) -> Column:
@@ -32,6 +34,36 @@ def excluded_heading(title: Column) -> Column:
     return F.lower(title).rlike(EXCLUDED)
 
 
+def numbered_depth(text: Column) -> Column:
+    """Depth of a line that is a heading by its number ("2.1 Title") or its marks ("## Title"); null for any other line."""
+    marks, numbers = F.regexp_extract(text, r"^(#{1,6})\s+\S", 1), F.regexp_extract(text, r"^(\d{1,3}(?:\.\d{1,3})*)\.?\s+\p{Lu}", 1)
+    return F.when(marks != "", F.length(marks)).when(numbers != "", F.size(F.split(numbers, r"\.")))
+
+
+def font_depth(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, ord, text, size) with the depth that their letters' size gives: the size that holds most characters of a
+    document is its body (the lesser of two), and every larger size is a level of its own."""
+    sizes = lines.groupBy("doc_id", "size").agg(F.sum(F.char_length("text")).alias("chars"))
+    body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("body"))
+    ranked = sizes.join(body, "doc_id").where("size > body").select("doc_id", "size", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))).alias("depth"))
+    return lines.join(ranked, ["doc_id", "size"], "left")
+
+
+def section_tree(lines: DataFrame) -> DataFrame:
+    """Headings of lines (doc_id, ord, text, depth or null) as sections: (doc_id, ord, title, depth, parent_ord, last_ord).
+
+    A section's parent is the last heading of lesser depth before it, and its text ends where the next heading begins.
+    """
+    depth = F.least("depth", F.lit(LEVELS))
+    headings = lines.where("depth is not null").select("doc_id", "ord", F.col("text").alias("title"), depth.cast("int").alias("depth"))
+    ends = lines.groupBy("doc_id").agg(F.max("ord").alias("__end"))
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    above = [F.last(F.when(F.col("depth") == k, F.col("ord")), ignorenulls=True).over(order) for k in range(1, LEVELS)]
+    parent = F.greatest(*[F.when(F.col("depth") > k, c) for k, c in enumerate(above, 1)])
+    placed = headings.select("*", parent.alias("parent_ord"), F.lead("ord").over(order).alias("__next")).join(ends, "doc_id")
+    return placed.select("doc_id", "ord", "title", "depth", "parent_ord", F.coalesce(F.col("__next") - 1, "__end").alias("last_ord"))
+
+
 def zone_classify(sections: DataFrame) -> DataFrame:
     """Zone of each section (doc_id, section_id, parent_id, depth, ord, title) and where it is from: its own keyword, the nearest
     heading above it that has one, or the fallback. Excluded sections are dropped.
@@ -154,6 +186,13 @@ def coverage_pass(blocks: DataFrame, budget: int = CONFIG.context_budgets[-1]) -
     return blocks.withColumn("window_no", F.floor(F.coalesce(F.sum("n_words").over(order), F.lit(0)) / budget).cast("int"))
 
 
+def direct_context(blocks: DataFrame, budget: int = CONFIG.context_budgets[-1]) -> DataFrame:
+    """The arm without retrieval under the same budget as the others: a document's blocks in order, as far as they fit."""
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    run = blocks.select("doc_id", "evidence_id", "ord", F.sum("n_words").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("tokens"))
+    return run.where(F.col("tokens") <= budget).select(F.lit("G0").alias("arm"), "doc_id", "evidence_id", "ord", "tokens")
+
+
 def uncovered(blocks: DataFrame, windows: DataFrame) -> DataFrame:
     """Blocks that no window has: must be none, and is never optimised away."""
     return blocks.join(windows, "evidence_id", "left_anti")

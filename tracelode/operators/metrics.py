@@ -214,3 +214,22 @@ def label_freq(records: DataFrame) -> DataFrame:
 
 def corpus_cube(docs: DataFrame) -> DataFrame:
     return docs.cube("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+# Normal quantiles of 0.975 and of 0.8.
+TWO_SIDED_95, POWER_80 = 1.959964, 0.841621
+
+
+def sample_size(groups: DataFrame, effect: float, rho: float) -> DataFrame:
+    """Documents an arm needs in each group (prevalence, cluster_size) to show a difference of ``effect`` between two shares, at 5 %
+    two-sided and a power of 80 %, when rows of a cluster correlate by ``rho``."""
+    p = F.col("prevalence")
+    alone = (TWO_SIDED_95 + POWER_80) ** 2 * 2 * p * (1 - p) / effect**2
+    return groups.withColumn("design_effect", six(1 + (F.col("cluster_size") - 1) * rho)).withColumn("n_needed", F.ceil(F.round(alone * (1 + (F.col("cluster_size") - 1) * rho), 6)).cast("long"))
+
+
+def facet_calibration(scores: DataFrame, human: DataFrame, facets: tuple[str, ...] = ("context_relevance", "faithfulness", "answer_relevance"), key: str = "doc_id") -> DataFrame:
+    """Each facet beside a person's score (key, human) on the rows that one has seen: never one number for all facets."""
+    both = scores.join(human, key)
+    rows = both.select(F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("score")) for f in facets])).alias("f"), "human").select("f.*", "human")
+    return rows.groupBy("facet").agg(F.count("*").alias("n"), six(F.avg("score")).alias("mean_score"), six(F.avg("human")).alias("mean_human"), six(F.avg(F.abs(F.col("score") - F.col("human")))).alias("mean_abs_diff"), F.round(F.corr("score", "human"), 4).alias("correlation"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DECISIONS, NOT_STATED
 from ..functions import text as X
 
 #: A provider turns prompts into (content, failure_reason) pairs, and never raises for a single call.
@@ -72,6 +73,47 @@ def critic_view(records: DataFrame) -> DataFrame:
     return records.drop("mechanism", "uncertainty", "reasoning", "reasoning_content")
 
 
+#: What an extraction and a review answer with.
+A_RECORD = "label string, evidence_id string, quote string, mechanism string, uncertainty string"
+B_RECORD = "decision string, corrected_label string, critic_comment string, supporting_evidence_ids array<string>, contradicting_evidence_ids array<string>, confidence double"
+
+
+def prompt(n: int, agent: str) -> Column:
+    """Task, dimension, whole text, what the other agent may be told of the extraction, and the last review."""
+    return F.concat_ws("\n", F.lit(f"pass {n}, agent {agent}"), "dimension", F.coalesce("text", F.lit("")), F.coalesce("extraction", F.lit("")), F.coalesce("review", F.lit("")))
+
+
+def four_passes(contexts: DataFrame, a: str = "dry_run", b: str = "dry_run", stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, options_a: dict | None = None, options_b: dict | None = None, retries: int = 0) -> DataFrame:
+    """Extraction, review, revision and last review of contexts (doc_id, dimension, text): a log row a pass.
+
+    ``stage`` writes the calls of a pass before the next one reads them, so that no call is made twice. A reviewer never sees
+    mechanism or uncertainty. A label whose quote does not stand in the text becomes ``Not_Stated_In_Text``; a review
+    that accepts keeps the label, one that revises gives its own, any other gives none.
+    """
+    state = contexts.select("doc_id", "dimension", "text", *[F.lit(None).cast("string").alias(c) for c in ("extraction", "review", "label")])
+    log = None
+    for n, agent in enumerate("ABAB", 1):
+        key = F.concat_ws("|", F.col("doc_id").cast("string"), "dimension", F.lit(str(n)))
+        calls = extract(state.select(key.alias("call_id"), F.lit(agent).alias("agent_name"), prompt(n, agent).alias("prompt")), a if agent == "A" else b, retries, **((options_a if agent == "A" else options_b) or {}))
+        answered = parsed(stage(calls, f"pass-{n}"), A_RECORD if agent == "A" else B_RECORD)
+        r = F.col("record")
+        state = state.withColumn("call_id", key).join(answered.select("call_id", "record", "failure_reason", "input_hash"), "call_id", "left")
+        if agent == "A":
+            stated = F.contains("text", r["quote"]) & (r["quote"] != "")
+            label = F.when(r.isNull(), F.lit(None)).when(stated, r["label"]).otherwise(F.lit(NOT_STATED))
+            told = F.to_json(F.struct(label.alias("label"), r["evidence_id"].alias("evidence_id"), r["quote"].alias("quote")))
+            state = state.withColumn("label", label).withColumn("extraction", F.when(r.isNotNull(), told))
+            decision = F.lit(None).cast("string")
+        else:
+            decision = F.when(r["decision"].isin(*DECISIONS), r["decision"])
+            state = state.withColumn("label", F.when(decision == "accept", F.col("label")).when(decision == "revise", r["corrected_label"])).withColumn("review", F.to_json(r))
+        state = stage(state.withColumn("decision", decision), f"state-{n}")
+        one = state.select("doc_id", "dimension", F.lit(n).alias("pass"), F.lit(agent).alias("agent"), "label", "decision", "failure_reason", "input_hash")
+        log = one if log is None else log.unionByName(one)
+        state = state.drop("call_id", "record", "failure_reason", "input_hash", "decision")
+    return log
+
+
 def protocol_final_state(log: DataFrame) -> DataFrame:
     """Last entry of each agent by (doc_id, dimension), and the number of passes. ``log``: doc_id, dimension, pass, agent, label."""
     last = lambda a: F.max_by(F.when(F.col("agent") == a, F.col("label")), F.when(F.col("agent") == a, F.col("pass")))

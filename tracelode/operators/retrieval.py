@@ -154,13 +154,19 @@ class HybridIndex:
         return C.context_windows(ranked, self.blocks, self.config.context_budgets)
 
 
+def dimension_pass(index: HybridIndex, dimensions: DataFrame, k: int = CONFIG.top_k, filters: dict | None = None) -> DataFrame:
+    """One query a dimension (dimension, text), all in one job: (dimension, id, score, rank)."""
+    found = index.hybrid_search(dimensions.select(F.col("dimension").alias("query_id"), "text"), filters, k)
+    return found.withColumnRenamed("query_id", "dimension")
+
+
 def ablation_matrix(index: HybridIndex, queries: DataFrame, k: int = CONFIG.top_k) -> DataFrame:
     """What each arm reads: (arm, query_id, id, rank, covered). Arms with the coverage pass read every block besides their hits."""
     lists = {c: index.hybrid_search(queries, k=k, channel=c) for c in ("bm25", "dense", "hybrid")}
     out = None
     for arm, coverage, channel, critic in ARMS:
         if channel == "direct":
-            continue  # reads the document as it is, without retrieval
+            continue  # reads the document as it is, without retrieval: chunking.direct_context
         one = lists[channel].select(F.lit(arm).alias("arm"), "query_id", "id", "rank", F.lit(coverage).alias("coverage"), F.lit(critic).alias("critic"))
         out = one if out is None else out.unionByName(one)
     return out

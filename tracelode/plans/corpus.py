@@ -13,7 +13,7 @@ from ..operators import protocol as P
 from ..operators import retrieval as R
 from ..operators import synthesis as S
 from ..operators import validate as V
-from ..sources.tables import html_pages, table
+from ..sources.tables import checkpointed, html_pages, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -525,3 +525,60 @@ def manifest_fk(spark: SparkSession, d: str) -> DataFrame:
 def formula_risk_count(spark: SparkSession, d: str) -> DataFrame:
     docs = docs_of(spark, d).where(F.char_length("text") > 0)
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(X.formula_risk(F.col("text"))).alias("n_risk"))
+
+
+@query(f"WITH RECURSIVE {BLOCKS} SELECT 'G0' AS arm, doc_id, evidence_id, ord, tokens FROM (SELECT doc_id, evidence_id, ord, sum(n_words) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS tokens FROM blocks) WHERE tokens <= 1800")
+def direct_context(spark: SparkSession, d: str) -> DataFrame:
+    return C.direct_context(blocks_of(spark, d))
+
+
+DIMENSION_ITEMS = "(SELECT * FROM benchmark WHERE item_id < 10)"
+
+
+@query(f"WITH {BM25}, {DENSE}, {HYBRID} SELECT 'D' || lpad((query_id + 1)::VARCHAR, 2, '0') AS dimension, id, score, rank FROM hybrid".replace("FROM benchmark", f"FROM {DIMENSION_ITEMS}"))
+def dimension_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The ten dimensions' queries are the first ten benchmark items here, for the study gives no wording; all documents are searched."""
+    asked = items_of(spark, d).where("query_id < 10").select(F.concat(F.lit("D"), F.lpad((F.col("query_id") + 1).cast("string"), 2, "0")).alias("dimension"), "text")
+    return R.dimension_pass(index_of(spark, d), asked)
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(range(0, len(ls)))::INT AS ord, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    s AS (SELECT *, length(text) % 6 AS size FROM l), z AS (SELECT doc_id, size, sum(length(text)) AS chars FROM s GROUP BY ALL),
+    b AS (SELECT doc_id, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1),
+    r AS (SELECT doc_id, size, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)::INT AS depth FROM z JOIN b USING (doc_id) WHERE size > body),
+    h AS (SELECT doc_id, ord, text AS title, depth FROM s JOIN r USING (doc_id, size)), e AS (SELECT doc_id, max(ord) AS final FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id, x.ord, max(y.ord) AS parent_ord FROM h x LEFT JOIN h y ON x.doc_id = y.doc_id AND y.ord < x.ord AND y.depth < x.depth GROUP BY ALL)
+    SELECT doc_id, ord, title, depth, parent_ord, coalesce(lead(ord) OVER (PARTITION BY doc_id ORDER BY ord) - 1, final)::INT AS last_ord FROM h JOIN p USING (doc_id, ord) JOIN e USING (doc_id)""")
+def section_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents; a line's length modulo 6 stands in for the size of its letters, which the tables do not hold."""
+    lines = docs_of(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return C.section_tree(C.font_depth(lines.withColumn("size", F.char_length("text") % 6)))
+
+
+@query(f"""WITH p(pass, agent) AS (VALUES (1, 'A'), (2, 'B'), (3, 'A'), (4, 'B')), x AS (SELECT unnest({list(CONFIG.dimensions)}) AS dimension)
+    SELECT doc_id, dimension, pass, agent, NULL::VARCHAR AS label, NULL::VARCHAR AS decision, 'dry_run: no model was called' AS failure_reason,
+        sha256('pass ' || pass || ', agent ' || agent || chr(10) || dimension || chr(10) || coalesce(text, '') || chr(10) || chr(10)) AS input_hash
+    FROM documents, x, p""")
+def four_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and dimension through all four calls of the dry run: prompts are real, answers are none."""
+    contexts = docs_of(spark, d).select("doc_id", "text", F.explode(F.array(*map(F.lit, CONFIG.dimensions))).alias("dimension"))
+    return P.four_passes(contexts, stage=lambda df, name: checkpointed(df))
+
+
+@query("""WITH g AS (SELECT lang, avg(toxic) AS prevalence, count(*) / count(DISTINCT source) AS cluster_size FROM labels JOIN documents USING (doc_id) GROUP BY lang)
+    SELECT lang, round(prevalence, 6) AS prevalence, round(1 + (cluster_size - 1) * 0.1::DOUBLE, 6) AS design_effect,
+        ceil(round(power(1.959964::DOUBLE + 0.841621::DOUBLE, 2) * 2 * prevalence * (1 - prevalence) / 0.0025::DOUBLE * (1 + (cluster_size - 1) * 0.1::DOUBLE), 6))::BIGINT AS n_needed FROM g""")
+def sample_size(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "labels").join(docs_of(spark, d), "doc_id")
+    groups = both.groupBy("lang").agg(F.avg("toxic").alias("prevalence"), (F.count("*") / F.count_distinct("source")).alias("cluster_size"))
+    return M.sample_size(groups, effect=0.05, rho=0.1).select("lang", M.six(F.col("prevalence")).alias("prevalence"), "design_effect", "n_needed")
+
+
+@query("""WITH s AS (SELECT doc_id, n_chars % 17 / 16.0::DOUBLE AS a, n_chars % 13 / 12.0::DOUBLE AS b, n_chars % 11 / 10.0::DOUBLE AS c FROM documents),
+    f AS (SELECT doc_id, 'context_relevance' AS facet, a AS score FROM s UNION ALL SELECT doc_id, 'faithfulness', b FROM s UNION ALL SELECT doc_id, 'answer_relevance', c FROM s)
+    SELECT facet, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(quality), 6) AS mean_human, round(avg(abs(score - quality)), 6) AS mean_abs_diff, round(corr(score, quality), 4) AS correlation FROM f JOIN labels USING (doc_id) GROUP BY facet""")
+def facet_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths stand in for a judge's scores: mechanics only."""
+    scores = docs_of(spark, d).select("doc_id", *[(F.col("n_chars") % m / F.lit(m - 1.0)).alias(n) for m, n in ((17, "context_relevance"), (13, "faithfulness"), (11, "answer_relevance"))])
+    return M.facet_calibration(scores, table(spark, d, "labels").select("doc_id", F.col("quality").alias("human")))

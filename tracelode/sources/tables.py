@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
@@ -159,3 +160,13 @@ def report(title: str, sections: dict[str, DataFrame], most_rows: int = 200) ->
         if len(rows) > most_rows:
             out.append(f"\nThe first {most_rows} rows.")
     return "\n".join(out) + "\n"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the folder of ``spark.checkpoint.dir``; only a local session that names none gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelode-checkpoints-"))
+    return df.checkpoint()
