@@ -110,9 +110,38 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """Texts whose words repeat from some place on, in one document of ten, as the contract of operator 13 states."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(ws: Column) -> Column:
+        n = F.size(ws)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))), " ")
+
+    ws = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    made = F.transform(F.array(ws), lambda x: F.when(F.size(x) > 0, repeat(x)).otherwise(F.lit("")))[0]  # the array gives the words a name
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import with_runs
+
+    found = with_runs(planted(whole(table(spark, sf_dir, "documents")))).drop("text")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal)
+    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal, op13_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +169,35 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p JOIN f ON p.h = f.h
     """,
+    "op13_periodic_runs": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(4294967295::BIGINT, list_reduce(
+                flatten([[4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+                lambda crc, s: CASE WHEN s >= 0 THEN xor(crc, s) ELSE xor(crc >> 1, 3988292384::BIGINT * (crc & 1)) END)) AS h
+            FROM documents
+        ), g AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AS hit, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a FROM t),
+        d AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+        w0 AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(ws) AS word FROM d),
+        place AS (SELECT doc_id, n, i, CASE WHEN hit AND i >= a THEN a + (i - a) % p ELSE i END AS src FROM (SELECT doc_id, n, hit, a, p, unnest(range(0, n)) AS i FROM d)),
+        w AS (SELECT place.doc_id, place.i, word FROM place JOIN w0 ON w0.doc_id = place.doc_id AND w0.i = src),
+        grid AS (SELECT doc_id, p, unnest(range(0, (n - 1) // p - 2)) * p AS x FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS p FROM d)),
+        pairs AS MATERIALIZED (SELECT grid.doc_id, p, x, b.word AS u, c.word AS v FROM grid JOIN w b ON b.doc_id = grid.doc_id AND b.i = x JOIN w c ON c.doc_id = grid.doc_id AND c.i = x + p),
+        one AS MATERIALIZED (SELECT doc_id, p, x, u FROM pairs WHERE u = v),
+        more AS MATERIALIZED (SELECT one.doc_id, p, u, b.word AS v, c.word AS z FROM one JOIN w b ON b.doc_id = one.doc_id AND b.i = x + 2 * p JOIN w c ON c.doc_id = one.doc_id AND c.i = x + 3 * p),
+        seen AS MATERIALIZED (SELECT DISTINCT doc_id, p FROM more WHERE u = v AND u = z),
+        shifted AS MATERIALIZED (SELECT s.doc_id, p, b.i, b.word AS u, c.word AS v FROM seen s JOIN w b ON b.doc_id = s.doc_id JOIN w c ON c.doc_id = s.doc_id AND c.i = b.i + p),
+        same AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM shifted WHERE u = v),
+        long AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM same GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+        runs AS (SELECT doc_id, start, length, min(p) AS period FROM long GROUP BY doc_id, start, length),
+        told AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+                arg_min({'start': start, 'length': length, 'period': period}, {'k': -(length::DOUBLE / period), 's': start, 'p': period}) AS best
+            FROM runs GROUP BY doc_id
+        ),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start AS start, best.length AS length, best.period AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+        FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
