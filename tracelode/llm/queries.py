@@ -110,6 +110,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """Texts whose words repeat from some place on, in one document of ten, as the contract of operator 13 states."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -141,7 +147,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal, op13_periodic_runs)
+    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal, op11_whitening, op13_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
