@@ -116,6 +116,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .fertility import VOCABULARIES, quality
+
+    files = [(name, public_tokenizers.path(file)) for name, file in VOCABULARIES]
+    return quality(table(spark, sf_dir, "documents"), vocabularies=files, pattern=public_tokenizers.PATTERN)
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """Texts whose words repeat from some place on, in one document of ten, as the contract of operator 13 states."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -147,7 +156,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal, op11_whitening, op13_periodic_runs)
+    for f in (op1_byte_bpe, op2_embedding_near_dedup, op3_best_fit, op4_secrets, op5_simhash, op6_warc, op7_toxicity, op8_suffix_dedup, op9_fingerprints, op10_personal, op11_whitening, op12_quality_rules, op13_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
