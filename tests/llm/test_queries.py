@@ -121,7 +121,7 @@ def test_queries_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [x[0] for x in want.description]
