@@ -31,7 +31,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hashed_terms(text: Column, dim: int) -> Column:
     """A deterministic stand-in for an embedding: counts of hashed terms, of unit length. No model is behind it."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
+    return hashed_tokens(tokens(text), dim)
+
+
+def hashed_tokens(terms: Column, dim: int) -> Column:
+    slots = F.transform(terms, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
     spread = lambda ss: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(ss) - F.size(F.array_remove(ss, i))).cast("double"))
     # one-element arrays bind a value to a name, so that it is computed once
     counts = F.transform(F.array(slots), spread)[0]

@@ -9,6 +9,7 @@ from ..config import ARMS, CONFIG, Config
 from ..functions import text as X
 from ..functions import vectors as V
 from . import chunking as C
+from .dense import cosine_topk
 
 #: Rows of a side that is broadcast, at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 10_000
@@ -73,23 +74,6 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = CONFIG.top_k) -> DataFrame:
-    """Exact: every query (query_id, v) against every vector (id, v). Queries are broadcast where they are few; more are dealt into
-    blocks of about ``BROADCAST_ROWS``, and each block meets each partition of the vectors in a task of its own.
-
-    Each side is scaled to unit length once, so that a pair costs one product; zero vectors match nothing.
-    """
-    n = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    dim = max(n["dim"] or 0, 0)
-
-    # nothing is filtered by a vector before the pairs are ranked, or the vector would be made again for the filter
-    left = vectors.select("id", V.unit(F.col("v"), dim).alias("__v"))
-    right = queries.select("query_id", V.unit(F.col("v"), dim).alias("__q"))
-    right = F.broadcast(right) if n["n"] <= BROADCAST_ROWS else right.repartition(-(-n["n"] // BROADCAST_ROWS), "query_id")
-    scored = left.crossJoin(right).select("query_id", "id", F.round(V.dot(F.col("__q"), F.col("__v")), 6).alias("score"))
-    return top(scored, k).where("score is not null")
-
-
 def rrf_fusion(channels: list[DataFrame], k: int = CONFIG.rrf_k, top_k: int | None = None) -> DataFrame:
     """Reciprocal ranks (query_id, id, rank) summed over channels; an id twice in a channel counts by its best rank."""
     every = None
@@ -145,13 +129,15 @@ class HybridIndex:
 
     def context(self, queries: DataFrame, filters: dict | None = None, k: int | None = None) -> DataFrame:
         """Hits, their neighbours and the windows that fit each budget."""
-        hits = self.hybrid_search(queries, filters, k)
-        placed = hits.join(self.blocks.select(F.col("evidence_id").alias("id"), "doc_id", "ord"), "id")
-        near = C.neighbor_expand(placed, self.blocks, self.config.neighbor_radius)
+        return self.assembled(self.hybrid_search(queries, filters, k), self.blocks)
+
+    def assembled(self, hits: DataFrame, blocks: DataFrame) -> DataFrame:
+        placed = hits.join(blocks.select(F.col("evidence_id").alias("id"), "doc_id", "ord"), "id")
+        near = C.neighbor_expand(placed, blocks, self.config.neighbor_radius)
         best = placed.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
-        ranked = near.join(best, ["query_id", "doc_id"]).join(self.blocks.select("evidence_id", F.col("n_words").alias("n_tokens")), "evidence_id")
+        ranked = near.join(best, ["query_id", "doc_id"]).join(blocks.select("evidence_id", F.col("n_words").alias("n_tokens")), "evidence_id")
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "distance", "doc_id", "ord")))
-        return C.context_windows(ranked, self.blocks, self.config.context_budgets)
+        return C.context_windows(ranked, blocks, self.config.context_budgets)
 
 
 def dimension_pass(index: HybridIndex, dimensions: DataFrame, k: int = CONFIG.top_k, filters: dict | None = None) -> DataFrame:

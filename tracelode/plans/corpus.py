@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import index as I
 from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import retrieval as R
 from ..operators import synthesis as S
 from ..operators import validate as V
-from ..sources.tables import checkpointed, html_pages, table
+from ..sources.tables import checkpointed, html_pages, shared_folder, state_of, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,12 +105,18 @@ def blocks_of(spark: SparkSession, d: str) -> DataFrame:
     return C.evidence_blocks(docs_of(spark, d).select("doc_id", "text"), chunks_of(spark, d))
 
 
+def index_of(spark: SparkSession, d: str) -> I.SearchIndex:
+    """The index of all documents: built where the shared folder has none of this state of the table, else opened."""
+    docs = docs_of(spark, d).select(F.col("doc_id").alias("evidence_id"), "text", "lang", "source")
+    return I.opened(spark, f"{shared_folder(spark)}/index/{CONFIG.digest()[:16]}-{state_of(spark, docs)[:32]}", docs)
+
+
 def bm25_of(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_topk(items_of(spark, d), docs_of(spark, d), id_col="doc_id")
+    return index_of(spark, d).bm25(items_of(spark, d), CONFIG.top_k)
 
 
-def index_of(spark: SparkSession, d: str) -> R.HybridIndex:
-    return R.HybridIndex(docs_of(spark, d).select(F.col("doc_id").alias("evidence_id"), "text", "lang"))
+def overlap_of(spark: SparkSession, d: str) -> DataFrame:
+    return index_of(spark, d).overlap(items_of(spark, d), CONFIG.top_k)
 
 
 def log_of(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +180,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25}, {OVERLAP}, s AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, count(*) AS n_channels FROM (SELECT query_id, id, rank FROM bm25 UNION ALL SELECT query_id, id, rank FROM ov) GROUP BY query_id, id) SELECT query_id, id, score, n_channels, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return R.rrf_fusion([bm25_of(spark, d), R.overlap_topk(items_of(spark, d), docs_of(spark, d), id_col="doc_id")])
+    return R.rrf_fusion([bm25_of(spark, d), overlap_of(spark, d)])
 
 
 @query(f"""WITH {BM25}, {OVERLAP},
@@ -182,7 +189,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT query_id, id, round(sum(s::DOUBLE), 8) AS score FROM n GROUP BY query_id, id)
     SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s QUALIFY rank <= 10""")
 def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return R.weighted_fusion([(bm25_of(spark, d), 0.7), (R.overlap_topk(items_of(spark, d), docs_of(spark, d), id_col="doc_id"), 0.3)], CONFIG.top_k)
+    return R.weighted_fusion([(bm25_of(spark, d), 0.7), (overlap_of(spark, d), 0.3)], CONFIG.top_k)
 
 
 @query(f"WITH {BM25}, {DENSE}, {HYBRID} SELECT query_id::VARCHAR AS query_id, id, score, rank FROM hybrid")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
@@ -61,8 +63,6 @@ def scan_files(spark: SparkSession, path: str, parse: Callable[[bytes], list[dic
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for b in batches:
             for p, raw in zip(b["path"], b["content"], strict=True):
                 rows = parse(bytes(raw))
@@ -162,6 +162,59 @@ def report(title: str, sections: dict[str, DataFrame], most_rows: int = 200) ->
     return "\n".join(out) + "\n"
 
 
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session that names none gets one of its own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="tracelode-shared-")
+    return _local[app]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder; where another session has been faster, its folder stays and ``path`` goes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    files = old.getFileSystem(conf)
+    if files.exists(new) or not files.rename(old, new):
+        if not files.exists(new):
+            raise OSError(f"{path} could not be moved to {to}")
+        files.delete(old, True)
+
+
+def state_of(spark: SparkSession, df: DataFrame) -> str:
+    """A hash of the files behind a table, with their sizes and times: another state of the table is another hash."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for f in sorted(df.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        out.append(f"{f} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: written into the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the folder of ``spark.checkpoint.dir``; only a local session that names none gets one of its own."""
     context = df.sparkSession.sparkContext
