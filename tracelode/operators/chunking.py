@@ -186,6 +186,13 @@ def coverage_pass(blocks: DataFrame, budget: int = CONFIG.context_budgets[-1]) -
     return blocks.withColumn("window_no", F.floor(F.coalesce(F.sum("n_words").over(order), F.lit(0)) / budget).cast("int"))
 
 
+def reading_windows(blocks: DataFrame, budget: int = CONFIG.context_budgets[-1]) -> DataFrame:
+    """The windows of the coverage pass with their texts: (doc_id, window_no, n_words, evidence_ids, text), no block left out."""
+    items = F.array_sort(F.collect_list(F.struct("ord", "evidence_id", "text")))
+    out = coverage_pass(blocks, budget).groupBy("doc_id", "window_no").agg(F.sum("n_words").alias("n_words"), items.alias("i"))
+    return out.select("doc_id", "window_no", "n_words", F.col("i.evidence_id").alias("evidence_ids"), F.array_join("i.text", "\n").alias("text"))
+
+
 def direct_context(blocks: DataFrame, budget: int = CONFIG.context_budgets[-1]) -> DataFrame:
     """The arm without retrieval under the same budget as the others: a document's blocks in order, as far as they fit."""
     order = Window.partitionBy("doc_id").orderBy("ord")

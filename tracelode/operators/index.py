@@ -85,7 +85,9 @@ class SearchIndex(HybridIndex):
     def postings(self, terms: DataFrame) -> DataFrame:
         """Rows of the terms asked for: their folders are all that is read, and few terms are stated in the scan's filter."""
         folders = [r[0] for r in terms.select(folder(F.col("term"), self.folders)).distinct().collect()]  # ``FOLDERS`` numbers at most
-        known = self.spark.read.parquet(f"{self.path}/postings").where(F.col("folder").isin(folders))
+        kind = self.blocks.schema["evidence_id"].dataType.simpleString()
+        columns = f"term string, block string, df long, max_tf int, min_len int, postings array<struct<id: {kind}, tf: int, len: int>>, folder int"
+        known = self.spark.read.schema(columns).parquet(f"{self.path}/postings").where(F.col("folder").isin(folders))
         stated = [r[0] for r in terms.limit(STATED + 1).collect()]
         return known.where(F.col("term").isin(stated)) if len(stated) <= STATED else known.join(small_side(terms), "term", "left_semi")
 
@@ -97,7 +99,7 @@ class SearchIndex(HybridIndex):
     def bm25(self, queries: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
         terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text"), self.config.token_pattern))).alias("term"))
         found = self.postings(terms.select("term").distinct())
-        n, avgdl = F.lit(self.n), F.lit(self.avgdl)
+        n, avgdl = F.lit(self.n), F.lit(self.avgdl).cast("double")
         if blocks is not None and blocks is not self.blocks:
             found, n, avgdl = self._passing(found, blocks)
         df = found.groupBy("term").agg(F.sum("df").alias("df"))
@@ -120,7 +122,7 @@ class SearchIndex(HybridIndex):
         n, avgdl = blocks.agg(F.count("*"), F.avg("len")).first()
         each = found.select("term", "block", F.explode("postings").alias("p")).join(blocks.select(F.col("evidence_id").alias("__id")), F.col("p.id") == F.col("__id"), "left_semi")
         kept = each.groupBy("term", "block").agg(F.count("*").alias("df"), F.max("p.tf").alias("max_tf"), F.min("p.len").alias("min_len"), F.collect_list("p").alias("postings"))
-        return kept, F.lit(n), F.lit(avgdl)
+        return kept, F.lit(n), F.lit(avgdl).cast("double")
 
     def overlap(self, queries: DataFrame, k: int) -> DataFrame:
         """How many distinct terms of a query a document has."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DECISIONS, NOT_STATED
@@ -44,23 +44,33 @@ def recorded(answers: dict[str, str]) -> Provider:
     return run
 
 
-def extract(contexts: DataFrame, name: str = "dry_run", retries: int = 0, **options) -> DataFrame:
-    """Calls for contexts (call_id, agent_name, prompt): a row each with content, failure and hashes. Keys are never a column."""
-    make = PROVIDERS[name]
+def extract(contexts: DataFrame, name: str = "dry_run", retries: int = 0, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Calls for contexts (call_id, agent_name, prompt): a row each with content, failure and hashes, and the columns of ``keep``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        answer = make(**options)
-        for b in batches:
-            got = answer(b["prompt"].tolist())
-            tries = [0] * len(got)
-            for k in range(retries):
-                again = [i for i, (c, _) in enumerate(got) if c is None]
-                for i, x in zip(again, answer([b["prompt"].iloc[i] for i in again]) if again else [], strict=True):
-                    got[i], tries[i] = x, k + 1
-            yield pd.DataFrame({"call_id": b["call_id"], "agent_name": b["agent_name"], "prompt": b["prompt"], "content": [c for c, _ in got], "failure_reason": [f for _, f in got], "retries": tries})
-
-    called = contexts.select(F.col("call_id").cast("string").alias("call_id"), "agent_name", "prompt").mapInPandas(run, "call_id string, agent_name string, prompt string, content string, failure_reason string, retries int")
-    return called.select("call_id", "agent_name", F.lit(name).alias("provider"), "content", "failure_reason", "retries", X.sha256(F.col("prompt")).alias("input_hash"), X.sha256(F.col("content")).alias("output_hash"))
+    ``replay`` takes answers from a table (call_id, content), by a join; all other providers are functions of prompts. Keys are never a column.
+    """
+    src = contexts.select(*keep, F.col("call_id").cast("string").alias("call_id"), "agent_name", "prompt")
+    if name == "replay":
+        stored = options["answers"].select("call_id", "content")
+        failure = F.when(F.col("content").isNull(), F.lit("replay: no stored answer"))
+        called = src.join(stored, "call_id", "left").withColumn("failure_reason", failure).withColumn("retries", F.lit(0))
+    else:
+        make = PROVIDERS[name]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            answer = make(**options)
+            for b in batches:
+                got = answer(b["prompt"].tolist())
+                tries = [0] * len(got)
+                for k in range(retries):
+                    again = [i for i, (c, _) in enumerate(got) if c is None]
+                    for i, x in zip(again, answer([b["prompt"].iloc[i] for i in again]) if again else [], strict=True):
+                        got[i], tries[i] = x, k + 1
+                yield b.assign(content=[c for c, _ in got], failure_reason=[f for _, f in got], retries=tries)
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
+        called = src.mapInPandas(run, f"{kinds}, content string, failure_reason string, retries int")
+    return called.select(*keep, "call_id", "agent_name", F.lit(name).alias("provider"), "content", "failure_reason", "retries", X.sha256(F.col("prompt")).alias("input_hash"), X.sha256(F.col("content")).alias("output_hash"))
 
 
 def parsed(calls: DataFrame, schema: str) -> DataFrame:
@@ -83,34 +93,90 @@ def prompt(n: int, agent: str) -> Column:
     return F.concat_ws("\n", F.lit(f"pass {n}, agent {agent}"), "dimension", F.coalesce("text", F.lit("")), F.coalesce("extraction", F.lit("")), F.coalesce("review", F.lit("")))
 
 
-def four_passes(contexts: DataFrame, a: str = "dry_run", b: str = "dry_run", stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, options_a: dict | None = None, options_b: dict | None = None, retries: int = 0) -> DataFrame:
-    """Extraction, review, revision and last review of contexts (doc_id, dimension, text): a log row a pass.
+def call_id(*parts: Column) -> Column:
+    """One id of some values, among which a null is a value of its own."""
+    return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
+
+
+def merged_extractions(answers: DataFrame) -> DataFrame:
+    """One record a document and dimension from the answers of its windows (key, dimension, window_no, label, stated, evidence_id, quote, answered).
 
-    ``stage`` writes the calls of a pass before the next one reads them, so that no call is made twice. A reviewer never sees
-    mechanism or uncertainty. A label whose quote does not stand in the text becomes ``Not_Stated_In_Text``; a review
-    that accepts keeps the label, one that revises gives its own, any other gives none.
+    The merge is associative: counts, and of each label its windows and first evidence. One label that is stated is the record's; several are a
+    conflict, kept as candidates and without a label; none, in windows that were read, is ``Not_Stated_In_Text``.
     """
-    state = contexts.select("doc_id", "dimension", "text", *[F.lit(None).cast("string").alias(c) for c in ("extraction", "review", "label")])
+    label = F.when(F.col("stated"), F.col("label"))
+    each = answers.groupBy("key", "dimension", label.alias("label")).agg(
+        F.count("*").alias("n"), F.count_if(~F.col("answered")).alias("unread"), F.min(F.struct("window_no", "evidence_id", "quote")).alias("first"), F.min("failure_reason").alias("failure_reason"), F.min("input_hash").alias("input_hash"),
+    )
+    candidate = F.when(F.col("label").isNotNull(), F.struct("label", F.col("n").alias("n_windows"), F.col("first.evidence_id").alias("evidence_id"), F.col("first.quote").alias("quote")))
+    one = each.groupBy("key", "dimension").agg(F.sum("n").alias("n_windows"), F.sum("unread").alias("n_unread"), F.array_sort(F.collect_list(candidate)).alias("candidates"), F.min("failure_reason").alias("failure_reason"), F.min("input_hash").alias("input_hash"))
+    n, none_read = F.size("candidates"), F.col("n_unread") == F.col("n_windows")
+    state = F.when(n > 1, "conflict").when(n == 1, "stated").when(none_read, "unanswered").otherwise("not_stated")
+    return one.withColumn("state", state).withColumn("label", F.when(n == 1, F.col("candidates")[0]["label"]).when((n == 0) & ~none_read, F.lit(NOT_STATED)))
+
+
+def merged_reviews(answers: DataFrame) -> DataFrame:
+    """One review a document and dimension from those of its windows: the strictest decision, in the order reject, revise, accept,
+    insufficient_evidence. Windows that want different labels agree on none: insufficient_evidence."""
+    r = F.col("record")
+    said = lambda d: r["decision"] == d
+    fixed = F.when(said("revise"), r["corrected_label"])
+    one = answers.groupBy("key", "dimension").agg(
+        F.count("*").alias("n_windows"), F.count_if(~F.coalesce(r["decision"].isin(*DECISIONS), F.lit(False))).alias("n_unread"), *[F.coalesce(F.bool_or(said(d)), F.lit(False)).alias(d) for d in DECISIONS],
+        F.min(fixed).alias("low"), F.max(fixed).alias("corrected_label"), F.min(F.struct("window_no", r["critic_comment"].alias("comment"))).alias("first"), F.min("failure_reason").alias("failure_reason"), F.min("input_hash").alias("input_hash"),
+    )
+    agreed = F.col("low").eqNullSafe(F.col("corrected_label"))
+    decision = F.when(F.col("reject"), "reject").when(F.col("revise"), F.when(agreed, "revise").otherwise("insufficient_evidence")).when(F.col("accept"), "accept").when(F.col("insufficient_evidence"), "insufficient_evidence")
+    one = one.withColumn("decision", decision)
+    return one.withColumn("review", F.when(F.col("decision").isNotNull(), F.to_json(F.struct("decision", "corrected_label", F.col("first.comment").alias("critic_comment")))))
+
+
+def four_passes(contexts: DataFrame, a: str = "dry_run", b: str = "dry_run", stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, options_a: dict | None = None, options_b: dict | None = None, retries: int = 0, dimensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Extraction, review, revision and last review: a log row a document, dimension and pass.
+
+    Contexts are (doc_id, text), with ``window_no`` where a document is read in several windows, and with ``dimension`` unless ``dimensions`` names
+    those that every document is asked for. Every window of a document is a call of each pass; the answers of a pass are merged before the next one
+    is asked. ``stage`` writes calls and merged states, so that no call is made twice. A reviewer never sees mechanism or uncertainty. A label whose
+    quote does not stand in its window is not stated; a review that accepts keeps the label, one that revises gives its own, any other gives none.
+
+    Defined cases: repeated windows are one (of several texts the least); all rows of a null id are one document; a null text is the empty one;
+    answers that are no JSON are not read. Texts are joined with the small states of a document, never multiplied by dimensions before a call.
+    """
+    own = "dimension" in contexts.columns
+    keys = ["key", "dimension"] if own else ["key"]
+    window = F.col("window_no") if "window_no" in contexts.columns else F.lit(0)
+    once = contexts.select(call_id(F.col("doc_id")).alias("key"), *keys[1:], window.cast("int").alias("window_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    once = stage(once.groupBy(*keys, "window_no").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")), "windows")
+    asked = once.select(*keys, "doc_id").distinct()
+    asked = asked if own else asked.withColumn("dimension", F.explode(F.array(*map(F.lit, dimensions or ()))))
+    state = asked.select("key", "dimension", "doc_id", *[F.lit(None).cast("string").alias(c) for c in ("extraction", "review", "label")])
     log = None
     for n, agent in enumerate("ABAB", 1):
-        key = F.concat_ws("|", F.col("doc_id").cast("string"), "dimension", F.lit(str(n)))
-        calls = extract(state.select(key.alias("call_id"), F.lit(agent).alias("agent_name"), prompt(n, agent).alias("prompt")), a if agent == "A" else b, retries, **((options_a if agent == "A" else options_b) or {}))
-        answered = parsed(stage(calls, f"pass-{n}"), A_RECORD if agent == "A" else B_RECORD)
+        if own:
+            put = once.join(state.drop("doc_id"), keys)
+        else:
+            each = state.groupBy("key").agg(F.collect_list(F.struct("dimension", "extraction", "review")).alias("asks"))
+            put = once.join(each, "key").select("key", "doc_id", "window_no", "text", F.explode("asks").alias("ask")).select("key", "doc_id", "window_no", "text", "ask.*")
+        put = put.withColumn("call_id", call_id(F.col("doc_id"), F.col("dimension"), F.col("window_no"), F.lit(n))).withColumn("agent_name", F.lit(agent)).withColumn("prompt", prompt(n, agent))
+        name, options = (a, options_a) if agent == "A" else (b, options_b)
+        answers = parsed(extract(put, name, retries, ("key", "dimension", "window_no", "text"), **(options or {})), A_RECORD if agent == "A" else B_RECORD)
         r = F.col("record")
-        state = state.withColumn("call_id", key).join(answered.select("call_id", "record", "failure_reason", "input_hash"), "call_id", "left")
         if agent == "A":
-            stated = F.contains("text", r["quote"]) & (r["quote"] != "")
-            label = F.when(r.isNull(), F.lit(None)).when(stated, r["label"]).otherwise(F.lit(NOT_STATED))
-            told = F.to_json(F.struct(label.alias("label"), r["evidence_id"].alias("evidence_id"), r["quote"].alias("quote")))
-            state = state.withColumn("label", label).withColumn("extraction", F.when(r.isNotNull(), told))
-            decision = F.lit(None).cast("string")
+            stated = F.coalesce(F.contains("text", r["quote"]) & (r["quote"] != "") & r["label"].isNotNull(), F.lit(False))
+            answers = answers.select("key", "dimension", "window_no", "failure_reason", "input_hash", r.isNotNull().alias("answered"), stated.alias("stated"), r["label"].alias("label"), r["evidence_id"].alias("evidence_id"), r["quote"].alias("quote"))
+            made = merged_extractions(stage(answers, f"pass-{n}"))
+            told = F.when(F.col("state") != "unanswered", F.to_json(F.struct("label", "state", "candidates")))
+            made = made.select("key", "dimension", "label", told.alias("extraction"), F.lit(None).cast("string").alias("decision"), "state", "n_windows", "n_unread", "failure_reason", "input_hash")
+            state = state.drop("extraction", "label").join(made, ["key", "dimension"])
         else:
-            decision = F.when(r["decision"].isin(*DECISIONS), r["decision"])
-            state = state.withColumn("label", F.when(decision == "accept", F.col("label")).when(decision == "revise", r["corrected_label"])).withColumn("review", F.to_json(r))
-        state = stage(state.withColumn("decision", decision), f"state-{n}")
-        one = state.select("doc_id", "dimension", F.lit(n).alias("pass"), F.lit(agent).alias("agent"), "label", "decision", "failure_reason", "input_hash")
+            made = merged_reviews(stage(answers.select("key", "dimension", "window_no", "failure_reason", "input_hash", "record"), f"pass-{n}"))
+            made = made.select("key", "dimension", "decision", "corrected_label", "review", "n_windows", "n_unread", "failure_reason", "input_hash")
+            kept = F.when(F.col("decision") == "accept", F.col("label")).when(F.col("decision") == "revise", F.col("corrected_label"))
+            state = state.drop("review").join(made, ["key", "dimension"]).withColumn("label", kept).withColumn("state", F.lit(None).cast("string")).drop("corrected_label")
+        state = stage(state, f"state-{n}")
+        one = state.select("doc_id", "dimension", F.lit(n).alias("pass"), F.lit(agent).alias("agent"), "label", "decision", "state", "n_windows", "n_unread", "failure_reason", "input_hash")
         log = one if log is None else log.unionByName(one)
-        state = state.drop("call_id", "record", "failure_reason", "input_hash", "decision")
+        state = state.select("key", "dimension", "doc_id", "extraction", "review", "label")
     return log
 
 
@@ -142,8 +208,3 @@ def passes_complete(log: DataFrame, expected: int = 4) -> DataFrame:
     """Records whose passes are not 1..expected without a gap."""
     n = log.groupBy("doc_id", "dimension").agg(F.count_distinct("pass").alias("n"), F.max("pass").alias("m"))
     return n.where((F.col("n") != expected) | (F.col("m") != expected))
-
-
-def ordered_passes(turns: DataFrame, key: str, order: str) -> DataFrame:
-    """Number the entries of each key in their order."""
-    return turns.withColumn("pass", F.row_number().over(Window.partitionBy(key).orderBy(order)))

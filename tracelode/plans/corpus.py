@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import critic as K
 from ..operators import index as I
 from ..operators import metrics as M
 from ..operators import protocol as P
@@ -570,7 +571,76 @@ def section_tree(spark: SparkSession, d: str) -> DataFrame:
 def four_passes(spark: SparkSession, d: str) -> DataFrame:
     """Every document and dimension through all four calls of the dry run: prompts are real, answers are none."""
     contexts = docs_of(spark, d).select("doc_id", "text", F.explode(F.array(*map(F.lit, CONFIG.dimensions))).alias("dimension"))
-    return P.four_passes(contexts, stage=lambda df, name: checkpointed(df))
+    log = P.four_passes(contexts, stage=lambda df, name: checkpointed(df))
+    return log.select("doc_id", "dimension", "pass", "agent", "label", "decision", "failure_reason", "input_hash")
+
+
+READ = (1, 2, 5)
+MERGED = "count(*) AS nw, count_if(NOT answered) AS nu, count_if(stated) AS ns, min(label) FILTER (stated) AS lo, max(label) FILTER (stated) AS hi"
+RECORD = "CASE WHEN ns = 0 AND nu < nw THEN 'Not_Stated_In_Text' WHEN lo = hi THEN lo END AS label, CASE WHEN lo <> hi THEN 'conflict' WHEN ns > 0 THEN 'stated' WHEN nu = nw THEN 'unanswered' ELSE 'not_stated' END AS state"
+DECIDED = "CASE WHEN bool_or(d = 'reject') THEN 'reject' WHEN bool_or(d = 'revise') THEN 'revise' WHEN bool_or(d = 'accept') THEN 'accept' ELSE 'insufficient_evidence' END AS decision"
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, w AS (SELECT *, floor(coalesce(sum(n_words) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1800)::INT AS window_no FROM blocks),
+    win AS (SELECT doc_id, window_no, sum(n_words)::BIGINT AS n FROM w GROUP BY ALL), x AS (SELECT *, printf('D%02d', k) AS dimension FROM win, (VALUES {', '.join(f'({k})' for k in READ)}) v(k)),
+    a1 AS (SELECT *, n % 11 <> 0 AS answered, n % 11 <> 0 AND (n + window_no + k) % 3 <> 0 AS stated, 'L' || ((n + k) % 2)::VARCHAR AS label FROM x),
+    m1 AS (SELECT doc_id, dimension, nw, nu, {RECORD} FROM (SELECT doc_id, dimension, {MERGED} FROM a1 GROUP BY ALL)),
+    m2 AS (SELECT doc_id, dimension, {DECIDED} FROM (SELECT *, CASE (n + k) % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'revise' WHEN 2 THEN 'insufficient_evidence' ELSE 'reject' END AS d FROM x) GROUP BY ALL),
+    a3 AS (SELECT *, n % 11 <> 0 AS answered, n % 11 <> 0 AS stated, 'L' || (k % 2)::VARCHAR AS label FROM x),
+    m3 AS (SELECT doc_id, dimension, nw, nu, {RECORD} FROM (SELECT doc_id, dimension, {MERGED} FROM a3 GROUP BY ALL)),
+    m4 AS (SELECT doc_id, dimension, {DECIDED} FROM (SELECT *, CASE WHEN n % 5 <> 0 THEN 'accept' ELSE 'insufficient_evidence' END AS d FROM x) GROUP BY ALL)
+    SELECT doc_id, dimension, 1 AS pass, 'A' AS agent, label, NULL AS decision, state, nw AS n_windows, nu AS n_unread FROM m1
+    UNION ALL SELECT doc_id, dimension, 2, 'B', CASE m2.decision WHEN 'accept' THEN m1.label WHEN 'revise' THEN 'L9' END, m2.decision, NULL, nw, 0 FROM m1 JOIN m2 USING (doc_id, dimension)
+    UNION ALL SELECT doc_id, dimension, 3, 'A', label, NULL, state, nw, nu FROM m3
+    UNION ALL SELECT doc_id, dimension, 4, 'B', CASE m4.decision WHEN 'accept' THEN m3.label END, m4.decision, NULL, nw, 0 FROM m3 JOIN m4 USING (doc_id, dimension)""")
+def coverage_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """All windows of all documents through the four passes, with answers recorded beforehand: what they say is derived from the
+    windows by arithmetic, so that windows conflict, quotes fail, calls go unanswered and reviews change labels."""
+    windows = checkpointed(C.reading_windows(blocks_of(spark, d)))
+    n, w, k = F.col("n_words"), F.col("window_no"), F.col("k")
+    x = windows.select("doc_id", "window_no", "n_words", F.substring("text", 1, 12).alias("head"), F.explode(F.array(*map(F.lit, READ))).alias("k"))
+    quote = lambda ok: F.when(ok, F.col("head")).otherwise(F.lit("never said anywhere"))
+    told = lambda label, q: F.when(n % 11 != 0, F.to_json(F.struct(F.concat(F.lit("L"), label.cast("string")).alias("label"), q.alias("quote"))))
+    review = lambda d: F.to_json(F.struct(d.alias("decision"), F.lit("L9").alias("corrected_label")))
+    first = F.when((n + k) % 4 == 0, "accept").when((n + k) % 4 == 1, "revise").when((n + k) % 4 == 2, "insufficient_evidence").otherwise("reject")
+    answers = F.array(told((n + k) % 2, quote((n + w + k) % 3 != 0)), review(first), told(k % 2, quote(F.lit(True))), review(F.when(n % 5 != 0, "accept").otherwise("insufficient_evidence")))
+    rows = x.select("doc_id", "window_no", F.format_string("D%02d", "k").alias("dimension"), F.posexplode(answers).alias("at", "content"))
+    stored = checkpointed(rows.select(P.call_id(F.col("doc_id"), F.col("dimension"), F.col("window_no"), F.col("at") + 1).alias("call_id"), "content").where("content is not null"))
+    log = P.four_passes(windows, "replay", "replay", lambda df, name: checkpointed(df), {"answers": stored}, {"answers": stored}, dimensions=tuple(f"D{k:02d}" for k in READ))
+    return log.select("doc_id", "dimension", "pass", "agent", "label", "decision", "state", "n_windows", "n_unread")
+
+
+# Fixed values of the checks' query (ours): a label's claims as patterns of what its block must and must not hold.
+RULES = (
+    ("L0", "entailment", "[Tt]he|[Dd]er|[Ll]a|[Ll]e", None), ("L1", "entailment", "en", None), ("L2", "entailment", "[a-z]{6}", None),
+    ("L0", "direction", "on.*er", None), ("L1", "direction", "er.*on", None), ("L0", "equation", r"[=+*|]", None), ("L2", "equation", "[0-9]", None),
+    ("L1", "temporal", "[0-9]+", "!!"), ("L2", "endpoint", "a", "ou"), ("L0", "contradiction", None, "idiot|worthless"), ("L1", "contradiction", None, "###|!!"),
+)
+RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in RULES) + ") t(label, check_name, must, must_not))"
+
+
+@query(rf"""WITH RECURSIVE {BLOCKS}, {RULES_SQL},
+    r AS (SELECT evidence_id AS record_id, doc_id, 'L' || (n_words % 3)::VARCHAR AS label, CASE WHEN ord % 5 = 4 THEN printf('%s-ZA-S01-C%03d', doc_id, ord + 1) ELSE evidence_id END AS evidence_id,
+        char_start + 2 AS char_start, char_start + 22 AS char_end, CASE WHEN n_words % 7 = 0 THEN 'an altered quotation' ELSE substr(text, 3, 20) END AS quote FROM blocks WHERE ord % 3 <> 1 AND char_end - char_start >= 22),
+    c AS (SELECT r.*, b.text AS cited FROM r LEFT JOIN blocks b ON b.evidence_id = r.evidence_id),
+    k AS (SELECT unnest(['entailment', 'direction', 'equation', 'temporal', 'endpoint']) AS check_name),
+    t AS (SELECT record_id, k.check_name, u.label IS NOT NULL AS applicable, u.label IS NULL OR (cited IS NOT NULL AND coalesce(regexp_matches(cited, must), true) AND NOT coalesce(regexp_matches(cited, must_not), false)) AS passed
+          FROM c CROSS JOIN k LEFT JOIN rules u ON u.label = c.label AND u.check_name = k.check_name),
+    e AS (SELECT record_id, 'evidence' AS check_name, true AS applicable, bool_or(coalesce(b.evidence_id = r.evidence_id AND substr(b.text, r.char_start - b.char_start + 1, 20) = r.quote, false)) AS passed
+          FROM r LEFT JOIN blocks b ON b.doc_id = r.doc_id AND b.char_start <= r.char_start AND r.char_end <= b.char_end GROUP BY record_id),
+    x AS (SELECT r.record_id, 'contradiction' AS check_name, u.label IS NOT NULL AS applicable, count(b.evidence_id) = 0 AS passed
+          FROM r LEFT JOIN rules u ON u.label = r.label AND u.check_name = 'contradiction' LEFT JOIN blocks b ON b.doc_id = r.doc_id AND b.evidence_id <> r.evidence_id AND regexp_matches(b.text, u.must_not) GROUP BY ALL)
+    SELECT * FROM t UNION ALL SELECT * FROM e UNION ALL SELECT * FROM x""")
+def critic_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Records derived from blocks, some of which cite the next block or alter their quote, through the seven checks."""
+    blocks = checkpointed(blocks_of(spark, d))
+    later = X.evidence_id(F.col("doc_id"), F.lit("A"), F.lit("01"), F.col("ord") + 1)
+    quote = F.when(F.col("n_words") % 7 == 0, F.lit("an altered quotation")).otherwise(F.substring("text", 3, 20))
+    records = blocks.where("ord % 3 <> 1 AND char_end - char_start >= 22").select(
+        F.col("evidence_id").alias("record_id"), "doc_id", F.concat(F.lit("L"), (F.col("n_words") % 3).cast("string")).alias("label"), F.when(F.col("ord") % 5 == 4, later).otherwise(F.col("evidence_id")).alias("evidence_id"),
+        (F.col("char_start") + 2).alias("char_start"), (F.col("char_start") + 22).alias("char_end"), quote.alias("quote"),
+    )
+    return K.critic_checks(records, blocks, spark.createDataFrame(list(RULES), "label string, check_name string, must string, must_not string"))
 
 
 @query("""WITH g AS (SELECT lang, avg(toxic) AS prevalence, count(*) / count(DISTINCT source) AS cluster_size FROM labels JOIN documents USING (doc_id) GROUP BY lang)
