@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import CONFIG
 from ..functions import text as X
@@ -16,11 +23,9 @@ ZONE_KEYWORDS = (
     ("D", r"case|social|discussion|limit|conclusion|community"),
 )
 EXCLUDED = r"^\W*(references|bibliography|acknowledge?ments?|author bio|biograph)"
-#: A heading inherits over so many levels at most.
-MAX_DEPTH = 8
 FALLBACK_ZONE = "D"
-#: A heading of more numbers than this counts as one of so many.
-LEVELS = 6
+#: A word is what stands between ASCII white space, here as in the columns' ``\\s``.
+WORD = re.compile(r"\S+", re.ASCII)
 
 
 def zone_keyword(title: Column) -> Column:
@@ -49,43 +54,62 @@ def font_depth(lines: DataFrame) -> DataFrame:
     return lines.join(ranked, ["doc_id", "size"], "left")
 
 
+def by_document(rows: DataFrame, out: str, fold: Callable[[Iterator[tuple]], list[tuple]], columns: tuple[str, ...], key: str = "doc_id", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """An ordered fold over the rows of each document in Arrow, in time that grows with their number: ``fold`` gets the values of
+    ``columns`` and gives rows of ``out``. What is folded are headings, lines' numbers or units, not texts."""
+    kind = rows.schema[key].dataType.simpleString()
+    schema = T._parse_datatype_string(f"{key} {kind}, {out}")
+    types = to_arrow_schema(schema)
+
+    def run(keys: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        got = fold(zip(*[table.column(c).to_pylist() for c in columns], strict=True))
+        values = list(zip(*got, strict=True)) if got else [()] * (len(types) - 1)
+        return pa.table([pa.array([keys[0].as_py()] * len(got), types.field(0).type), *[pa.array(v, f.type) for v, f in zip(values, list(types)[1:], strict=True)]], schema=types)
+
+    return rows.select(key, *dict.fromkeys([*order, *columns])).groupBy(key).applyInArrow(run, schema)
+
+
 def section_tree(lines: DataFrame) -> DataFrame:
     """Headings of lines (doc_id, ord, text, depth or null) as sections: (doc_id, ord, title, depth, parent_ord, last_ord).
 
-    A section's parent is the last heading of lesser depth before it, and its text ends where the next heading begins.
+    A section's parent is the last heading of lesser depth before it, at any depth, and its text ends where the next heading begins.
     """
-    depth = F.least("depth", F.lit(LEVELS))
-    headings = lines.where("depth is not null").select("doc_id", "ord", F.col("text").alias("title"), depth.cast("int").alias("depth"))
+    headings = lines.where("depth is not null").select("doc_id", F.col("ord").cast("int").alias("ord"), F.col("text").alias("title"), F.col("depth").cast("int").alias("depth"))
     ends = lines.groupBy("doc_id").agg(F.max("ord").alias("__end"))
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    above = [F.last(F.when(F.col("depth") == k, F.col("ord")), ignorenulls=True).over(order) for k in range(1, LEVELS)]
-    parent = F.greatest(*[F.when(F.col("depth") > k, c) for k, c in enumerate(above, 1)])
-    placed = headings.select("*", parent.alias("parent_ord"), F.lead("ord").over(order).alias("__next")).join(ends, "doc_id")
-    return placed.select("doc_id", "ord", "title", "depth", "parent_ord", F.coalesce(F.col("__next") - 1, "__end").alias("last_ord"))
+
+    def fold(rows: Iterator[tuple]) -> list[tuple]:
+        out, stack = [], []
+        for at, title, depth in rows:
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            out.append([at, title, depth, stack[-1][1] if stack else None, None])
+            if len(out) > 1:
+                out[-2][4] = at
+            stack.append((depth, at))
+        return out
+
+    placed = by_document(headings, "ord int, title string, depth int, parent_ord int, next int", fold, ("ord", "title", "depth"))
+    return placed.join(ends, "doc_id").select("doc_id", "ord", "title", "depth", "parent_ord", F.coalesce(F.col("next") - 1, F.col("__end")).cast("int").alias("last_ord"))
 
 
 def zone_classify(sections: DataFrame) -> DataFrame:
     """Zone of each section (doc_id, section_id, parent_id, depth, ord, title) and where it is from: its own keyword, the nearest
-    heading above it that has one, or the fallback. Excluded sections are dropped.
+    heading above it that has one, at any depth, or the fallback. Excluded sections are dropped, and are above none."""
+    kind = sections.schema["section_id"].dataType.simpleString()
+    rows = sections.where(~F.coalesce(excluded_heading(F.col("title")), F.lit(False))).withColumn("own", zone_keyword(F.col("title")))
 
-    An ancestor of depth k is the last section of that depth before a section, and is cut off by any section of a lesser
-    depth in between; both are windows over the order of one document, so no recursion is needed.
-    """
-    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sections.where(~F.coalesce(excluded_heading(F.col("title")), F.lit(False))).withColumn("__own", zone_keyword(F.col("title")))
-    # of each depth the last heading so far, as (ord, zone)
-    for k in range(1, MAX_DEPTH + 1):
-        rows = rows.withColumn(f"__h{k}", F.last(F.when(F.col("depth") == k, F.struct("ord", F.col("__own").alias("zone"))), ignorenulls=True).over(order))
-    chain = F.array(*[F.when(F.col("depth") > k, F.col(f"__h{k}")) for k in range(1, MAX_DEPTH + 1)])
-    # a heading of depth k counts if none of a lesser depth came after it
-    valid = F.aggregate(
-        chain, F.struct(F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("zone")),
-        lambda acc, h: F.when(h.isNotNull() & (h["ord"] > acc["ord"]), F.struct(h["ord"].cast("int").alias("ord"), F.coalesce(h["zone"], acc["zone"]).alias("zone"))).otherwise(acc),
-    )["zone"]
-    return rows.select(
-        "doc_id", "section_id", F.coalesce("__own", valid, F.lit(FALLBACK_ZONE)).alias("zone"),
-        F.when(F.col("__own").isNotNull(), "keyword").when(valid.isNotNull(), "inherited").otherwise("fallback").alias("zone_source"),
-    )
+    def fold(rows: Iterator[tuple]) -> list[tuple]:
+        out, stack = [], []
+        for section, depth, own in rows:
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            above = stack[-1][1] if stack else None
+            out.append((section, own or above or FALLBACK_ZONE, "keyword" if own else "inherited" if above else "fallback"))
+            stack.append((depth, own or above))
+        return out
+
+    return by_document(rows, f"section_id {kind}, zone string, zone_source string", fold, ("section_id", "depth", "own"))
 
 
 def zone_slices(sections: DataFrame) -> DataFrame:
@@ -96,39 +120,68 @@ def zone_slices(sections: DataFrame) -> DataFrame:
     return out.withColumn("n_words", X.n_words(F.col("text"))).withColumn("zone_sha256", X.sha256(F.col("text")))
 
 
+def cut_units(text: str, cap: int) -> list[tuple[int, int, int, int, int]]:
+    """Lines of a text as (line_no, piece_no, char_start, char_end, n_words); one over the cap is cut every ``cap`` words, each piece with the white space behind it."""
+    out, at = [], 0
+    for line_no, line in enumerate(text.split("\n")):
+        starts = [m.start() for m in WORD.finditer(line)]
+        cuts = [0, *starts[cap::cap], len(line)]
+        out += [(line_no, k, at + cuts[k], at + cuts[k + 1], min(cap, len(starts) - k * cap)) for k in range(len(cuts) - 1)]
+        at += len(line) + 1
+    return out
+
+
+def pack_units(rows: Iterable[tuple[int, int, int]], target: int, cap: int) -> list[tuple[int, int, int, int]]:
+    """Units (char_start, char_end, n_words) in order as chunks (chunk_no, char_start, char_end, n_words): a chunk is closed once it has
+    ``target`` words, or before a unit that would pass ``cap``. Units without a word join the chunk before them; chunks without one are left out."""
+    out: list[list[int]] = []
+    for start, end, n in rows:
+        if not out or (out[-1][3] and n and (out[-1][3] >= target or out[-1][3] + n > cap)):
+            out.append([len(out), start, end, n])
+        else:
+            out[-1][2], out[-1][3] = end, out[-1][3] + n
+    return [tuple(x) for x in out if x[3]]
+
+
+def per_text(docs: DataFrame, keys: tuple[str, ...], text_col: str, out: str, rows_of: Callable[[str], list[tuple]]) -> DataFrame:
+    """Rows made from each text where it lies, with its keys: no exchange. A null text has none."""
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    schema = T._parse_datatype_string(f"{kinds}, {out}")
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(len(keys))):
+                new = rows_of(t.as_py()) if t.is_valid else []
+                at += [i] * len(new)
+                rows += new
+                if len(rows) > 10_000 or i == b.num_rows - 1:
+                    values = list(zip(*rows, strict=True)) if rows else [()] * (len(types) - len(keys))
+                    yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))], *[pa.array(v, f.type) for v, f in zip(values, list(types)[len(keys) :], strict=True)]], names=types.names)
+                    at, rows = [], []
+
+    return docs.select(*keys, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = CONFIG.chunk_cap) -> DataFrame:
-    """Lines of a text as units (unit, char_start, char_end, n_words); one over the cap is cut every ``cap`` words."""
-    text = F.col(text_col)
-    lines = F.split(text, "\n", -1)
-    starts = F.aggregate(lines, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(s) + 1)))
-    rows = docs.select(F.col(id_col), F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(starts, 1, F.size(lines)).alias("at"))).alias("line_no", "u"))
-    rows = rows.select(id_col, "line_no", F.col("u.line").alias("line"), F.col("u.at").alias("at"), X.n_words(F.col("u.line")).alias("n"))
-    # a long line: pieces of ``cap`` words, each with the white space behind it
-    pattern = F.lit(rf"(?s)(?:\s*\S+){{1,{cap}}}\s*")
-    pieces = F.when(F.col("n") > cap, F.regexp_extract_all("line", pattern, F.lit(0))).otherwise(F.array("line"))
-    rows = rows.withColumn("pieces", pieces)
-    offsets = F.aggregate("pieces", F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(s))))
-    rows = rows.select(id_col, "line_no", "at", F.posexplode(F.arrays_zip(F.col("pieces").alias("piece"), F.slice(offsets, 1, F.size("pieces")).alias("off"))).alias("piece_no", "p"))
-    return rows.select(id_col, "line_no", "piece_no", (F.col("at") + F.col("p.off")).alias("char_start"), (F.col("at") + F.col("p.off") + F.char_length("p.piece")).alias("char_end"), X.n_words(F.col("p.piece")).alias("n_words"))
+    """Lines of a text as units (line_no, piece_no, char_start, char_end, n_words); one over the cap is cut every ``cap`` words."""
+    return per_text(docs, (id_col,), text_col, "line_no int, piece_no int, char_start int, char_end int, n_words int", lambda t: cut_units(t, cap))
 
 
 def chunk_greedy(unit_rows: DataFrame, id_col: str = "doc_id", target: int = CONFIG.chunk_target, cap: int = CONFIG.chunk_cap) -> DataFrame:
-    """Pack consecutive units: a chunk is closed once it has ``target`` words, or before a unit that would pass ``cap``.
+    """Units of any source packed into chunks: see ``pack_units``."""
+    return by_document(unit_rows, "chunk_no int, char_start int, char_end int, n_words int", lambda rows: pack_units(rows, target, cap), ("char_start", "char_end", "n_words"), id_col, ("line_no", "piece_no"))
 
-    An ordered fold over the units of one document; units without a word join the chunk before them.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "piece_no", "char_start", "char_end", "n_words")))
-    docs = unit_rows.groupBy(id_col).agg(ordered.alias("us"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("n"), F.array().cast("array<struct<no:int,char_start:int,char_end:int,n_words:int>>").alias("out"))
 
-    def step(acc: Column, u: Column) -> Column:
-        opens = (acc["n"] > 0) & (u["n_words"] > 0) & ((acc["n"] >= target) | (acc["n"] + u["n_words"] > cap))
-        no = acc["no"] + opens.cast("int")
-        n = F.when(opens, u["n_words"]).otherwise(acc["n"] + u["n_words"])
-        return F.struct(no.alias("no"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(no.alias("no"), u["char_start"].alias("char_start"), u["char_end"].alias("char_end"), u["n_words"].alias("n_words")))).alias("out"))
+def text_chunks(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", target: int = CONFIG.chunk_target, cap: int = CONFIG.chunk_cap) -> DataFrame:
+    """Chunks of whole texts with their own texts: cut and packed in one pass where the text lies, in time that grows with its length."""
 
-    placed = docs.select(id_col, F.explode(F.aggregate("us", start, step)["out"]).alias("u"))
-    return placed.groupBy(id_col, F.col("u.no").alias("chunk_no")).agg(F.min("u.char_start").alias("char_start"), F.max("u.char_end").alias("char_end"), F.sum("u.n_words").cast("int").alias("n_words")).where("n_words > 0")
+    def rows_of(text: str) -> list[tuple]:
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        return [(*c, text[c[1] : c[2]], digest) for c in pack_units((u[2:] for u in cut_units(text, cap)), target, cap)]
+
+    return per_text(docs, keys, text_col, "chunk_no int, char_start int, char_end int, n_words int, text string, source_sha256 string", rows_of)
 
 
 def chunk_grid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CONFIG.chunk_target) -> DataFrame:
@@ -137,16 +190,49 @@ def chunk_grid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ws.groupBy(id_col, F.floor(F.col("pos") / size).cast("int").alias("chunk_no")).agg(F.count("*").cast("int").alias("n_words"))
 
 
-def evidence_blocks(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id", zone: str = "A", section: str = "01") -> DataFrame:
-    """Blocks with id, verbatim text, offsets, hashes and risk flag from chunks of a zone text."""
-    text = X.slice_text(F.col("text"), F.col("char_start"), F.col("char_end"))
-    rows = chunks.join(docs.select(id_col, "text", X.sha256(F.col("text")).alias("source_sha256")), id_col)
+def evidence_blocks(docs: DataFrame, chunks: DataFrame | None = None, id_col: str = "doc_id", zone: str = "A", section: str = "01") -> DataFrame:
+    """Blocks with id, verbatim text, offsets, hashes and risk flag from the texts of a zone, or from chunks of them made elsewhere."""
+    if chunks is None:
+        rows = text_chunks(docs, (id_col,))
+    else:
+        cut = X.slice_text(F.col("text"), F.col("char_start"), F.col("char_end"))
+        rows = chunks.join(docs.select(id_col, "text", X.sha256(F.col("text")).alias("source_sha256")), id_col).withColumn("text", cut)
+    text = F.col("text")
     return rows.select(
         X.evidence_id(F.col(id_col), F.lit(zone), F.lit(section), F.col("chunk_no")).alias("evidence_id"), F.col(id_col).cast("string").alias("doc_id"), F.lit(zone).alias("zone"), F.col("chunk_no").alias("ord"),
         text.alias("text"), "char_start", "char_end", "n_words", X.sha256(text).alias("text_sha256"), X.sha256(X.retrieval_text(F.lit(section), text)).alias("retrieval_sha256"), "source_sha256", X.formula_risk(text).alias("formula_layout_risk"),
     )
 
 
+def sectioned_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks with their own section, zone and page, and offsets into the zone, from lines (doc_id, ord, page, text, depth or null).
+
+    A line's section is the last heading up to it; its zone is the section's, or the fallback before the first heading. Lines of a zone make its text,
+    which is cut into blocks; sections are carried to them by an ordered merge of the starts of lines and blocks in a zone, never by a range join.
+    Lines of excluded sections are in no zone.
+    """
+    tree = section_tree(lines)
+    zones = zone_classify(tree.select("doc_id", F.col("ord").alias("section_id"), F.col("parent_ord").alias("parent_id"), "depth", "ord", "title"))
+    about = tree.select("doc_id", F.col("ord").alias("section_ord"), "title").join(zones.withColumnRenamed("section_id", "section_ord"), ["doc_id", "section_ord"], "left")
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    held = lines.withColumn("section_ord", F.last(F.when(F.col("depth").isNotNull(), F.col("ord")), ignorenulls=True).over(order).cast("int"))
+    placed = held.select("doc_id", "ord", "page", "text", "section_ord").join(about, ["doc_id", "section_ord"], "left")
+    placed = placed.withColumn("zone", F.when(F.col("section_ord").isNull(), FALLBACK_ZONE).otherwise(F.col("zone"))).where("zone is not null")
+    in_zone = Window.partitionBy("doc_id", "zone").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.select("doc_id", "zone", "section_ord", "title", "page", F.coalesce(F.sum(F.char_length("text") + 1).over(in_zone), F.lit(0)).cast("int").alias("at"), F.lit(0).alias("kind"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    blocks = text_chunks(placed.groupBy("doc_id", "zone").agg(text.alias("text")), ("doc_id", "zone"))
+    both = starts.unionByName(blocks.withColumn("at", F.col("char_start")).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    merge = Window.partitionBy("doc_id", "zone").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.last(F.when(F.col("kind") == 0, F.struct("section_ord", "title", "page")), ignorenulls=True).over(merge)
+    found = both.withColumn("line", line).where("kind = 1")
+    number = F.lpad(F.coalesce(F.col("line.section_ord"), F.lit(0)).cast("string"), 2, "0")
+    return found.select(
+        X.evidence_id(F.col("doc_id"), F.col("zone"), number, F.col("chunk_no")).alias("evidence_id"), "doc_id", "zone", F.col("line.section_ord").alias("section_ord"), F.col("line.title").alias("section_title"), F.col("line.page").alias("page"),
+        F.col("chunk_no").alias("ord"), "char_start", "char_end", "n_words", "text", X.sha256(F.col("text")).alias("text_sha256"), F.col("source_sha256").alias("zone_sha256"),
+    )
+
+
 def chunk_stats(blocks: DataFrame) -> DataFrame:
     n = F.col("n_words")
     return blocks.agg(

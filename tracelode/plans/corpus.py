@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
@@ -99,11 +99,11 @@ def items_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
-    return C.chunk_greedy(C.units(docs_of(spark, d).select("doc_id", "text")))
+    return C.text_chunks(docs_of(spark, d).select("doc_id", "text")).select("doc_id", "chunk_no", "char_start", "char_end", "n_words")
 
 
 def blocks_of(spark: SparkSession, d: str) -> DataFrame:
-    return C.evidence_blocks(docs_of(spark, d).select("doc_id", "text"), chunks_of(spark, d))
+    return C.evidence_blocks(docs_of(spark, d).select("doc_id", "text"))
 
 
 def index_of(spark: SparkSession, d: str) -> I.SearchIndex:
@@ -564,6 +564,46 @@ def section_tree(spark: SparkSession, d: str) -> DataFrame:
     return C.section_tree(C.font_depth(lines.withColumn("size", F.char_length("text") % 6)))
 
 
+TITLES = ("Introduction", "Coupled model", "Simulation", "Case study", "References", "Plain words", "Notes", "Limits")
+MARKED = rf"""
+    h0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls, {list(TITLES)} AS ts FROM documents WHERE text IS NOT NULL),
+    h1 AS (SELECT doc_id, flatten(list_transform(range(0, len(ls)), lambda i: CASE WHEN i % 3 = 0 THEN [CASE WHEN (doc_id + i) % 4 = 0 THEN '# ' WHEN (doc_id + i) % 4 = 1 THEN '2.' || (i % 5) || ' ' WHEN (doc_id + i) % 4 = 2 THEN '1.2.' || (i % 7) || ' ' ELSE '####### ' END
+        || ts[1 + (doc_id + i) % 8], ls[i + 1]] ELSE [ls[i + 1]] END)) AS ls FROM h0),
+    h2 AS (SELECT doc_id, unnest(range(0, len(ls)))::INT AS ord, unnest(ls) AS text FROM h1),
+    h3 AS (SELECT *, (1 + ord // 40)::INT AS page, CASE WHEN regexp_matches(text, '^#{{1,6}}\s+\S') THEN length(regexp_extract(text, '^(#{{1,6}})\s+\S', 1))
+        WHEN regexp_matches(text, '^\d{{1,3}}(?:\.\d{{1,3}})*\.?\s+\p{{Lu}}') THEN len(string_split(regexp_extract(text, '^(\d{{1,3}}(?:\.\d{{1,3}})*)\.?\s+\p{{Lu}}', 1), '.')) END AS depth FROM h2),
+    s0 AS (SELECT doc_id, ord, text AS title, depth FROM h3 WHERE depth IS NOT NULL),
+    s1 AS (SELECT * , CASE WHEN regexp_matches(lower(title), 'abstract|introduction|background|summary') THEN 'A' WHEN regexp_matches(lower(title), 'model|architecture|mechanism|coupling|equation|method|framework') THEN 'B'
+        WHEN regexp_matches(lower(title), 'metric|simulation|warning|control|result|evaluation|experiment') THEN 'C' WHEN regexp_matches(lower(title), 'case|social|discussion|limit|conclusion|community') THEN 'D' END AS own
+        FROM s0 WHERE NOT regexp_matches(lower(title), '^\W*(references|bibliography|acknowledge?ments?|author bio|biograph)')),
+    s2 AS (SELECT x.doc_id, x.ord, max(y.ord) AS parent FROM s1 x LEFT JOIN s1 y ON y.doc_id = x.doc_id AND y.ord < x.ord AND y.depth < x.depth GROUP BY ALL),
+    s3 AS (SELECT doc_id, ord, parent, own AS zone FROM s1 JOIN s2 USING (doc_id, ord) UNION ALL SELECT u.doc_id, u.ord, p.parent, q.own FROM s3 u JOIN s2 p ON p.doc_id = u.doc_id AND p.ord = u.parent JOIN s1 q ON q.doc_id = u.doc_id AND q.ord = u.parent WHERE u.zone IS NULL),
+    s4 AS (SELECT doc_id, ord AS section_ord, coalesce(max(zone), 'D') AS zone FROM s3 GROUP BY ALL),
+    n0 AS (SELECT *, max(CASE WHEN depth IS NOT NULL THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS section_ord FROM h3),
+    n1 AS (SELECT n0.*, s0.title, CASE WHEN n0.section_ord IS NULL THEN 'D' ELSE s4.zone END AS zone FROM n0 LEFT JOIN s4 USING (doc_id, section_ord) LEFT JOIN s0 ON s0.doc_id = n0.doc_id AND s0.ord = n0.section_ord),
+    n2 AS (SELECT doc_id || '|' || zone AS doc_id, section_ord, title, page, text, ord, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, zone ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_char FROM n1 WHERE zone IS NOT NULL),
+    zones AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM n2 GROUP BY doc_id)"""
+
+
+@query(f"""WITH RECURSIVE {MARKED}, {CHUNKS.replace('FROM documents', 'FROM zones')}
+    SELECT printf('%s-Z%s-S%02d-C%03d', split_part(c.doc_id, '|', 1), split_part(c.doc_id, '|', 2), coalesce(l.section_ord, 0), chunk_no) AS evidence_id, split_part(c.doc_id, '|', 2) AS zone, l.section_ord::INT AS section_ord, l.title AS section_title, l.page,
+        char_start, char_end, n_words, sha256(substr(z.text, char_start + 1, char_end - char_start)) AS text_sha256, sha256(z.text) AS zone_sha256
+    FROM chunks c ASOF JOIN n2 l ON l.doc_id = c.doc_id AND c.char_start >= l.at_char JOIN zones z ON z.doc_id = c.doc_id""")
+def sectioned_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with headings put before every third line, numbered, marked and of seven marks (no heading), whose words set, inherit and exclude zones."""
+    titles = F.array(*map(F.lit, TITLES))
+
+    def heading(i: Column) -> Column:
+        k = F.col("doc_id") + i
+        mark = F.when(k % 4 == 0, F.lit("# ")).when(k % 4 == 1, F.concat(F.lit("2."), (i % 5).cast("string"), F.lit(" "))).when(k % 4 == 2, F.concat(F.lit("1.2."), (i % 7).cast("string"), F.lit(" "))).otherwise(F.lit("####### "))
+        return F.concat(mark, F.get(titles, (k % 8).cast("int")))
+
+    marked = F.flatten(F.transform(F.split("text", "\n", -1), lambda line, i: F.when(i % 3 == 0, F.array(heading(i), line)).otherwise(F.array(line))))
+    lines = docs_of(spark, d).where("text is not null").select("doc_id", F.posexplode(marked).alias("ord", "text"))
+    lines = lines.select("doc_id", "ord", (1 + F.floor(F.col("ord") / 40)).cast("int").alias("page"), "text", C.numbered_depth(F.col("text")).alias("depth"))
+    return C.sectioned_blocks(checkpointed(lines)).select("evidence_id", "zone", "section_ord", "section_title", "page", "char_start", "char_end", "n_words", "text_sha256", "zone_sha256")
+
+
 @query(f"""WITH p(pass, agent) AS (VALUES (1, 'A'), (2, 'B'), (3, 'A'), (4, 'B')), x AS (SELECT unnest({list(CONFIG.dimensions)}) AS dimension)
     SELECT doc_id, dimension, pass, agent, NULL::VARCHAR AS label, NULL::VARCHAR AS decision, 'dry_run: no model was called' AS failure_reason,
         sha256('pass ' || pass || ', agent ' || agent || chr(10) || dimension || chr(10) || coalesce(text, '') || chr(10) || chr(10)) AS input_hash
