@@ -93,7 +93,7 @@ def test_lanczos_converges_restarts_and_breaks_down(kind):
 
 def test_deviations_stay_exact_beyond_long():
     x = np.array([[2**40, -(2**40)], [1, 5]])
-    assert whitening.deviations(x, 3, [7, -(2**45)]) == [(3 * 2**40 - 7) ** 2 + (-3 * 2**40 + 2**45) ** 2, (3 - 7) ** 2 + (15 + 2**45) ** 2]
+    assert list(whitening.deviations(x, 3, [7, -(2**45)])) == [(3 * 2**40 - 7) ** 2 + (-3 * 2**40 + 2**45) ** 2, (3 - 7) ** 2 + (15 + 2**45) ** 2]
     assert list(whitening.whole_numbers(np.array([-0.001, 1e300, -1e300, -0.0]))) == [-1, 2**63 - 1, -(2**63), 0]
 
 

@@ -68,12 +68,17 @@ def whole_numbers(flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(x: np.ndarray) -> bytes:
-    """One vector in the narrowest whole numbers that hold it; equal vectors are packed alike."""
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row in the narrowest whole numbers that hold it; equal vectors are packed alike."""
+    out: list[bytes] = [b""] * len(x)
+    low, high, left = x.min(axis=1), x.max(axis=1), np.ones(len(x), bool)
     for size, kind in WIDTHS:
-        if size == 8 or (x.min() >= np.iinfo(kind).min and x.max() <= np.iinfo(kind).max):
-            return struct.pack("<BI", size, len(x)) + x.astype(kind).tobytes()
-    raise AssertionError
+        fits = left & (low >= np.iinfo(kind).min) & (high <= np.iinfo(kind).max)
+        head, raw, step = struct.pack("<BI", size, x.shape[1]), x[fits].astype(kind).tobytes(), size * x.shape[1]
+        for k, i in enumerate(np.flatnonzero(fits).tolist()):
+            out[i] = head + raw[k * step : (k + 1) * step]
+        left &= ~fits
+    return out
 
 
 def unpacked(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,15 +97,17 @@ def numbered(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 b = whole.slice(k, ROWS)
-                at, out, dims = [], [], []
-                for i, v in enumerate(b.column(1)):
-                    if v.is_valid and len(v) and not v.values.null_count:
-                        x = v.values.to_numpy(zero_copy_only=False)
-                        if np.isfinite(x).all():
-                            at.append(i)
-                            dims.append(len(x))
-                            out.append(packed(whole_numbers(x)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["id", "dim", "x"])
+                col = b.column(1)
+                sizes = np.where(col.is_valid().to_numpy(zero_copy_only=False), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+                flat, known = col.flatten(), np.concatenate([[0], np.cumsum(col.flatten().is_null().to_numpy(zero_copy_only=False))])
+                values, ends = flat.to_numpy(zero_copy_only=False), np.cumsum(sizes)
+                whole_rows = (sizes > 0) & (known[ends] == known[ends - sizes])
+                for dim in np.unique(sizes[whole_rows]).tolist():
+                    at = np.flatnonzero(whole_rows & (sizes == dim))
+                    x = values[(ends[at] - dim)[:, None] + np.arange(dim)].astype(np.float64)
+                    good = np.isfinite(x).all(axis=1)
+                    at, x = at[good], x[good]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array(packed(whole_numbers(x)) if len(at) else [], pa.binary())], names=["id", "dim", "x"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     return src.mapInArrow(tidy(run), "id long, dim int, x binary")
@@ -219,13 +226,12 @@ class Lanczos:
             self._begin(self.vectors)
 
 
-def deviations(x: np.ndarray, n: int, totals: list[int]) -> list[int]:
-    """Exact sums of (n x - S)^2 over the entries of each row."""
-    s = np.array(totals, object)
-    reach = n * int(np.abs(x.astype(object)).max() if len(x) else 0) + max(map(abs, totals))
-    if x.shape[1] * reach * reach < 2**63:
-        return [int(v) for v in ((n * x - s.astype(np.int64)) ** 2).sum(axis=1)]
-    return [int(v) for v in ((n * x.astype(object) - s) ** 2).sum(axis=1)]
+def deviations(x: np.ndarray, n: int, totals: list[int]) -> np.ndarray:
+    """Exact sums of (n x - S)^2 over the entries of each row: as int64 where all that is computed fits, else as Python's numbers."""
+    reach = n * (int(np.abs(x.astype(np.float64)).max()) + 1) + max(map(abs, totals)) if x.size else 0
+    if x.shape[1] * reach * reach < 2**62:
+        return ((n * x - np.array(totals, np.int64)) ** 2).sum(axis=1)
+    return ((n * x.astype(object) - np.array(totals, object)) ** 2).sum(axis=1)
 
 
 def projected(rows: DataFrame, fits: dict[int, Fit]) -> DataFrame:
@@ -239,10 +245,11 @@ def projected(rows: DataFrame, fits: dict[int, Fit]) -> DataFrame:
                 for at, x in unpacked(b.column(1).to_pylist()):
                     dim = x.shape[1]
                     mean, onto = ready[dim]
-                    far = [Decimal(v) if v < 10**38 else None for v in deviations(x, fits[dim].n, fits[dim].sums)]
+                    far = deviations(x, fits[dim].n, fits[dim].sums)
+                    far = pa.array(far).cast(pa.decimal128(38, 0)) if far.dtype == np.int64 else pa.array([Decimal(int(v)) if v < 10**38 else None for v in far], pa.decimal128(38, 0))
                     w = (x - mean) @ onto
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * onto.shape[1]), pa.array(w.ravel()))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(x), dim, np.int32)), pa.array(far, pa.decimal128(38, 0)), lists], names=["id", "dim", "deviation", "w"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(x), dim, np.int32)), far, lists], names=["id", "dim", "deviation", "w"])
 
     return rows.select("id", "x").mapInArrow(tidy(run), "id long, dim int, deviation decimal(38,0), w array<double>")
 
