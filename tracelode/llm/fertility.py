@@ -17,7 +17,6 @@ is ``None``; extra columns pass through, one named like an output is replaced; a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -31,7 +30,7 @@ from .common import Remembered, discard, field, map_texts, only_cache, staged
 from .wordlists import numbered
 
 #: Characters that count as symbols, and what the base rules ask for.
-SYMBOLS = re.compile(r"[#*$%&|<>]")
+SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 0.5
 #: Names and files of the vocabularies.
@@ -54,14 +53,18 @@ SCRIPTS = (
 )
 
 
-def script_of(text: str) -> str | None:
-    """The script that most letters of a text are of."""
-    names = [s for _, s in SCRIPTS]
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    counts = np.bincount(np.searchsorted([a for a, _ in SCRIPTS], points, side="right") - 1, minlength=len(names))
-    total = {s: int(sum(c for c, x in zip(counts, names, strict=True) if x == s)) for s in dict.fromkeys(names) if s}
-    best = max(total, key=total.get)
-    return best if total[best] else None
+def scripts_of(doc: np.ndarray, word: np.ndarray, times: np.ndarray, distinct: list[str], n_docs: int) -> list[str | None]:
+    """The script that most letters of each document are of, from how often it has each distinct word."""
+    points = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(distinct)), np.fromiter(map(len, distinct), np.int64, len(distinct)))
+    place = np.searchsorted([a for a, _ in SCRIPTS], points, side="right") - 1
+    names = sorted({SCRIPTS[i][1] for i in np.unique(place).tolist()} - {None})
+    best, most = np.full(n_docs, -1), np.zeros(n_docs)
+    for k, name in enumerate(names):
+        letters = np.bincount(owner[np.isin(place, [i for i, (_, s) in enumerate(SCRIPTS) if s == name])], minlength=len(distinct))
+        count = np.bincount(doc, letters[word] * times, n_docs)
+        best, most = np.where(count > most, k, best), np.maximum(count, most)
+    return [names[k] if k >= 0 else None for k in best.tolist()]
 
 
 class BytePieces:
@@ -153,13 +156,13 @@ def with_measures(df: DataFrame, text_col: str, files: Sequence[tuple[str, str]]
             doc, word = np.repeat(np.arange(n), lens), np.concatenate([*numbers, np.zeros(0, np.int32)]).astype(np.int64)
             sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
             chars = np.bincount(doc, sizes[word], n).astype(np.int64)
+            key, times = np.unique(doc * max(1, len(distinct)) + word, return_counts=True)
+            pairs = key // max(1, len(distinct)), key % max(1, len(distinct)), times
             lines = [[x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
             out = [
-                pa.array(lens), pa.array(chars), pa.array([len(SYMBOLS.findall(t)) for t in texts], pa.int64()),
-                pa.array([len(x) - len(set(x)) for x in lines], pa.int64()), pa.array(repeated_words(doc, word, n)), pa.array(list(map(script_of, texts)), pa.string()),
+                pa.array(lens), pa.array(chars), pa.array([sum(map(t.count, SYMBOLS)) for t in texts], pa.int64()),
+                pa.array([len(x) - len(set(x)) for x in lines], pa.int64()), pa.array(repeated_words(doc, word, n)), pa.array(scripts_of(*pairs, distinct, n), pa.string()),
             ]
-            key, times = np.unique(doc * max(1, len(distinct)) + word, return_counts=True)
-            pairs = key // max(1, len(distinct)), key % max(1, len(distinct)), times
             for _, path, _ in held:
                 out += [pa.array(x, mask=lens == 0) for x in fertility(_held[path], *pairs, distinct, chars)]
             return out
