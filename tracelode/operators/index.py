@@ -2,9 +2,13 @@
 
 Postings are rows of blocks: all that a term has in one block of documents, in folders by a hash of the term and sorted by term
 within. A block holds about ``BLOCK`` documents of similar length, and its rows carry the greatest frequency and the least
-length in them, which bound every score in it whatever the parameters are. A search reads the folders of its terms, scores the
-blocks of the highest bounds, and then only those blocks whose bound reaches the k-th score that these gave: the result is
-exact. A frequent term is as many rows as it has blocks, so no key holds more than a block.
+length in them, which bound every score in it whatever the parameters are. A frequent term is as many rows as it has blocks, so
+no key holds more than a block.
+
+A search reads the folders of its terms. The terms that weigh most give a first k-th score, which no result can be below. Terms
+that could not reach it all together don't lead: a document without a leading term is out, and so are blocks whose bound over
+all terms stays below. What the leading terms give, with the most that the others could add, leaves candidates; only for these
+the postings of frequent terms are opened. The result is exact.
 
 Defined cases: a null text has no postings and no length; a null id is left out of postings; ids are keys, rows that repeat one
 are one document; queries without a known term have no rows; an empty table gives an empty index. Columns besides id and text are kept as metadata for
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG, Config
 from ..functions import text as X
 from ..functions import vectors as V
-from ..sources.tables import exists, move, remove
+from ..sources.tables import exists, move, remove, staged
 from . import dense
 from .retrieval import HybridIndex, idf, metadata_filter, small_side, top
 
@@ -30,8 +34,10 @@ BLOCK = 128
 #: Tokens of a folder of postings.
 FOLDER_TOKENS = 4_000_000
 FOLDERS = 4_096
-#: Blocks that give a query its first scores, and terms that are stated in the scan's filter.
-SEEDS, STATED = 4, 1_000
+#: Terms of a query that give its first scores, and terms that are stated in the scan's filter.
+SEEDS, STATED = 8, 1_000
+#: Scores are rounded to six digits before they are ranked, so bounds leave as much room.
+MARGIN = 1e-5
 
 
 def build(blocks: DataFrame, path: str, id_col: str = "evidence_id", text_col: str = "text", config: Config = CONFIG, embed=None) -> None:
@@ -102,20 +108,35 @@ class SearchIndex(HybridIndex):
         n, avgdl = F.lit(self.n), F.lit(self.avgdl).cast("double")
         if blocks is not None and blocks is not self.blocks:
             found, n, avgdl = self._passing(found, blocks)
-        df = found.groupBy("term").agg(F.sum("df").alias("df"))
-        weights = small_side(terms.join(df, "term").select("query_id", "term", idf(n, F.col("df"), self.config.bm25_variant).alias("idf")))
+        stats = found.groupBy("term").agg(F.sum("df").alias("df"), F.max(self.part(F.col("max_tf"), F.col("min_len"), avgdl)).alias("most"))
+        weights = terms.join(stats, "term").withColumn("idf", idf(n, F.col("df"), self.config.bm25_variant)).withColumn("reach", F.col("idf") * F.col("most"))
+        order = Window.partitionBy("query_id").orderBy("reach", "term")
+        weights = staged(weights.withColumn("below", F.sum("reach").over(order)).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("reach"), "term"))).select("query_id", "term", "idf", "reach", "below", "place"), "weights")
+
+        def scores(asked: DataFrame, rows: DataFrame) -> DataFrame:
+            """Sums over the postings of (query_id, term, idf), by query and document."""
+            hit = rows.select("term", "block", F.explode("postings").alias("p")).select("term", "block", "p.id", self.part(F.col("p.tf"), F.col("p.len"), avgdl).alias("part"))
+            return hit.join(small_side(asked), "term").groupBy("query_id", "id", "block").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+
+        first = weights.where(F.col("place") <= SEEDS).select("query_id", "term", "idf")
+        least = top(scores(first, found.join(small_side(first.select("term").distinct()), "term", "left_semi")), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        told = weights.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - MARGIN).withColumn("leads", F.col("below") >= F.col("least"))
+        told = staged(told, "leading-terms")
+        lead = told.where("leads").select("query_id", "term", "idf")
+        # blocks whose bound over all terms reaches the k-th score, for the terms that lead
         bound = F.sum(F.col("idf") * self.part(F.col("max_tf"), F.col("min_len"), avgdl))
-        bounds = found.select("term", "block", "max_tf", "min_len").join(weights, "term").groupBy("query_id", "block").agg(bound.alias("bound"))
-
-        def scored(picked: DataFrame) -> DataFrame:
-            hit = found.select("term", "block", "postings").join(weights, "term").join(picked, ["query_id", "block"]).select("query_id", "idf", F.explode("postings").alias("p"))
-            score = F.sum(F.col("idf") * self.part(F.col("p.tf"), F.col("p.len"), avgdl))
-            return top(hit.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(score, 6).alias("score")), k)
-
-        best = bounds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("r") <= SEEDS)
-        least = scored(best.select("query_id", "block")).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        reach = bounds.join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-6).select("query_id", "block")
-        return scored(reach)
+        heads = found.select("term", "block", "max_tf", "min_len").join(small_side(told.select("query_id", "term", "idf", "least")), "term").groupBy("query_id", "block").agg(bound.alias("bound"), F.max("least").alias("least"))
+        kept = heads.where("bound >= least").select("block").distinct()
+        leading = found.join(small_side(lead.select("term").distinct()), "term", "left_semi").join(small_side(kept), "block", "left_semi")
+        rest = told.groupBy("query_id").agg(F.max("least").alias("least"), F.sum(F.when(~F.col("leads"), F.col("reach")).otherwise(0.0)).alias("rest"))
+        maybe = scores(lead, leading).join(small_side(rest), "query_id").where(F.col("score") + F.col("rest") >= F.col("least")).select("query_id", "id", "block", "score")
+        maybe = staged(maybe, "candidates")
+        others = told.where(~F.col("leads")).select("query_id", "term", "idf")
+        rows = found.join(small_side(others.select("term").distinct()), "term", "left_semi").join(small_side(maybe.select("block").distinct()), "block", "left_semi")
+        each = rows.select("term", F.explode("postings").alias("p")).select("term", "p.id", self.part(F.col("p.tf"), F.col("p.len"), avgdl).alias("part"))
+        more = each.join(maybe.select("query_id", "id"), "id").join(small_side(others), ["query_id", "term"]).select("query_id", "id", (F.col("idf") * F.col("part")).alias("score"))
+        whole = maybe.select("query_id", "id", "score").unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+        return top(whole, k)
 
     def _passing(self, found: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Column, Column]:
         """Postings of the documents that pass a filter, and the statistics of those."""

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
 
 
+# The contrasts of arms that the study tests.
+CONTRASTS = (("G4", "G3"), ("G3", "G1"), ("G3", "G2"), ("G5", "G4"))
+
+
 def six(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -180,7 +186,7 @@ def holm(tests: DataFrame) -> DataFrame:
     return raw.withColumn("adjusted", six(F.max("__a").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("__r", "__a")
 
 
-def arm_contrast(scores: DataFrame, contrasts: tuple[tuple[str, str], ...] = (("G4", "G3"), ("G3", "G1"), ("G3", "G2"), ("G5", "G4"))) -> DataFrame:
+def arm_contrast(scores: DataFrame, contrasts: tuple[tuple[str, str], ...] = CONTRASTS) -> DataFrame:
     """Mean paired differences of arms (arm, doc_id, dimension, score)."""
     out = None
     for high, low in contrasts:
@@ -191,6 +197,49 @@ def arm_contrast(scores: DataFrame, contrasts: tuple[tuple[str, str], ...] = (("
     return out
 
 
+#: Poisson weights beyond this one are as rare as one draw in ten million.
+MOST_WEIGHT = 10
+HASHES = 1 << 32
+
+
+def poisson_bounds(most: int = MOST_WEIGHT) -> list[int]:
+    """Of a hash below 2^32: where the weight of a Poisson distribution of mean 1 becomes 1, 2, ..."""
+    total, out = 0.0, []
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(int(total * HASHES))
+    return out
+
+
+def poisson(u: Column) -> Column:
+    """The weight that a hash below 2^32 stands for: any engine and any task makes the same."""
+    return sum(((u >= b).cast("int") for b in poisson_bounds()), F.lit(0))
+
+
+def paired_bootstrap(scores: DataFrame, contrasts: tuple[tuple[str, str], ...] = CONTRASTS, cluster: str = "doc_id", draws: int = CONFIG.bootstrap_draws, seed: int = CONFIG.seed) -> DataFrame:
+    """Of each contrast of arms (arm, doc_id, dimension, score): clusters, pairs, mean difference, 95 % interval, p value and, over all
+    contrasts, the adjusted one.
+
+    Pairs are summed by contrast and cluster. Each cluster then gets a Poisson weight a draw and goes into the draws' sums where it lies: partial
+    aggregates of draws, no numbering of clusters and no table of draws. The p value is twice the smaller share of draws on one side of zero.
+
+    Defined cases: repeated scores are averaged; pairs that lack an arm don't count; a contrast without pairs has no row; draws of weight zero alone are left out.
+    """
+    names = sorted({a for pair in contrasts for a in pair})
+    keys = list(dict.fromkeys([cluster, "doc_id", "dimension"]))
+    wide = scores.groupBy(*keys).pivot("arm", names).agg(F.avg("score"))
+    each = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), (F.col(a) - F.col(b)).alias("diff")) for a, b in contrasts])
+    pairs = wide.select(F.col(cluster).alias("cluster"), F.explode(each).alias("x")).select("cluster", "x.*").where("diff is not null")
+    sums = pairs.groupBy("contrast", "cluster").agg(F.sum("diff").alias("s"), F.count("*").alias("c"))
+    drawn = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).withColumn("u", draw(F.col("i"), F.col("cluster"), F.lit(HASHES), seed)).withColumn("w", poisson(F.col("u")))
+    means = drawn.groupBy("contrast", "i").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("c")).where("c > 0").withColumn("m", F.col("s") / F.col("c"))
+    low, high = (F.count_if(F.col("m") <= 1e-12) + 1) / (F.count("*") + 1), (F.count_if(F.col("m") >= -1e-12) + 1) / (F.count("*") + 1)
+    told = means.groupBy("contrast").agg(six(F.percentile("m", 0.025)).alias("low"), six(F.percentile("m", 0.975)).alias("high"), six(F.least(F.lit(1.0), 2 * F.least(low, high))).alias("p_value"))
+    whole = sums.groupBy("contrast").agg(F.count("*").alias("n_clusters"), F.sum("c").alias("n_pairs"), six(F.sum("s") / F.sum("c")).alias("mean_diff"))
+    adjusted = holm(told.select(F.col("contrast").alias("name"), "p_value")).select(F.col("name").alias("contrast"), "adjusted")  # a row a contrast
+    return whole.join(told, "contrast").join(adjusted, "contrast")
+
+
 def metric_breakdown(scores: DataFrame, value: str = "score") -> DataFrame:
     """Mean by document, by dimension and over all, in one pass."""
     return scores.groupingSets([["doc_id"], ["dimension"], []], "doc_id", "dimension").agg(F.count("*").alias("n"), six(F.avg(value)).alias("mean"))

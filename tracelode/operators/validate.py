@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import CONFIG, DECISIONS
 from ..functions import text as X
 
-#: Quotes without an inner word that one scan of the blocks looks for.
-SHORT_QUOTES = 1_000
+#: Characters of the quotes that one scan of the blocks looks for.
+SCANNED = 4_000_000
 
 
 def evidence_fk(cited: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -31,32 +36,68 @@ def quote_check(cited: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def find_quotes(quotes: DataFrame, blocks: DataFrame, id_col: str = "evidence_id") -> DataFrame:
-    """Blocks that hold a quote (item_id, text) verbatim where no block is named.
+    """Blocks that hold a quote (item_id, text) verbatim where no block is named: (item_id, id, quote_start), the first place in code points.
 
-    A block that holds a quote has its inner words as whole words, so the rarest of them leads to the blocks that may hold it;
-    only those are searched. Quotes of fewer than three words have no inner word: they are searched in all blocks,
-    ``SHORT_QUOTES`` at once.
+    Quotes of ``SCANNED`` characters in all, as their count shows, are one automaton that goes over each text once, where it lies. Of more quotes those
+    with three words or more go by their inner words, which a block that holds them has as whole words: the rarest leads to the blocks
+    that may hold it. The others, which have no inner word, go by automata of ``SCANNED`` characters each. Null and empty quotes name no place.
     """
+    asked = quotes.where("text is not null and text <> ''").select("item_id", F.col("text").alias("quote")).distinct()
+    text = blocks.where("text is not null").select(F.col(id_col).alias("id"), "text")
+    size = asked.agg(F.sum(F.char_length("quote"))).first()[0] or 0
+    if size <= SCANNED:
+        return scan_for(asked, text)
+    asked = asked.withColumn("ts", X.tokens(F.col("quote")))
+    found = by_inner_words(asked.where(F.size("ts") > 2), text)
+    short = asked.where(F.size("ts") <= 2).select("item_id", "quote")
+    parts = -(-(short.agg(F.sum(F.char_length("quote"))).first()[0] or 0) // SCANNED)
+    for k in range(parts):
+        found = found.unionByName(scan_for(short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(parts)) == k), text))
+    return found
+
+
+def scan_for(asked: DataFrame, text: DataFrame) -> DataFrame:
+    """One pass over texts (id, text) with an automaton of quotes (item_id, quote), whose size the caller has bounded."""
+    items: dict[str, list] = {}
+    for item, quote in asked.collect():
+        items.setdefault(quote, []).append(item)
+    kinds = f"item_id {asked.schema['item_id'].dataType.simpleString()}, id {text.schema['id'].dataType.simpleString()}, quote_start int"
+    held = text.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for q in held.value:
+            automaton.add_word(q, q)
+        if not held.value:
+            return
+        automaton.make_automaton()
+        for b in batches:
+            out: list[tuple] = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                first: dict[str, int] = {}
+                for end, q in automaton.iter(t.as_py()):
+                    first.setdefault(q, end - len(q) + 1)
+                out += [(item, i, at) for q, at in first.items() for item in held.value[q]]
+            item_ids, ids, starts = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(item_ids, types.field(0).type), pa.array(ids, types.field(1).type), pa.array(starts, pa.int32())], names=types.names)
+
+    types = to_arrow_schema(T._parse_datatype_string(kinds))
+    return text.select("id", "text").mapInArrow(run, kinds)
+
+
+def by_inner_words(asked: DataFrame, text: DataFrame) -> DataFrame:
+    """Quotes (item_id, quote, ts) of three words or more, by the rarest word that is not at their ends."""
     from .retrieval import small_side
 
-    asked = quotes.where("text is not null").select("item_id", F.col("text").alias("quote"), X.tokens(F.col("text")).alias("ts"))
-    text = blocks.where("text is not null").select(F.col(id_col).alias("id"), "text")
-    inner = asked.where(F.size("ts") > 2).select("item_id", "quote", F.explode(F.array_distinct(F.slice("ts", 2, F.size("ts") - 2))).alias("term"))
+    inner = asked.select("item_id", "quote", F.explode(F.array_distinct(F.slice("ts", 2, F.size("ts") - 2))).alias("term"))
     wanted = inner.select("term").distinct()
     held = text.select("id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(small_side(wanted, 100_000), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rare = inner.join(df, "term", "left").groupBy("item_id", "quote").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     maybe = held.join(rare, "term").select("item_id", "quote", "id").distinct()
-    found = text.join(small_side(maybe, 100_000), "id").where(F.contains("text", "quote")).select("item_id", "id", (F.instr("text", F.col("quote")) - 1).alias("quote_start"))
-
-    short = asked.where(F.size("ts") <= 2).select("item_id", "quote")
-    parts = -(-short.count() // SHORT_QUOTES)
-    for k in range(parts):
-        part = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(parts)) == k)
-        one = F.broadcast(part.agg(F.collect_list(F.struct("item_id", "quote")).alias("qs")))  # a row, of about SHORT_QUOTES quotes
-        hits = text.crossJoin(one).select("id", "text", F.explode(F.filter("qs", lambda q: F.contains(F.col("text"), q["quote"]))).alias("q"))
-        found = found.unionByName(hits.select("q.item_id", "id", F.when(F.col("q.quote") == "", 0).otherwise(F.instr("text", F.col("q.quote")) - 1).alias("quote_start")))
-    return found
+    return text.join(small_side(maybe, 100_000), "id").where(F.contains("text", "quote")).select("item_id", "id", (F.instr("text", F.col("quote")) - 1).alias("quote_start"))
 
 
 def manifest_fk(records: DataFrame, manifest: DataFrame, key: str = "call_id") -> DataFrame:
@@ -75,6 +116,19 @@ def schema_compat(records: DataFrame, registry: DataFrame, old: str, new: str) -
     return label_legality(records.where(F.col("schema_version") == old), registry, new)
 
 
+def legal_versions(records: DataFrame, history: DataFrame, versions: tuple[int, ...]) -> DataFrame:
+    """Records (version, dimension, label) under their own and every later schema version: (version, under, dimension, n, n_legal).
+
+    ``history`` is append-only: (dimension, label, since, until), a label being legal from ``since`` up to but without ``until``, which is null while it
+    stays. A label that comes back has another interval. Records are counted by version and label before they meet the intervals.
+    """
+    counts = records.groupBy("version", "dimension", "label").agg(F.count("*").alias("n"))
+    under = counts.withColumn("under", F.explode(F.array(*map(F.lit, versions)))).where("under >= version")
+    spans = history.select("dimension", "label", "since", "until").distinct()
+    legal = under.join(spans, ["dimension", "label"]).where("since <= under AND (until IS NULL OR under < until)").select("version", "dimension", "label", "under").distinct().withColumn("ok", F.lit(1))
+    return under.join(legal, ["version", "dimension", "label", "under"], "left").groupBy("version", "under", "dimension").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok") == 1, F.col("n")).otherwise(0)).alias("n_legal"))
+
+
 def critic_faults(reviews: DataFrame) -> DataFrame:
     """Reviews with an unknown decision or a confidence outside 0..1, with the reason."""
     fault = F.when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "decision").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence")

@@ -15,7 +15,7 @@ from ..operators import protocol as P
 from ..operators import retrieval as R
 from ..operators import synthesis as S
 from ..operators import validate as V
-from ..sources.tables import checkpointed, html_pages, shared_folder, state_of, table
+from ..sources.tables import checkpointed, html_pages, shared_folder, staged, state_of, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -683,6 +683,92 @@ def critic_checks(spark: SparkSession, d: str) -> DataFrame:
     return K.critic_checks(records, blocks, spark.createDataFrame(list(RULES), "label string, check_name string, must string, must_not string"))
 
 
+BOUNDS = M.poisson_bounds()
+
+
+@query(f"""WITH {SCORES}, c(h, l) AS (VALUES {', '.join(map(str, M.CONTRASTS))}),
+    s AS (SELECT h || '-' || l AS contrast, a.doc_id AS cluster, sum(a.score - b.score) AS s, count(*) AS c FROM c JOIN scores a ON a.arm = h JOIN scores b ON b.arm = l AND a.doc_id = b.doc_id AND a.dimension = b.dimension GROUP BY ALL),
+    w AS (SELECT contrast, i, s, c, len(list_filter({BOUNDS}, lambda b: b <= u)) AS w FROM (SELECT *, {DRAW.format('i', 'cluster', M.HASHES)} AS u FROM s, range(1, 201) r(i))),
+    m AS (SELECT contrast, i, sum(w * s) / sum(w * c) AS m FROM w WHERE w > 0 GROUP BY ALL),
+    t AS (SELECT contrast, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1.0, 2 * least((count_if(m <= 1e-12) + 1) / (count(*) + 1), (count_if(m >= -1e-12) + 1) / (count(*) + 1))), 6) AS p_value FROM m GROUP BY contrast),
+    k AS (SELECT *, row_number() OVER (ORDER BY p_value, contrast) AS k, count(*) OVER () AS n FROM t), h AS (SELECT *, round(max(least(1.0, p_value * (n - k + 1))) OVER (ORDER BY k), 6) AS adjusted FROM k),
+    z AS (SELECT contrast, count(*) AS n_clusters, sum(c)::BIGINT AS n_pairs, round(sum(s) / sum(c), 6) AS mean_diff FROM s GROUP BY contrast)
+    SELECT contrast, n_clusters, n_pairs, mean_diff, low, high, p_value, adjusted FROM z JOIN h USING (contrast)""")
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return M.paired_bootstrap(scores_of(spark, d))
+
+
+FROZEN = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("""WITH a AS (SELECT doc_id // 16 AS range_no, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT doc_id // 16 AS range_no, count(*) FILTER (doc_id % 89 <> 5) AS n, count_if(doc_id % 89 = 5)::BIGINT AS gone, count_if(doc_id % 97 = 3 AND doc_id % 89 <> 5)::BIGINT AS changed FROM documents GROUP BY 1)
+    SELECT range_no, a.n AS rows_then, b.n AS rows_now, gone AS n_gone, changed AS n_changed FROM a JOIN b USING (range_no) WHERE gone + changed > 0""")
+def freeze_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against a later state of them in which some texts differ and some rows are gone: ranges by the trees, rows in those ranges alone."""
+    then = docs_of(spark, d).select(*FROZEN)
+    text = F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    now = then.where("doc_id % 89 <> 5").withColumn("text", text)
+    ranges = staged(S.changed_ranges(staged(S.freeze_tree(then, "doc_id", FROZEN), "tree"), staged(S.freeze_tree(now, "doc_id", FROZEN), "tree")), "ranges")
+    rows = S.changed_rows(then, now, ranges, "doc_id", FROZEN).groupBy(F.floor(F.col("doc_id") / 16).cast("long").alias("range_no"))
+    found = rows.agg(F.count_if(F.col("change") == "gone").alias("n_gone"), F.count_if(F.col("change") == "changed").alias("n_changed"))
+    return ranges.join(found, "range_no").select("range_no", "rows_then", "rows_now", "n_gone", "n_changed")
+
+
+GRAPH = """c AS (SELECT 'K' || item_id AS id, text FROM benchmark), e AS (
+        SELECT DISTINCT c.id AS src_id, 'claim' AS src_kind, b.evidence_id AS dst_id, 'block' AS dst_kind FROM c JOIN blocks b ON contains(b.text, c.text)
+        UNION ALL SELECT evidence_id, 'block', doc_id, 'document' FROM blocks
+        UNION ALL SELECT doc_id::VARCHAR, 'document', first::VARCHAR, 'document' FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE first < doc_id
+        UNION ALL SELECT doc_id::VARCHAR, 'document', source, 'source' FROM documents),
+    reach AS (SELECT id AS root_id, id AS node_id, 'claim' AS kind, 0 AS hop FROM c UNION SELECT r.root_id, e.dst_id, e.dst_kind, r.hop + 1 FROM reach r JOIN e ON e.src_id = r.node_id AND e.src_kind = r.kind WHERE r.hop < 4),
+    near AS (SELECT root_id, node_id, kind, min(hop)::INT AS hop FROM reach GROUP BY ALL)"""
+
+
+def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, typed edges and what each claim reaches: items of the benchmark as claims, the blocks that hold them, documents, first copies and sources."""
+    blocks, docs, items = checkpointed(blocks_of(spark, d).select("evidence_id", "doc_id", "text")), docs_of(spark, d), table(spark, d, "benchmark")
+    claim = F.concat(F.lit("K"), F.col("item_id").cast("string"))
+    edge = lambda df, a, ka, b, kb: df.select(a.alias("src_id"), F.lit(ka).alias("src_kind"), b.alias("dst_id"), F.lit(kb).alias("dst_kind"))
+    ids = docs.select(F.col("doc_id").cast("string").alias("id"), "doc_id", "source", X.sha256(F.col("text")).alias("digest"))
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"))  # copies meet by hash, and partly before the exchange
+    copies = ids.join(first, "digest").where("first < doc_id")
+    edges = edge(V.find_quotes(items, blocks), claim, "claim", F.col("id"), "block").distinct()
+    edges = edges.unionByName(edge(blocks, F.col("evidence_id"), "block", F.col("doc_id"), "document")).unionByName(edge(copies, F.col("id"), "document", F.col("first").cast("string"), "document")).unionByName(edge(ids, F.col("id"), "document", F.col("source"), "source"))
+    edges = checkpointed(edges)
+    node = lambda df, i, kind: df.select(i.alias("node_id"), F.lit(kind).alias("kind"))
+    nodes = node(items, claim, "claim").unionByName(node(blocks, F.col("evidence_id"), "block")).unionByName(node(ids, F.col("id"), "document"))
+    return nodes, edges, S.reach(edges, nodes.where("kind = 'claim'"), 4, lambda df, name: checkpointed(df))
+
+
+@query(f"WITH RECURSIVE {BLOCKS}, {GRAPH} SELECT root_id, node_id, kind, hop FROM near")
+def trace_reach(spark: SparkSession, d: str) -> DataFrame:
+    return graph_of(spark, d)[2]
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, {GRAPH}, n AS (SELECT id AS node_id, 'claim' AS kind FROM c UNION ALL SELECT evidence_id, 'block' FROM blocks UNION ALL SELECT doc_id::VARCHAR, 'document' FROM documents)
+    SELECT node_id, kind, 'orphan' AS fault FROM n WHERE kind <> 'claim' AND NOT EXISTS (SELECT 1 FROM e WHERE dst_id = node_id AND dst_kind = kind)
+    UNION ALL SELECT id, 'claim', 'dead end' FROM c WHERE id NOT IN (SELECT root_id FROM near WHERE kind = 'source')""")
+def trace_faults(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges, reached = graph_of(spark, d)
+    return S.loose_ends(nodes, edges, checkpointed(reached), "source")
+
+
+HISTORY = "SELECT DISTINCT lang AS dimension, 'L' || (n_chars % 6)::VARCHAR AS label FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL"
+
+
+@query(f"""WITH l AS ({HISTORY}), h AS (SELECT dimension, label, CASE WHEN label = 'L5' THEN 2 ELSE 1 END AS since, CASE WHEN label = 'L2' THEN 3 WHEN label = 'L4' THEN 2 END AS until FROM l UNION ALL SELECT dimension, label, 4, NULL FROM l WHERE label = 'L4'),
+    r AS (SELECT (1 + doc_id % 4)::INT AS version, lang AS dimension, 'L' || (n_chars % 6)::VARCHAR AS label FROM documents),
+    x AS (SELECT r.*, under FROM r, (VALUES (1), (2), (3), (4)) v(under) WHERE under >= version)
+    SELECT version, under, dimension, count(*) AS n, count_if(EXISTS (SELECT 1 FROM h WHERE h.dimension = x.dimension AND h.label = x.label AND since <= under AND (until IS NULL OR under < until)))::BIGINT AS n_legal FROM x GROUP BY ALL""")
+def legal_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of documents under each schema version from their own on: one label comes late, one goes, one goes and comes back."""
+    label = F.concat(F.lit("L"), (F.col("n_chars") % 6).cast("string"))
+    records = docs_of(spark, d).select((1 + F.col("doc_id") % 4).cast("int").alias("version"), F.col("lang").alias("dimension"), label.alias("label"))
+    known = records.where("dimension is not null and label is not null").select("dimension", "label").distinct()
+    first = known.select("dimension", "label", F.when(F.col("label") == "L5", 2).otherwise(1).alias("since"), F.when(F.col("label") == "L2", 3).when(F.col("label") == "L4", 2).alias("until"))
+    history = first.unionByName(known.where("label = 'L4'").select("dimension", "label", F.lit(4).alias("since"), F.lit(None).cast("int").alias("until")))
+    return V.legal_versions(records, history, (1, 2, 3, 4))
+
+
 @query("""WITH g AS (SELECT lang, avg(toxic) AS prevalence, count(*) / count(DISTINCT source) AS cluster_size FROM labels JOIN documents USING (doc_id) GROUP BY lang)
     SELECT lang, round(prevalence, 6) AS prevalence, round(1 + (cluster_size - 1) * 0.1::DOUBLE, 6) AS design_effect,
         ceil(round(power(1.959964::DOUBLE + 0.841621::DOUBLE, 2) * 2 * prevalence * (1 - prevalence) / 0.0025::DOUBLE * (1 + (cluster_size - 1) * 0.1::DOUBLE), 6))::BIGINT AS n_needed FROM g""")
