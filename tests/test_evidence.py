@@ -38,8 +38,8 @@ def test_index_equals_a_scan_of_the_texts(spark, built, monkeypatch):
     want = {tuple(r) for r in R.bm25_topk(queries, df, 5).collect()}
     assert {tuple(r) for r in index.bm25(queries, 5).collect()} == want
     monkeypatch.setattr(I, "STATED", 1)
-    monkeypatch.setattr(I, "SEEDS", 1)
-    assert {tuple(r) for r in index.bm25(queries, 5).collect()} == want, "few terms and many, few seeds and many: the same"
+    monkeypatch.setattr(I, "WEIGHTS", 3)
+    assert {tuple(r) for r in index.bm25(queries, 5).collect()} == want, "terms stated or joined, queries at once or in parts: the same"
     french = {tuple(r) for r in R.bm25_topk(queries, df.where("lang = 'fr'"), 5).collect()}
     assert {tuple(r) for r in index.bm25(queries, 5, R.metadata_filter(index.blocks, lang="fr")).collect()} == french
     assert {tuple(r) for r in index.overlap(queries, 5).collect()} == {tuple(r) for r in R.overlap_topk(queries, df, 5).collect()}
@@ -170,3 +170,76 @@ def test_checks_by_hand(spark):
     assert not got["r3", "evidence"][1] and not got["r3", "direction"][1] and not got["r4", "evidence"][1] and got["r4", "entailment"] == (False, True)
     assert got["r5", "evidence"] == (True, False) and got["r5", "contradiction"] == (False, True)
     assert K.critic_checks(df.limit(0), blocks, rules).count() == 0
+
+
+# ---- intervals, digests, graphs, versions
+
+
+def test_poisson_weights_have_their_mean_and_do_not_depend_on_partitions(spark):
+    from tracelode.operators import metrics as M
+
+    ids = spark.range(40_000).withColumn("w", M.poisson(M.draw(F.lit(3), F.col("id"), F.lit(M.HASHES), 42)))
+    mean, var, most = ids.agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
+    assert abs(mean - 1) < 0.03 and abs(var - 1) < 0.05 and most <= M.MOST_WEIGHT
+    s = spark.createDataFrame([(a, d, "D01", float((d * k) % 7)) for a, k in (("G4", 3), ("G3", 5), ("G1", 2)) for d in range(60)], "arm string, doc_id long, dimension string, score double")
+    pairs = (("G4", "G3"), ("G3", "G1"), ("G4", "G9"))
+    one, two = (sorted(map(tuple, M.paired_bootstrap(x, pairs).collect())) for x in (s, s.repartition(7).unionByName(s)))
+    assert one == two and {r[0] for r in one} == {"G4-G3", "G3-G1"}, "repeated scores are averaged, a contrast without pairs has no row"
+    assert all(r[4] <= r[3] <= r[5] and r[6] <= r[7] <= 1 for r in one)
+
+
+def test_digest_trees_advance_and_find_what_changed(spark):
+    from tracelode.operators import synthesis as S
+
+    then = spark.createDataFrame([(i, f"t{i}") for i in range(0, 3000, 3)], "k long, t string")
+    gone, came = then.where("k in (33, 1500)"), spark.createDataFrame([(33, "other"), (-5, "new")], "k long, t string")
+    now = then.exceptAll(gone).unionByName(came)
+    tree, after = S.freeze_tree(then, "k", ["k", "t"]), S.freeze_tree(now, "k", ["k", "t"])
+    assert {tuple(r) for r in S.advanced(tree, gone, came, "k", ["k", "t"]).collect()} == {tuple(r) for r in after.collect()}
+    ranges = S.changed_ranges(tree, after)
+    assert {r["range_no"] for r in ranges.collect()} == {-1, 2, 93}
+    assert {tuple(r) for r in S.changed_rows(then, now, ranges, "k", ["k", "t"]).collect()} == {(33, "changed"), (1500, "gone"), (-5, "came")}
+    assert S.changed_ranges(tree, tree).count() == 0
+
+
+def test_reach_ends_in_cycles_and_names_loose_ends(spark):
+    from tracelode.operators import synthesis as S
+
+    edges = spark.createDataFrame([("k1", "claim", "b1", "block"), ("b1", "block", "d1", "document"), ("d1", "document", "b1", "block"), ("k2", "claim", "b2", "block"), ("b3", "block", "d1", "document")], "src_id string, src_kind string, dst_id string, dst_kind string")
+    nodes = spark.createDataFrame([("k1", "claim"), ("k2", "claim"), ("b1", "block"), ("b2", "block"), ("b3", "block"), ("d1", "document")], "node_id string, kind string")
+    got = S.reach(edges, nodes.where("kind = 'claim'"), 5)
+    assert {tuple(r) for r in got.collect()} == {("k1", "k1", "claim", 0), ("k1", "b1", "block", 1), ("k1", "d1", "document", 2), ("k2", "k2", "claim", 0), ("k2", "b2", "block", 1)}
+    assert {tuple(r) for r in S.loose_ends(nodes, edges, got, "document").collect()} == {("b3", "block", "orphan"), ("k2", "claim", "dead end")}
+
+
+# ---- chunks and sections
+
+
+def test_a_million_lines_and_long_lines_are_cut_in_linear_time():
+    import time
+
+    lines = "\n".join(["word " * 3] * 1_000_000)
+    began = time.time()
+    units = C.cut_units(lines, 240)
+    chunks = C.pack_units((u[2:] for u in units), 180, 240)
+    assert len(units) == 1_000_000 and sum(c[3] for c in chunks) == 3_000_000 and time.time() - began < 30
+    assert len(C.cut_units("w " * 500_000, 240)) == -(-500_000 // 240)
+
+
+def test_sections_of_any_depth_reach_their_blocks(spark):
+    deep = [("Introduction", 1), ("x", None), ("Model", 9), ("y", None), ("Notes", 12), ("z", None), ("References", 2), ("r", None), ("Plain", 3), ("q", None)]
+    lines = spark.createDataFrame([(1, 0, 1, "before", None), *[(1, i + 1, 1 + i // 4, t, d) for i, (t, d) in enumerate(deep)]], "doc_id long, ord int, page int, text string, depth int")
+    got = {(r["zone"], r["section_title"]): (r["page"], r["text"]) for r in C.sectioned_blocks(lines).collect()}
+    assert got == {("D", None): (1, "before"), ("A", "Introduction"): (1, "Introduction\nx\nPlain\nq"), ("B", "Model"): (1, "Model\ny\nNotes\nz")}
+    assert {(r["title"], r["parent_ord"]) for r in C.section_tree(lines).collect()} >= {("Notes", 3), ("Model", 1), ("Plain", 7)}
+
+
+def test_quotes_by_automaton_equal_quotes_by_words(spark, monkeypatch):
+    from tracelode.operators import validate as V
+
+    texts = spark.createDataFrame([(1, "the 𝒳 cold river runs the cold"), (2, "a cold"), (3, None), (4, "he cold rivers")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "the cold"), (2, "cold river runs"), (3, "he cold river"), (4, ""), (5, None), (6, "cold"), (6, "cold"), (7, "cold")], "item_id long, text string")
+    want = {tuple(r) for r in V.find_quotes(quotes, texts, "doc_id").collect()}
+    monkeypatch.setattr(V, "SCANNED", 9)
+    assert {tuple(r) for r in V.find_quotes(quotes, texts, "doc_id").collect()} == want
+    assert {(1, 1, 22), (2, 1, 6), (6, 2, 2), (7, 2, 2), (3, 4, 0)} <= want and not {4, 5} & {r[0] for r in want}

@@ -5,10 +5,9 @@ within. A block holds about ``BLOCK`` documents of similar length, and its rows
 length in them, which bound every score in it whatever the parameters are. A frequent term is as many rows as it has blocks, so
 no key holds more than a block.
 
-A search reads the folders of its terms. The terms that weigh most give a first k-th score, which no result can be below. Terms
-that could not reach it all together don't lead: a document without a leading term is out, and so are blocks whose bound over
-all terms stays below. What the leading terms give, with the most that the others could add, leaves candidates; only for these
-the postings of frequent terms are opened. The result is exact.
+A search reads the folders of its terms and deals their rows by block. A task keeps the best ``k`` of each query that it has met;
+in a block it opens postings only for queries whose bound, over all their terms, reaches the k-th score so far, and adds the products
+of weights and postings to a matrix of queries and the block's documents. The result is exact, and only the best leave a task.
 
 Defined cases: a null text has no postings and no length; a null id is left out of postings; ids are keys, rows that repeat one
 are one document; queries without a known term have no rows; an empty table gives an empty index. Columns besides id and text are kept as metadata for
@@ -19,9 +18,15 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import CONFIG, Config
 from ..functions import text as X
@@ -34,8 +39,8 @@ BLOCK = 128
 #: Tokens of a folder of postings.
 FOLDER_TOKENS = 4_000_000
 FOLDERS = 4_096
-#: Terms of a query that give its first scores, and terms that are stated in the scan's filter.
-SEEDS, STATED = 8, 1_000
+#: Terms that are stated in the scan's filter, and weights of queries' terms that a task holds at once.
+STATED, WEIGHTS = 1_000, 1_000_000
 #: Scores are rounded to six digits before they are ranked, so bounds leave as much room.
 MARGIN = 1e-5
 
@@ -97,46 +102,104 @@ class SearchIndex(HybridIndex):
         stated = [r[0] for r in terms.limit(STATED + 1).collect()]
         return known.where(F.col("term").isin(stated)) if len(stated) <= STATED else known.join(small_side(terms), "term", "left_semi")
 
-    def part(self, tf: Column, length: Column, avgdl: Column) -> Column:
-        """What a term adds to a score, but for its idf: it grows with ``tf`` and falls with ``length``."""
-        c = self.config
-        return tf * (c.bm25_k1 + 1) / (tf + c.bm25_k1 * (1 - c.bm25_b + c.bm25_b * length / avgdl))
-
     def bm25(self, queries: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
         terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text"), self.config.token_pattern))).alias("term"))
         found = self.postings(terms.select("term").distinct())
         n, avgdl = F.lit(self.n), F.lit(self.avgdl).cast("double")
         if blocks is not None and blocks is not self.blocks:
             found, n, avgdl = self._passing(found, blocks)
-        stats = found.groupBy("term").agg(F.sum("df").alias("df"), F.max(self.part(F.col("max_tf"), F.col("min_len"), avgdl)).alias("most"))
-        weights = terms.join(stats, "term").withColumn("idf", idf(n, F.col("df"), self.config.bm25_variant)).withColumn("reach", F.col("idf") * F.col("most"))
-        order = Window.partitionBy("query_id").orderBy("reach", "term")
-        weights = staged(weights.withColumn("below", F.sum("reach").over(order)).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("reach"), "term"))).select("query_id", "term", "idf", "reach", "below", "place"), "weights")
-
-        def scores(asked: DataFrame, rows: DataFrame) -> DataFrame:
-            """Sums over the postings of (query_id, term, idf), by query and document."""
-            hit = rows.select("term", "block", F.explode("postings").alias("p")).select("term", "block", "p.id", self.part(F.col("p.tf"), F.col("p.len"), avgdl).alias("part"))
-            return hit.join(small_side(asked), "term").groupBy("query_id", "id", "block").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
-
-        first = weights.where(F.col("place") <= SEEDS).select("query_id", "term", "idf")
-        least = top(scores(first, found.join(small_side(first.select("term").distinct()), "term", "left_semi")), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        told = weights.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - MARGIN).withColumn("leads", F.col("below") >= F.col("least"))
-        told = staged(told, "leading-terms")
-        lead = told.where("leads").select("query_id", "term", "idf")
-        # blocks whose bound over all terms reaches the k-th score, for the terms that lead
-        bound = F.sum(F.col("idf") * self.part(F.col("max_tf"), F.col("min_len"), avgdl))
-        heads = found.select("term", "block", "max_tf", "min_len").join(small_side(told.select("query_id", "term", "idf", "least")), "term").groupBy("query_id", "block").agg(bound.alias("bound"), F.max("least").alias("least"))
-        kept = heads.where("bound >= least").select("block").distinct()
-        leading = found.join(small_side(lead.select("term").distinct()), "term", "left_semi").join(small_side(kept), "block", "left_semi")
-        rest = told.groupBy("query_id").agg(F.max("least").alias("least"), F.sum(F.when(~F.col("leads"), F.col("reach")).otherwise(0.0)).alias("rest"))
-        maybe = scores(lead, leading).join(small_side(rest), "query_id").where(F.col("score") + F.col("rest") >= F.col("least")).select("query_id", "id", "block", "score")
-        maybe = staged(maybe, "candidates")
-        others = told.where(~F.col("leads")).select("query_id", "term", "idf")
-        rows = found.join(small_side(others.select("term").distinct()), "term", "left_semi").join(small_side(maybe.select("block").distinct()), "block", "left_semi")
-        each = rows.select("term", F.explode("postings").alias("p")).select("term", "p.id", self.part(F.col("p.tf"), F.col("p.len"), avgdl).alias("part"))
-        more = each.join(maybe.select("query_id", "id"), "id").join(small_side(others), ["query_id", "term"]).select("query_id", "id", (F.col("idf") * F.col("part")).alias("score"))
-        whole = maybe.select("query_id", "id", "score").unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"))
-        return top(whole, k)
+        df = found.groupBy("term").agg(F.sum("df").alias("df"))
+        return self.ranked(found.withColumn("avgdl", avgdl), terms.join(df, "term").select("query_id", "term", idf(n, F.col("df"), self.config.bm25_variant).alias("idf")), k)
+
+    def overlap(self, queries: DataFrame, k: int) -> DataFrame:
+        """How many distinct terms of a query a document has."""
+        terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text"), self.config.token_pattern))).alias("term"))
+        found = self.postings(terms.select("term").distinct()).withColumn("avgdl", F.lit(None).cast("double"))
+        return self.ranked(found, terms.withColumn("idf", F.lit(1.0)), k)
+
+    def ranked(self, found: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+        """Weights (query_id, term, idf) against blocks, so many at once that a task can hold them."""
+        weights = staged(weights, "weights")
+        parts = -(-weights.count() // WEIGHTS)
+        if parts <= 1:
+            return top(self.scored(found, weights, k), k)
+        part = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(parts))
+        return top(reduce(DataFrame.unionByName, [self.scored(found, weights.where(part == i), k) for i in range(parts)]), k)
+
+    def scored(self, found: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+        """The best ``k`` of each query that a task has met; without a mean length (avgdl) a term counts as it is."""
+        rows = weights.collect()
+        ids = sorted({r["query_id"] for r in rows})
+        number = {q: i for i, q in enumerate(ids)}
+        by_term: dict[str, list[tuple[int, float]]] = {}
+        for r in rows:
+            by_term.setdefault(r["term"], []).append((number[r["query_id"]], r["idf"]))
+        held = self.spark.sparkContext.broadcast((ids, {t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in by_term.items()}))
+        kinds = f"query_id {weights.schema['query_id'].dataType.simpleString()}, id {self.blocks.schema['evidence_id'].dataType.simpleString()}, score double"
+        types = to_arrow_schema(T._parse_datatype_string(kinds))
+        k1, norm = self.config.bm25_k1, self.config.bm25_b
+
+        def part(tf: np.ndarray, length: np.ndarray, avgdl: float | None) -> np.ndarray:
+            if avgdl is None:
+                return np.ones(np.shape(tf))
+            return tf * (k1 + 1) / (tf + k1 * (1 - norm + norm * length / avgdl))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, of = held.value
+            least = np.full(len(names), -np.inf)  # the k-th score of each query so far
+            query, score, found_ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+            def block(rows: list[tuple]) -> None:
+                nonlocal query, score, found_ids
+                bound = np.zeros(len(names))
+                for term, max_tf, min_len, avgdl, *_ in rows:
+                    qs, w = of[term]
+                    bound[qs] += np.maximum(w * part(max_tf, min_len, avgdl), 0)
+                live = (bound > 0) & (bound >= least - MARGIN)
+                if not live.any():
+                    return
+                docs: dict = {}
+                places = [np.array([docs.setdefault(i, len(docs)) for i in r[4]]) for r in rows]
+                slot = np.cumsum(live) - 1
+                sums, seen = np.zeros((int(live.sum()), len(docs))), np.zeros((int(live.sum()), len(docs)), bool)
+                for (term, _, _, avgdl, _, tf, length), at in zip(rows, places, strict=True):
+                    qs, w = of[term]
+                    keep = live[qs]
+                    cells = np.ix_(slot[qs[keep]], at)
+                    sums[cells] += np.outer(w[keep], part(tf, length, avgdl))
+                    seen[cells] = True
+                sums = np.round(sums, 6)
+                q, at = np.nonzero(seen & (sums >= least[live][:, None] - MARGIN))
+                query, score = np.r_[query, np.flatnonzero(live)[q]], np.r_[score, sums[q, at]]
+                found_ids = np.r_[found_ids, np.array(list(docs), object)[at]]
+                order = np.unique(found_ids, return_inverse=True)[1] if len(found_ids) else np.zeros(0, np.int64)
+                kept = dense.best(query, score, order, k)
+                query, score, found_ids = query[kept], score[kept], found_ids[kept]
+                full = np.flatnonzero(np.bincount(query, minlength=len(names)) == k)
+                low = np.full(len(names), np.inf)
+                np.minimum.at(low, query, score)
+                least[full] = low[full]
+
+            rows, last = [], None
+            for b in batches:
+                lists = b.column(b.schema.get_field_index("postings"))
+                ends, flat = np.asarray(lists.offsets), lists.values
+                ids_, tf, length = flat.field("id").to_pylist(), flat.field("tf").to_numpy().astype(float), flat.field("len").to_numpy().astype(float)
+                columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("block", "term", "max_tf", "min_len", "avgdl")]
+                for i, (name, term, max_tf, min_len, avgdl) in enumerate(zip(*columns, strict=True)):
+                    if name != last and rows:
+                        block(rows)
+                        rows = []
+                    last = name
+                    if term in of:
+                        x, z = ends[i], ends[i + 1]
+                        rows.append((term, max_tf, min_len, avgdl, ids_[x:z], tf[x:z], length[x:z]))
+            if rows:
+                block(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query.tolist()], types.field(0).type), pa.array(found_ids.tolist(), types.field(1).type), pa.array(score)], names=types.names)
+
+        dealt = found.select("block", "term", "max_tf", "min_len", "avgdl", "postings").repartition("block").sortWithinPartitions("block")
+        return dealt.mapInArrow(run, kinds)
 
     def _passing(self, found: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Column, Column]:
         """Postings of the documents that pass a filter, and the statistics of those."""
@@ -145,12 +208,6 @@ class SearchIndex(HybridIndex):
         kept = each.groupBy("term", "block").agg(F.count("*").alias("df"), F.max("p.tf").alias("max_tf"), F.min("p.len").alias("min_len"), F.collect_list("p").alias("postings"))
         return kept, F.lit(n), F.lit(avgdl).cast("double")
 
-    def overlap(self, queries: DataFrame, k: int) -> DataFrame:
-        """How many distinct terms of a query a document has."""
-        terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text"), self.config.token_pattern))).alias("term"))
-        hit = self.postings(terms.select("term").distinct()).select("term", F.explode("postings.id").alias("id"))
-        return top(hit.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")), k)
-
     def dense(self, queries: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
         vectors = (self.blocks if blocks is None else blocks).select(F.col("evidence_id").alias("id"), "v")
         return dense.cosine_topk(queries.select(F.col("query_id").cast("string").alias("query_id"), self.embed(F.col("text")).alias("v")), vectors, k)

@@ -220,7 +220,7 @@ def paired_bootstrap(scores: DataFrame, contrasts: tuple[tuple[str, str], ...] =
     """Of each contrast of arms (arm, doc_id, dimension, score): clusters, pairs, mean difference, 95 % interval, p value and, over all
     contrasts, the adjusted one.
 
-    Pairs are summed by contrast and cluster. Each cluster then gets a Poisson weight a draw and goes into the draws' sums where it lies: partial
+    Pairs are summed by cluster, a column a contrast. Each cluster then gets a Poisson weight a draw and goes into the draws' sums where it lies: partial
     aggregates of draws, no numbering of clusters and no table of draws. The p value is twice the smaller share of draws on one side of zero.
 
     Defined cases: repeated scores are averaged; pairs that lack an arm don't count; a contrast without pairs has no row; draws of weight zero alone are left out.
@@ -228,14 +228,15 @@ def paired_bootstrap(scores: DataFrame, contrasts: tuple[tuple[str, str], ...] =
     names = sorted({a for pair in contrasts for a in pair})
     keys = list(dict.fromkeys([cluster, "doc_id", "dimension"]))
     wide = scores.groupBy(*keys).pivot("arm", names).agg(F.avg("score"))
-    each = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), (F.col(a) - F.col(b)).alias("diff")) for a, b in contrasts])
-    pairs = wide.select(F.col(cluster).alias("cluster"), F.explode(each).alias("x")).select("cluster", "x.*").where("diff is not null")
-    sums = pairs.groupBy("contrast", "cluster").agg(F.sum("diff").alias("s"), F.count("*").alias("c"))
+    diff = [F.col(a) - F.col(b) for a, b in contrasts]
+    sums = wide.groupBy(F.col(cluster).alias("cluster")).agg(*[x for j, d in enumerate(diff) for x in (F.coalesce(F.sum(d), F.lit(0.0)).alias(f"s{j}"), F.count(d).alias(f"c{j}"))])
     drawn = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).withColumn("u", draw(F.col("i"), F.col("cluster"), F.lit(HASHES), seed)).withColumn("w", poisson(F.col("u")))
-    means = drawn.groupBy("contrast", "i").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("c")).where("c > 0").withColumn("m", F.col("s") / F.col("c"))
+    made = drawn.groupBy("i").agg(*[F.sum(F.col("w") * F.col(x)).alias(x) for j in range(len(contrasts)) for x in (f"s{j}", f"c{j}")])
+    each = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.col(f"s{j}").alias("s"), F.col(f"c{j}").alias("c")) for j, (a, b) in enumerate(contrasts)])
+    means = made.select(F.explode(each).alias("x")).select("x.*").where("c > 0").withColumn("m", F.col("s") / F.col("c"))
     low, high = (F.count_if(F.col("m") <= 1e-12) + 1) / (F.count("*") + 1), (F.count_if(F.col("m") >= -1e-12) + 1) / (F.count("*") + 1)
     told = means.groupBy("contrast").agg(six(F.percentile("m", 0.025)).alias("low"), six(F.percentile("m", 0.975)).alias("high"), six(F.least(F.lit(1.0), 2 * F.least(low, high))).alias("p_value"))
-    whole = sums.groupBy("contrast").agg(F.count("*").alias("n_clusters"), F.sum("c").alias("n_pairs"), six(F.sum("s") / F.sum("c")).alias("mean_diff"))
+    whole = sums.select(F.explode(each).alias("x")).select("x.*").where("c > 0").groupBy("contrast").agg(F.count("*").alias("n_clusters"), F.sum("c").alias("n_pairs"), six(F.sum("s") / F.sum("c")).alias("mean_diff"))
     adjusted = holm(told.select(F.col("contrast").alias("name"), "p_value")).select(F.col("name").alias("contrast"), "adjusted")  # a row a contrast
     return whole.join(told, "contrast").join(adjusted, "contrast")
 
