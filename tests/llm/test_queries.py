@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as PT
 import pytest
+from pyspark.sql import functions as F
 
 from test_near_duplicates import least_reachable, simhash_by_hand
 from tracelode.llm import pii, queries, toxicity
@@ -127,3 +128,52 @@ def test_queries_with_sql(spark, name):
     columns = [x[0] for x in want.description]
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.01").select(*columns).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want.fetchall()))
+
+
+def sketch_by_hand(text, scale=8, size=5):
+    """Retained hashes and the least of all, from whole texts, as the library's xxhash makes them."""
+    import xxhash
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    shingles = [words[i : i + size] for i in range(len(words) - size + 1)] if len(words) >= size else [words] if words else []
+    hashes = set()
+    for s in shingles:
+        h = 42
+        for w in s:
+            h = xxhash.xxh64(w.encode(), seed=h).intdigest()
+        hashes.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(h for h in hashes if h < -(1 << 63) + (1 << 64) // scale), min(hashes, default=None)
+
+
+def likeness_by_hand(a, b):
+    if not a[0] and not b[0]:
+        return float(a[1] == b[1])
+    return len({*a[0]} & {*b[0]}) / len({*a[0]} | {*b[0]})
+
+
+def test_op9_every_column_by_brute_force(spark, docs):
+    digits = lambda h: f"{h % (1 << 64):016X}"
+    show = lambda s: "".join(map(digits, s[0])) or ("-" + digits(s[1]) if s[1] is not None else "")
+    ids = sorted(docs, reverse=True)
+    want = {}
+    for i, k in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t, n = docs[i], len(docs[i]) // 2
+        edited = t[: len(t) - n] + docs[k][:n]
+        own, other, after = map(sketch_by_hand, (t, edited, docs[k]))
+        want[i] = (len(t), sha(edited), show(own), show(other), likeness_by_hand(own, other), likeness_by_hand(own, after))
+    got = {r["doc_id"]: tuple(r)[1:7] for r in queries.op9_fingerprints(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:], abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["op1_byte_bpe", "op4_secrets", "op5_simhash", "op8_suffix_dedup", "op10_personal", "op12_quality_rules", "op13_periodic_runs"])
+def test_other_columns_of_any_name_change_nothing(spark, tmp_path, name):
+    """Columns that operators name so themselves, beside those of the table, and one text of more than a slice."""
+    rows = [(1, "a plain text of some words", "en"), (2, None, "en"), (3, "", None), (4, "long words " * 420_000, "en"), (None, "no id at all", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/a/documents.parquet")
+    clash = {c: F.lit("x") for c in ("ids", "secrets", "spans", "runs", "simhash", "component_id", "node", "kept", "script", "class", "n_words", "personal", "strongest", "n_bytes", "source", "n_chars")}
+    df.withColumns(clash).write.parquet(f"{tmp_path}/b/documents.parquet")
+    plain, clashing = (sorted(map(repr, queries.QUERIES[name](spark, f"{tmp_path}/{d}").collect())) for d in "ab")
+    assert plain == clashing and len(plain) == len(rows)
