@@ -3,8 +3,8 @@
 In each pass a vector gets the signs of its products with random directions, concatenated, and all vectors are range-sorted
 lexicographically by label and these hashes. Every vector is compared in double precision with a bounded window of neighbours
 in that order, whatever their hashes, and with all that share its hashes: these make a run, and how many hashes lead depends on
-the size of the label alone. A run of more than ``block`` vectors is cut into blocks and every pair of blocks is compared, so
-that windows are bounded and no neighbour is left out.
+the size of the label alone. Equal vectors of a label are one row with a count. A run of more than ``block`` vectors is cut into
+blocks and every pair of blocks is compared, so that windows are bounded and no neighbour is left out.
 
 A pair within a run is counted in the first pass whose run holds it, which both vectors' hashes tell without any table of
 pairs; links come out as counts a vector and as a spanning forest a window. A pair that no pass has in a run is found as
@@ -14,8 +14,9 @@ a partition's border are left to the other passes.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null labels and labels of one vector
 link with nothing; vectors of another length than their neighbours link only with those of their length; a repeated id counts
-once a row, its rows never link with each other, equal rows are one whose links count once, and its row count is that of the input; a null id has no component; an empty
-table gives an empty one; columns other than id, vector and label are not read.
+once a row, its rows never link with each other, equal rows are one whose links count once, and its row count is that of the
+input; a null id has no component; an empty table gives an empty one; equal vectors are known by a hash of 128 bits; columns
+other than id, vector and label are not read.
 """
 
 from __future__ import annotations
@@ -66,14 +67,32 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def hashed(df: DataFrame, id_col: str, vec_col: str, label_col: str, threshold: float, miss: float, seed: int = SEED) -> DataFrame:
+def distinct(df: DataFrame, id_col: str, vec_col: str, label_col: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that can link by id, label and a hash of 128 bits of their vector; the classes of equal vectors; one vector a class.
+
+    A class (row, id, label, h1, h2) stands for all ids that have its vector and no other, by the least of them, ``row`` being their rows in all. An id with
+    several vectors is in no class with others: its rows link with other ids alone, so each of its vectors stays for itself.
+    """
+    usable = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    v = F.col(vec_col).cast("array<float>" if kind == "f4" else "array<double>")
+    keyed = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v")).select("id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    members = staged(keyed.groupBy("id", "label", "h1", "h2").agg(F.count("*").alias("times")), "members")
+    several = staged(members.groupBy("id").agg(F.count("*").alias("k")).where("k > 1"), "several-vectors")
+    lone = members.join(several.select("id"), "id", "left_anti")
+    classes = lone.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.sum("times").alias("row"))
+    apart = members.join(several.select("id"), "id", "left_semi").select("label", "h1", "h2", "id", F.col("times").alias("row"))
+    classes = staged(classes.unionByName(apart), "classes")
+    # vectors move once, and only those of their classes' least ids
+    vectors = keyed.join(classes, ["id", "label", "h1", "h2"]).groupBy("id", "label", "h1", "h2", "row").agg(F.first("v").alias("v"))
+    return lone, classes, vectors
+
+
+def hashed(src: DataFrame, classes: DataFrame, kind: str, threshold: float, miss: float, seed: int = SEED) -> DataFrame:
     """Rows (row, id, label, dim, vec, codes) of the vectors that can link: their components as given, and a hash a pass.
 
     Hashes and passes follow the size of a vector's own label.
     """
 
-    kind = stored(df, vec_col)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], np.ndarray] = {}
         for whole in batches:
@@ -97,10 +116,7 @@ def hashed(df: DataFrame, id_col: str, vec_col: str, label_col: str, threshold:
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * passes), pa.array(codes.ravel()))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.full(len(x), dim, np.int32)), pa.array([v.tobytes() for v in raw], pa.binary()), flat], names=["row", "id", "label", "dim", "vec", "codes"])
 
-    usable = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    # a row's key: equal rows are told apart by nothing and are one row with a count
-    src = usable.groupBy(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<float>" if kind == "f4" else "array<double>").alias("v")).agg(F.count("*").alias("row"))
-    sizes = staged(src.groupBy("label").agg(F.count("*").alias("n")), "label-sizes")  # so that the join may split a large label
+    sizes = staged(classes.groupBy("label").agg(F.count("*").alias("n")), "label-sizes")  # so that the join may split a large label
     return src.join(sizes, "label").select("row", "id", "label", "v", "n").mapInArrow(tidy(run), "row long, id long, label string, dim int, vec binary, codes array<int>")
 
 
@@ -230,14 +246,20 @@ def compare(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """Per row of ``df``: its id, n_links, component_id and kept."""
-    small = df.select(F.col(id_col).cast("long").alias(id_col), vec_col, label_col)
-    vectors = staged(hashed(small, id_col, vec_col, label_col, threshold, miss, seed), "vectors")
+    small, kind = df.select(F.col(id_col).cast("long").alias(id_col), vec_col, label_col), stored(df, vec_col)
+    lone, classes, src = distinct(small, id_col, vec_col, label_col, kind)
+    vectors = staged(hashed(src, classes, kind, threshold, miss, seed), "vectors")
     entries = vectors.select("label", "dim", F.posexplode("codes").alias("pass", "code"), "row", "id", "vec", "codes")
-    found = staged(compare(blocked(entries, ["label", "dim", "pass", "code"], "id", block, least=1), threshold, stored(small, vec_col)), "vector-links")
+    found = staged(compare(blocked(entries, ["label", "dim", "pass", "code"], "id", block, least=1), threshold, kind), "vector-links")
     pairs = found.where("ka is not null").distinct()
     ends = found.where("b is null").select("a", "n").unionAll(pairs.select("a", "n")).unionAll(pairs.select("b", "m"))
-    links = ends.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    comp = components(found.where("b is not null").select("a", "b"), "vector-components")
+    links = staged(ends.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links")), "class-links")
+    # what a class has found goes for each of its ids, which link with each other besides
+    several = classes.withColumnRenamed("id", "lead").join(vectors.select(F.col("id").alias("lead"), "label").distinct(), ["lead", "label"])
+    copies = staged(lone.join(several, ["label", "h1", "h2"]).where("row > times").select("id", "lead", (F.col("row") - F.col("times")).alias("more")), "copies")
+    beside = copies.where("id <> lead").join(links.withColumnRenamed("node", "lead"), "lead").select(F.col("id").alias("node"), "n_links")
+    links = links.unionByName(copies.select(F.col("id").alias("node"), F.col("more").alias("n_links"))).unionByName(beside).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    comp = components(found.where("b is not null").select("a", "b").unionByName(copies.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))), "vector-components")
     discard(df.sparkSession, vectors)
     out = small.select(F.col(id_col).alias("node")).join(links, "node", "left").join(comp, "node", "left")
     return out.select(
