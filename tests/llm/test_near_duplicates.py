@@ -260,3 +260,14 @@ def test_embedding_neighbours_of_other_hashes_meet_in_one_pass(spark):
     got = E.near_duplicates(df, miss=0.9).collect()
     assert len(got) == n
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], comp[i]) for i in links}
+
+
+def test_equal_vectors_are_one_row_with_a_count(spark):
+    """Equal vectors under many ids, one under ids of its own too, an id with two vectors, zero vectors that are equal, and one row twice."""
+    v, near, far = [0.6, 0.8, 0.0], [0.6, 0.8, 0.01], [0.0, 0.0, 1.0]
+    rows = [(i, v, 1) for i in range(1000, 1400)] + [(7, near, 1), (8, v, 1), (8, far, 1), (9, far, 1), (10, [0.0] * 3, 1), (11, [0.0] * 3, 1), (12, v, 2), (1000, v, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(df, block=16).collect()}
+    # 401 rows of 400 ids, and id 8 besides: a row of id 8 links with none of its own
+    assert {x for x in got if x[0] >= 1000} == {(1000, 399 + 2, 7, False)} | {(i, 400 + 2, 7, False) for i in range(1001, 1400)}
+    assert {x for x in got if x[0] < 1000} == {(7, 402, 7, True), (8, 402 + 1, 7, False), (9, 1, 7, False), (10, 0, 10, True), (11, 0, 11, True), (12, 0, 12, True)}
