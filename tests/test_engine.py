@@ -12,6 +12,7 @@ from tracelode import schemas
 from tracelode.config import ARMS, CONFIG, MISSING_STATES
 from tracelode.functions import text as X
 from tracelode.operators import chunking as C
+from tracelode.operators import dense
 from tracelode.operators import metrics as M
 from tracelode.operators import protocol as P
 from tracelode.operators import retrieval as R
@@ -140,12 +141,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(lang,en)" in plan and "GreaterThan" in plan.split("PushedFilters")[1] and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "chunk_greedy", "rrf_fusion", "cluster_bootstrap", "quote_exact_match"])
+@pytest.mark.parametrize("name", ["cluster_bootstrap", "paired_bootstrap", "corpus_cube", "freeze_verify", "label_matrix", "krippendorff_alpha"])
 def test_queries_are_native(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("name", ["bm25_topk", "chunk_greedy", "rrf_fusion", "quote_exact_match", "block_hashes"])
+def test_no_query_joins_all_rows_with_all_or_runs_python_by_row(spark, name):
+    """Blocks, texts and postings go through Arrow batches; nothing is a nested loop over rows."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_scalar_functions(spark):
     row = spark.createDataFrame([("x�", "a 𝒳 b", "𝒳", "${x}^2 = \\sum_i y_i$")], "a string, t string, q string, f string")
     got = row.select(X.has_replacement(F.col("a")).alias("lost"), X.quote_offset(F.col("t"), F.col("q")).alias("at"), X.slice_text(F.col("t"), F.lit(2), F.lit(3)).alias("cut"), X.formula_risk(F.col("f")).alias("risk"), X.n_words(F.lit("  a  b ")).alias("n")).first()
@@ -169,7 +177,7 @@ def test_quotes_without_a_named_block(spark):
 
 
 def test_short_quotes_equal_plain_containment(spark, monkeypatch):
-    monkeypatch.setattr(V, "SHORT_QUOTES", 2)
+    monkeypatch.setattr(V, "SCANNED", 9)
     texts = ["the cold water cools", "thecold water cools", "a!! b, cat", "concatenate", "", None]
     asked = ["cold water", "old wat", "!! ", "cat", ", ", "water", "e c", "no"]
     blocks = spark.createDataFrame(list(enumerate(texts)), "evidence_id long, text string")
@@ -261,8 +269,9 @@ def test_call_log_as_a_stream(spark, tmp_path):
 
 
 @pytest.mark.parametrize("few", [7, 10_000])
-def test_cosine_of_more_queries_than_are_broadcast(spark, monkeypatch, few):
-    monkeypatch.setattr(R, "BROADCAST_ROWS", few)
+def test_cosine_of_more_queries_than_a_block_holds(spark, monkeypatch, few):
+    monkeypatch.setattr(dense, "QUERIES", few)
+    monkeypatch.setattr(dense, "HELD", few)
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)] + [(90, [0.0] * 6)]
     vectors = spark.createDataFrame(rows, "id long, v array<double>")

@@ -243,3 +243,15 @@ def test_quotes_by_automaton_equal_quotes_by_words(spark, monkeypatch):
     monkeypatch.setattr(V, "SCANNED", 9)
     assert {tuple(r) for r in V.find_quotes(quotes, texts, "doc_id").collect()} == want
     assert {(1, 1, 22), (2, 1, 6), (6, 2, 2), (7, 2, 2), (3, 4, 0)} <= want and not {4, 5} & {r[0] for r in want}
+
+
+def test_screening_keeps_the_first_reason(spark):
+    from tracelode.operators import screening as N
+
+    rows = [(1, "Cooling of a coupled water and power network", 2010), (2, "cooling of the coupled water and power network!", 2011), (3, "A wholly different title", 1990), (4, "", 2010), (5, None, 2010), (6, "a different title", None), (7, "Cooling of a coupled water and power network", 1990)]
+    df = spark.createDataFrame([(i, t, y, "s") for i, t, y in rows] + [(6, "a different title", None, "s")], "cand_id long, title string, date int, source string")
+    out = N.screened(df, [("undated", F.col("date").isNull()), ("too early", F.col("date") < 2000), ("never", F.lit(True))], 0.7)
+    got = collections.Counter((r["cand_id"], r["reason"]) for r in out.collect())
+    assert got == {(1, "never"): 1, (2, "duplicate"): 1, (3, "too early"): 1, (4, "untitled"): 1, (5, "untitled"): 1, (6, "duplicate"): 2, (7, "duplicate"): 1}
+    assert {(r["reason"], r["n"], r["first_date"]) for r in N.funnel(out).collect()} == {("never", 1, 2010), ("duplicate", 4, 1990), ("too early", 1, 1990), ("untitled", 2, 2010)}
+    assert N.screened(df.limit(0), []).count() == 0

@@ -13,6 +13,7 @@ from ..operators import index as I
 from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import retrieval as R
+from ..operators import screening as N
 from ..operators import synthesis as S
 from ..operators import validate as V
 from ..sources.tables import checkpointed, html_pages, shared_folder, staged, state_of, table
@@ -683,6 +684,20 @@ def critic_checks(spark: SparkSession, d: str) -> DataFrame:
     return K.critic_checks(records, blocks, spark.createDataFrame(list(RULES), "label string, check_name string, must string, must_not string"))
 
 
+@query(r"""WITH p AS (SELECT page_id AS cand_id, regexp_extract(url, '^https?://([^/]+)', 1) AS source, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]*>', '', 'g')) AS title,
+        trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text, (2000 + page_id % 27)::INT AS date FROM pages),
+    t AS (SELECT *, list_sort(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'))) AS ts FROM p),
+    l AS (SELECT a.cand_id, min(b.cand_id) AS least FROM t a JOIN t b ON len(a.ts) > 0 AND len(b.ts) > 0 AND len(list_intersect(a.ts, b.ts)) >= 0.8::DOUBLE * (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))) GROUP BY 1),
+    r AS (SELECT t.*, CASE WHEN len(ts) = 0 THEN 'untitled' WHEN least < t.cand_id THEN 'duplicate' WHEN date < 2005 THEN 'too early' WHEN date > 2024 THEN 'after cut-off' WHEN length(text) < 400 THEN 'too short' WHEN NOT regexp_matches(lower(text), 'th.*er') THEN 'off topic' END AS reason FROM t LEFT JOIN l USING (cand_id))
+    SELECT source, coalesce(reason, 'included') AS reason, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM r GROUP BY ALL""")
+def corpus_screening(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as candidates: hosts as sources, headings as titles, a year by arithmetic."""
+    pages = html_pages(table(spark, d, "pages"))
+    rows = pages.select(F.col("page_id").alias("cand_id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("source"), "title", "text", (2000 + F.col("page_id") % 27).cast("int").alias("date"))
+    rules = [("too early", F.col("date") < 2005), ("after cut-off", F.col("date") > 2024), ("too short", F.char_length("text") < 400), ("off topic", ~F.lower("text").rlike("th.*er"))]
+    return N.funnel(N.screened(checkpointed(rows), rules))
+
+
 BOUNDS = M.poisson_bounds()
 
 
