@@ -49,10 +49,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban(s: str) -> bool:
-    """The check digits hold: the rearranged number leaves 1 when divided by 97."""
-    turned = s[4:] + s[:4]
-    return len(s) >= 15 and turned.isalnum() and turned.isascii() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+def iban_reach(value: str) -> int:
+    """Characters of the longest start of ``value`` whose check digits hold, 0 where none do: the remainders of all starts in one pass."""
+    head, rest, n, best = "", 0, 0, 0
+    for i, c in enumerate(value):
+        if c in " -":
+            continue
+        n += 1
+        digits = str(int(c, 36))
+        if n <= 4:
+            head += digits
+            continue
+        rest = (rest * 10 ** len(digits) + int(digits)) % 97
+        if n >= 15 and (rest * 10 ** len(head) + int(head)) % 97 == 1:
+            best = i + 1
+    return best
 
 
 def automaton():
@@ -128,11 +139,8 @@ class Finder:
                         failed = max(failed, m.end())
             elif at >= account and not (at and _word.match(text[at - 1])):
                 if lower.startswith("iban", at) and (m := _iban.match(text, last + 1)):
-                    value = m[1]
-                    while len(value) >= 15 and not iban(re.sub(r"[\x20-]", "", value)):
-                        value = value[:-1].rstrip(" -")  # the longest start whose check digits hold
-                    if len(value) >= 15:
-                        account = m.start(1) + len(value)
+                    if reach := iban_reach(m[1]):
+                        account = m.start(1) + reach
                         out.append(("account", m.start(1), account))
                 elif m := _account.match(text, last + 1):
                     value = re.sub(r"[\x20-]", "", m[1])
