@@ -617,7 +617,7 @@ def four_passes(spark: SparkSession, d: str) -> DataFrame:
 
 
 READ = (1, 2, 5)
-MERGED = "count(*) AS nw, count_if(NOT answered) AS nu, count_if(stated) AS ns, min(label) FILTER (stated) AS lo, max(label) FILTER (stated) AS hi"
+MERGED = "count(*) AS nw, count_if(NOT answered)::BIGINT AS nu, count_if(stated)::BIGINT AS ns, min(label) FILTER (stated) AS lo, max(label) FILTER (stated) AS hi"
 RECORD = "CASE WHEN ns = 0 AND nu < nw THEN 'Not_Stated_In_Text' WHEN lo = hi THEN lo END AS label, CASE WHEN lo <> hi THEN 'conflict' WHEN ns > 0 THEN 'stated' WHEN nu = nw THEN 'unanswered' ELSE 'not_stated' END AS state"
 DECIDED = "CASE WHEN bool_or(d = 'reject') THEN 'reject' WHEN bool_or(d = 'revise') THEN 'revise' WHEN bool_or(d = 'accept') THEN 'accept' ELSE 'insufficient_evidence' END AS decision"
 

@@ -112,7 +112,7 @@ def keyword_trap(spark: SparkSession, d: str) -> DataFrame:
     return given(spark, d, TRAPS).select("id", X.keyword_trap(F.col("body"), "thing ").alias("around"))
 
 
-YEARS = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) END AS year_print, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate) + o_orderkey % 2 END AS year_online, CASE WHEN o_orderkey % 7 <> 0 THEN year(o_orderdate) END AS year_doi FROM orders"
+YEARS = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(year(o_orderdate) AS INT) END AS year_print, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate) + o_orderkey % 2 END AS year_online, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS INT) END AS year_doi FROM orders"
 
 
 @query(f"WITH y AS ({YEARS}) SELECT *, len(list_distinct(list_filter([year_print, year_online, year_doi], lambda x: x IS NOT NULL))) > 1 AS year_conflict FROM y")
