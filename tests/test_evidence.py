@@ -234,6 +234,12 @@ def test_sections_of_any_depth_reach_their_blocks(spark):
     assert {(r["title"], r["parent_ord"]) for r in C.section_tree(lines).collect()} >= {("Notes", 3), ("Model", 1), ("Plain", 7)}
 
 
+def test_numbers_of_sections_beyond_two_digits_are_whole(spark):
+    lines = spark.createDataFrame([(1, i, 1, f"Introduction {i}", 1 if i in (7, 132) else None) for i in range(140)], "doc_id long, ord int, page int, text string, depth int")
+    made = C.sectioned_blocks(lines.withColumn("text", F.concat("text", F.lit(" word" * 100)))).select("evidence_id", "section_ord").collect()
+    assert {r["section_ord"] for r in made} == {None, 7, 132} and all(f"-S{r['section_ord'] or 0:02d}-" in r["evidence_id"] for r in made)
+
+
 def test_quotes_by_automaton_equal_quotes_by_words(spark, monkeypatch):
     from tracelode.operators import validate as V
 
