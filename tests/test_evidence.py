@@ -188,6 +188,16 @@ def test_poisson_weights_have_their_mean_and_do_not_depend_on_partitions(spark):
     assert all(r[4] <= r[3] <= r[5] and r[6] <= r[7] <= 1 for r in one)
 
 
+def test_ties_of_flipped_sums_stay_ties_in_any_order(spark):
+    from tracelode.operators import metrics as M
+
+    # each cluster sums to 0.3 or -0.3 beside parts of 1e6 that cancel: in doubles what is left depends on their order
+    parts = [0.1, 1e6 / 17, 0.2, -1e6 / 17]
+    rows = [(f"c{c}", (1 if c % 2 else -1) * x) for c in range(8) for k in range(40) for x in (parts[(c + k) % 4], parts[(c + k + 1) % 4], parts[(c + k + 2) % 4], parts[(c + k + 3) % 4])]
+    df = spark.createDataFrame(rows, "cluster string, diff double")
+    assert M.randomization_test(df).first()[0] == 1.0, "the sum is zero, which any flip reaches"
+
+
 def test_digest_trees_advance_and_find_what_changed(spark):
     from tracelode.operators import synthesis as S
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,13 +170,16 @@ def cluster_bootstrap(values: DataFrame, cluster: str, value: str, draws: int =
 
 
 def randomization_test(pairs: DataFrame, draws: int = CONFIG.bootstrap_draws, seed: int = CONFIG.seed) -> DataFrame:
-    """Two-sided sign-flip test of a mean difference (cluster, diff), flipping whole clusters."""
-    sums = pairs.groupBy("cluster").agg(F.sum("diff").alias("s"))
+    """Two-sided sign-flip test of a mean difference (cluster, diff), flipping whole clusters.
+
+    Differences are summed and compared as decimals of 18 digits after the point, so that ties stay ties whatever the order of rows.
+    """
+    sums = pairs.groupBy("cluster").agg(F.sum(F.col("diff").cast("decimal(38,18)")).alias("s"))
     flips = sums.select("cluster", "s", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
-    sign = F.when(draw(F.col("i"), F.col("cluster"), F.lit(2), seed) == 0, 1).otherwise(-1)
-    stats = flips.groupBy("i").agg(F.sum(sign * F.col("s")).alias("t"))
+    kept = draw(F.col("i"), F.col("cluster"), F.lit(2), seed) == 0
+    stats = flips.groupBy("i").agg(F.sum(F.when(kept, F.col("s")).otherwise(-F.col("s"))).alias("t"))
     seen = sums.agg(F.sum("s").alias("t0"))
-    return stats.crossJoin(seen).agg(six((1 + F.count_if(F.abs("t") >= F.abs("t0") - 1e-12)) / (1 + F.count("*"))).alias("p_value"))
+    return stats.crossJoin(seen).agg(six((1 + F.count_if(F.abs("t") >= F.abs("t0") - F.lit(Decimal("1e-12")))) / (1 + F.count("*"))).alias("p_value"))
 
 
 def holm(tests: DataFrame) -> DataFrame:
