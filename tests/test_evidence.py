@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode.functions import vectors as V
 from tracelode.operators import chunking as C
 from tracelode.operators import critic as K
 from tracelode.operators import dense
@@ -59,6 +60,27 @@ def test_blocks_of_postings_are_bounded_and_skipped(spark, built):
     assert len(rows) > 3 and all(r["df"] == r["n"] <= 3 * I.BLOCK for r in rows) and sum(r["n"] for r in rows) == 700
 
 
+def test_terms_are_counted_and_put_into_blocks_where_texts_lie(spark, built):
+    df, index = built
+    ts = df.select("evidence_id", "text").withColumn("ts", F.split("text", " ")).select("evidence_id", F.size("ts").alias("len"), "ts").where("len > 1")
+    rows = I.one_row_an_id(I.counted(ts, 64).select("evidence_id", "len", "terms", "tfs"))
+    plan = I.in_blocks(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    twice = df.where("evidence_id in ('d1', 'd2')").unionByName(df)
+    path = index.path + "-twice"
+    I.build(twice, path)
+    queries = asked(spark, "common only1", "only2 word3")
+    assert {tuple(r) for r in I.SearchIndex(spark, path).bm25(queries, 5).collect()} == {tuple(r) for r in R.bm25_topk(queries, twice, 5).collect()}
+    vectors = {r[0]: r[1] for r in spark.read.parquet(f"{path}/docs").select("evidence_id", "v").collect()}
+    assert all(vectors[i] == v for i, v in df.where("text is not null").select("evidence_id", V.hashed_terms(F.col("text"), 64)).collect())
+
+
+def test_arms_of_an_ablation_share_their_searches(spark, built):
+    _, index = built
+    plan = R.ablation_matrix(index, asked(spark, "word3"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "/postings" not in plan, "what the arms read are the lists of one search a channel"
+
+
 def test_an_index_is_built_once_a_state_of_the_table(spark):
     a, b = corpus.index_of(spark, SF), corpus.index_of(spark, SF)
     assert a.path == b.path and not T.exists(spark, f"{a.path}/forward")
