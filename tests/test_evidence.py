@@ -157,6 +157,38 @@ def test_repeated_rows_are_one_call(spark, counted, times):
     assert {(r["pass"], r["count"]) for r in log} == {(n, 3) for n in range(1, 5)}
 
 
+def test_texts_are_never_exchanged_once_a_dimension(spark):
+    """What is exchanged beside a text has no dimension yet, and no exchange has prompts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = spark.createDataFrame([("none", "{}")], "call_id string, content string")
+        contexts = spark.createDataFrame([(i, "text " * i) for i in range(9)], "doc_id long, text string")
+        plans = []
+
+        def stage(df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return T.staged(df, name)
+
+        for name, options in (("replay", {"answers": stored}), ("dry_run", {})):
+            log = P.four_passes(contexts, name, name, stage, options, options, dimensions=("D01", "D02"))
+            assert log.count() == 9 * 2 * 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                below = lines[i + 1]
+                assert not ("text#" in below and "dimension#" in below) and "prompt" not in below, below
+
+
+def test_windows_of_texts_are_those_of_their_blocks(spark):
+    want = {(r["doc_id"], r["window_no"], r["n_words"], r["text"]) for r in C.reading_windows(corpus.blocks_of(spark, SF)).collect()}
+    made = C.text_windows(corpus.docs_of(spark, SF))
+    assert {(str(r["doc_id"]), r["window_no"], r["n_words"], r["text"]) for r in made.collect()} == want and len({w[1] for w in want}) > 1
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_block_is_in_a_window(spark):
     blocks = corpus.blocks_of(spark, SF)
     windows = C.reading_windows(blocks)
