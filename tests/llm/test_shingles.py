@@ -69,3 +69,39 @@ def test_pipeline_keeps_the_least_of_edited_copies(spark):
     assert sorted(i for i in kept if i is not None) == sorted(i for i, _ in rows if i is not None and want[i] == i)
     assert kept.count(None) == 1
     assert N.near_copies(docs.limit(0)).count() == 0
+
+
+def around_the_threshold(n):
+    """One large group of edited copies, of which many pairs share keys and few are similar enough."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(220)]
+    return [(i, " ".join(word() if rng.random() < 0.02 else w for w in base)) for i in range(n)]
+
+
+def test_pairs_of_a_large_group_are_not_rows(spark, monkeypatch):
+    counts: dict[str, int] = {}
+    write = N.staged
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(N, "staged", counted)
+    rows = around_the_threshold(500)
+    want, n_links = by_hand(rows)
+    assert n_links > 500 and len(set(want.values())) > 20
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want.items())
+    assert counts["rest-pairs"] < 10 * len(rows)
+    assert counts["close-blocks"] > 0
+
+
+def test_sets_in_pairs_of_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW", 1)
+    monkeypatch.setattr(N, "BLOCK", 8 * N.LEAST)
+    rows = edited()
+    want, _ = by_hand(rows)
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want.items())

@@ -44,18 +44,20 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
-def blocked(entries: DataFrame, keys: Sequence[str], salt: str, block: int, need: Column | None = None, least: int = 2) -> DataFrame:
+def blocked(entries: DataFrame, keys: Sequence[str], salt: str, block: int, need: Column | None = None, least: int = 2, weight: Column | None = None) -> DataFrame:
     """Deal candidates that share ``keys`` into pairs of blocks, and drop groups of one by default.
 
     A group of more than ``block`` rows is cut into parts by a hash of ``salt``; every pair of parts becomes a group of its
     own (``bi`` <= ``bj``), a row going to each pair that its part is in, with ``side`` 0 if it is of part ``bi``. A row of a group
     of n meets n / block groups and no group holds more than about two blocks, so nothing is left out and no task holds a
     hot group. Groups of at most ``block`` rows stay whole (bi = bj = 0). Groups for which the aggregate ``need`` is false have
-    nothing to compare and are dropped too, as are groups of fewer than ``least`` rows.
+    nothing to compare and are dropped too, as are groups of fewer than ``least`` rows. With a ``weight``, a block is of so much
+    weight instead, one row at least.
     """
-    sizes = entries.groupBy(*keys).agg(F.count("*").alias("__n"), (F.lit(True) if need is None else need).alias("__need")).where((F.col("__n") >= least) & F.col("__need")).drop("__need")
+    parts = F.count("*") if weight is None else F.least(F.sum(weight), F.count("*") * block)
+    sizes = entries.groupBy(*keys).agg(F.count("*").alias("__n"), parts.alias("__w"), (F.lit(True) if need is None else need).alias("__need")).where((F.col("__n") >= least) & F.col("__need")).drop("__n", "__need")
     sizes = staged(sizes, "group-sizes")  # so that the join deals both of its sides anew and may split a hot group
-    dealt = entries.join(sizes, list(keys)).withColumn("__s", F.ceil(F.col("__n") / block).cast("int"))
+    dealt = entries.join(sizes, list(keys)).withColumn("__s", F.ceil(F.col("__w") / block).cast("int"))
     dealt = dealt.withColumn("__i", F.when(F.col("__s") > 1, F.pmod(F.xxhash64(salt, F.lit(7)), F.col("__s"))).otherwise(0).cast("int"))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__s") - 1)))
     return dealt.select(

@@ -14,7 +14,8 @@ bounded cost looks up. The other candidates share a key:
 3. keys that no other set has are dropped, and each other set meets a hub, one set for each key; pairs of 2. and 3. that pass
    are linked;
 4. whatever is not in the largest component of a key by then meets up to ``MORE_HUBS`` sets that are;
-5. whatever is still not in it meets all others there;
+5. whatever is still not in it meets all others there: as pairs where a key has up to ``FEW`` sets, else in blocks that hold the
+   whole sets and give a spanning forest of their links, so that no pair of a large group becomes a row;
 6. a pair is linked if both whole sets are similar enough; pairs whose sizes, places or signatures rule that out are not looked
    at. A signature has a bit of each of 256 least hashes; it rules out a pair at the threshold with a probability below 1e-6.
 
@@ -24,7 +25,7 @@ the hubs connect it.
 
 Defined cases: texts without a word have the empty set and are copies of each other; a text of fewer words than a shingle is
 one shingle; rows of one id are one document; null ids are left out; an empty table gives an empty one. Shingles and sets are
-told apart by 64-bit hashes, the shingles of the two sets of a pair by 32 bits of them.
+told apart by 64-bit hashes, the shingles of sets that are compared by 32 bits of them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, field, map_texts, only_cache, slices, staged, tidy
-from .components import components
+from .components import blocked, components, forest
 from .simhash import BITS, majority, near_links
 
 WORDS = 5
@@ -49,6 +50,10 @@ SMALL = 160
 BANDS, ROWS = 32, 5
 #: Further hubs that a key's sets meet if they are not connected with its first one.
 MORE_HUBS = 16
+#: Sets of a key up to which the pairs that are left are rows.
+FEW = 64
+#: A block of a larger key: so many hashes in its sets, each counting for ``LEAST`` at least (1024 sets at most).
+BLOCK, LEAST = 1 << 18, 256
 #: One document of so many is looked at for common shingles; so many of these make one common, and so many are remembered at most.
 SAMPLE, COMMON, REMEMBERED = 16, 8, 1 << 18
 
@@ -243,6 +248,77 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(enough).select("a", "b").distinct()
 
 
+def admitted(n: np.ndarray, i: np.ndarray, sig: np.ndarray, k: int, rest: np.ndarray) -> np.ndarray:
+    """``admits`` of row ``k`` and each of ``rest``."""
+    fits = np.minimum(n[k] - i[k], n[rest] - i[rest]) * (NUM + DEN) >= (n[k] + n[rest]) * NUM
+    less = np.minimum(n[k], n[rest])
+    most = np.where(less < 24, 256.0, 25.6 + 5.5 * 0.3 * 256 / np.sqrt(256 * (1 - np.exp(-np.maximum(less, 1) / 64))))
+    return fits & (np.bitwise_count(sig[k] ^ sig[rest]).sum(axis=1, dtype=np.int64) <= most)
+
+
+def bitmaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of bits for each set, of ``sizes`` of the ``hashes``: one for each hash that occurs again."""
+    _, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    again = n[at] > 1
+    row, at = np.repeat(np.arange(len(sizes)), sizes)[again], column[at[again]]
+    out = np.zeros((len(sizes), int((n > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(out, (row, at >> 6), _bits[at & 63])
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group; rows come sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, b])
+        cols = [t.column(k).to_numpy() for k in keys]
+        starts = [0, *(np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in cols])) + 1).tolist()]
+        for a, z in zip(starts, starts[1:], strict=False):
+            yield t.slice(a, z - a)
+        held = t.slice(starts[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest_links(t: pa.Table) -> list[tuple[int, int]]:
+    """Links that connect the components of a block pair (bi, bj, side, s, n, i, sig, c, hashes) wherever two of its sets do."""
+    s, n, i, c, side = (t.column(x).to_numpy().astype(np.int64) for x in ("s", "n", "i", "c", "side"))
+    sig = t.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4)
+    lists = t.column("hashes").combine_chunks()
+    bits = bitmaps(lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
+    cross = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
+
+    def neighbours(k: int, rest: np.ndarray) -> np.ndarray:
+        near = c[rest] == c[k]
+        fit = np.flatnonzero(~near & admitted(n, i, sig, k, rest) & ((side[rest] != side[k]) | (not cross)))
+        if len(fit):
+            others, words = rest[fit], np.flatnonzero(bits[k])
+            shared = np.bitwise_count(bits[np.ix_(others, words)] & bits[k, words]).sum(axis=1, dtype=np.int64)
+            near[fit] = shared * (NUM + DEN) >= (n[k] + n[others]) * NUM
+        return near
+
+    return [(int(s[a]), int(s[b])) for a, b in forest(len(s), neighbours) if c[a] != c[b]]
+
+
+def linked_in_blocks(tagged: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is similar enough among the sets of a key (h, s, n, i, sig, c), c being what is connected."""
+    other = tagged.select("h", *[F.col(x).alias(f"{x}2") for x in ("n", "i", "sig", "c")]).withColumnRenamed("h", "h2")
+    close = staged(tagged.join(other, (F.col("h") == F.col("h2")) & (F.col("c") != F.col("c2")) & admits(), "left_semi"), "close-keys")
+    dealt = staged(blocked(close, ["h"], "s", BLOCK, weight=F.greatest("n", F.lit(LEAST))), "close-blocks")
+    keys = ["h", "bi", "bj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, keys):
+            links = forest_links(t)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    rows = dealt.join(sets.select("s", "hashes"), "s").select(*keys, "side", "s", "n", "i", "sig", "c", "hashes")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, bits: int = BITS) -> DataFrame:
     """(id, component_id) of each distinct id: the least id that is reachable over pairs of similarity NUM / DEN or more."""
     spark = df.sparkSession
@@ -273,8 +349,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         """Keys with the components of their sets and the largest one among them, and those that are not in it."""
         tagged = some.join(comp.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
         tagged = staged(tagged, "tagged-keys")
-        most = tagged.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("k"))
-        tagged = staged(tagged.join(staged(most.where("k > 1").select("h", F.col("most.c").alias("hc")), "key-components"), "h"), "tagged-keys")
+        most = tagged.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("k"), F.sum("m").alias("size"))
+        tagged = staged(tagged.join(staged(most.where("k > 1").select("h", F.col("most.c").alias("hc"), "size"), "key-components"), "h"), "tagged-keys")
         return tagged, tagged.where("c <> hc").select("h", *[F.col(x).alias(f"{x}2") for x in ("s", "n", "i", "sig", "c")])
 
     comp = staged(components(links, "hub-components"), "hub-components")
@@ -288,10 +364,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     comp = staged(components(more, "more-components"), "more-components")
     tagged, apart = apart_from_most(comp)
-    rest = tagged.join(apart, "h").where((F.col("c") != F.col("c2")) & admits())
+    rest = tagged.where(F.col("size") <= FEW).join(apart, "h").where((F.col("c") != F.col("c2")) & admits())
     rest = rest.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()
     rest = staged(rest.join(met.unionByName(again), ["a", "b"], "left_anti"), "rest-pairs")
-    found = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(rest, sets)), "copy-links")
+    hot = linked_in_blocks(tagged.where(F.col("size") > FEW).select("h", "s", "n", "i", "sig", "c"), sets)
+    found = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(rest, sets)).unionByName(hot), "copy-links")
 
     placed = made.select("id", "s").join(found.withColumnRenamed("node", "s"), "s", "left").select("id", F.coalesce("component", "s").alias("c"))
     first = staged(placed.groupBy("c").agg(F.min("id").alias("component_id")), "component-leads")  # so that a large component can be split
