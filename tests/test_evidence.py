@@ -252,6 +252,20 @@ def test_ties_of_flipped_sums_stay_ties_in_any_order(spark):
     assert M.randomization_test(df).first()[0] == 1.0, "the sum is zero, which any flip reaches"
 
 
+def test_ties_of_flipped_sums_stay_ties_at_size(spark, tmp_path):
+    import hashlib
+
+    n = 400_000  # rows from which the rounding errors of seventeenths have grown beyond the test's tolerance
+    spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), (F.col("id") % 20).cast("string")).alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.arange(n)
+    diff = ids * 7 % 17 - ids * 6 % 17
+    sums = {f"src{c}": int(diff[ids % 20 == c].sum()) for c in range(20)}
+    flipped = [sum(s if int(hashlib.md5(f"42:{i}:{c}".encode()).hexdigest()[:8], 16) % 2 == 0 else -s for c, s in sums.items()) for i in range(1, 201)]
+    want = (1 + sum(abs(t) >= abs(sum(sums.values())) for t in flipped)) / 201
+    assert any(abs(t) == abs(sum(sums.values())) for t in flipped)
+    assert corpus.randomization_test(spark, str(tmp_path)).first()[0] == round(want, 6)
+
+
 def test_digest_trees_advance_and_find_what_changed(spark):
     from tracelode.operators import synthesis as S
 

@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import CONFIG
 
@@ -172,9 +173,13 @@ def cluster_bootstrap(values: DataFrame, cluster: str, value: str, draws: int =
 def randomization_test(pairs: DataFrame, draws: int = CONFIG.bootstrap_draws, seed: int = CONFIG.seed) -> DataFrame:
     """Two-sided sign-flip test of a mean difference (cluster, diff), flipping whole clusters.
 
-    Differences are summed and compared as decimals of 18 digits after the point, so that ties stay ties whatever the order of rows.
+    Whole numbers and decimals are summed and compared exactly, so that ties stay ties whatever the number and order of rows. Doubles are taken
+    as decimals of 18 digits after the point: their sums don't depend on the order of rows, but each difference keeps its own rounding error, which
+    adds up over rows. Where scores are multiples of a unit, give differences in that unit; a p value has none.
     """
-    sums = pairs.groupBy("cluster").agg(F.sum(F.col("diff").cast("decimal(38,18)")).alias("s"))
+    kind = pairs.schema["diff"].dataType
+    diff = F.col("diff").cast("decimal(38,18)") if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else F.col("diff")
+    sums = pairs.groupBy("cluster").agg(F.sum(diff).alias("s"))
     flips = sums.select("cluster", "s", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
     kept = draw(F.col("i"), F.col("cluster"), F.lit(2), seed) == 0
     stats = flips.groupBy("i").agg(F.sum(F.when(kept, F.col("s")).otherwise(-F.col("s"))).alias("t"))
