@@ -182,6 +182,26 @@ def test_texts_are_never_exchanged_once_a_dimension(spark):
                 assert not ("text#" in below and "dimension#" in below) and "prompt" not in below, below
 
 
+def test_arms_differ_in_what_is_read_and_who_reviews(spark, counted):
+    long = "x " + " ".join(f"w{i}" for i in range(3000))
+    texts = {"d0": "x apple pie", "d1": "y apple tart", "d2": "dead end", "d3": "x nothing", "d4": long, "d5": None}
+    blocks = spark.createDataFrame(list(texts.items()), "evidence_id string, text string")
+    got = R.ablation_matrix(R.HybridIndex(blocks), asked(spark, "apple"), 2, "counted", "counted").collect()
+    steps = {arm: {(r["step"], r["pass"]) for r in got if r["arm"] == arm} for arm in {r["arm"] for r in got}}
+    a, ab, all_ = ({(s, n) for s in ("retrieval", "coverage") for n in range(1, m + 1)} for m in (1, 2, 4))
+    assert steps == {"G0": {("direct", 1)}, "G0-budget": {("direct", 1)}, **{g: {("retrieval", 1)} for g in ("G1", "G2", "G3")}, "G4": a, "G5": all_, "G5-round": ab}
+    label = {(r["arm"], r["step"], r["pass"], r["id"]): r["label"] for r in got}
+    assert {r["id"]: r["label"] for r in got if r["arm"] == "G0"} == {"d0": "x", "d1": "y", "d2": None, "d3": "x", "d4": "x", "d5": "Not_Stated_In_Text"}, "every document whole"
+    assert {i for arm, step, _, i in label if step == "coverage"} == {"d0", "d1", "d2", "d3", "d4"} and {i for arm, step, _, i in label if arm == "G3"} == {"d0", "d1"}
+    assert [label[x, "coverage", n, "d1"] for x, n in (("G4", 1), ("G5", 1), ("G5", 2), ("G5", 4), ("G5-round", 2))] == ["y", "y", "z", "z", "z"], "the critic revises"
+    of = {(r["arm"], r["step"], r["id"]): (r["n_windows"], r["state"]) for r in got if r["pass"] == 1}
+    assert of["G4", "coverage", "d4"] == (2, "conflict") and of["G0", "direct", "d4"] == of["G0-budget", "direct", "d4"] == (1, "stated")
+    starts = C.text_starts(blocks, ("evidence_id",)).where("evidence_id = 'd4'").first()
+    assert starts["n_words"] == len(starts["text"].split()) <= 1800 and long.startswith(starts["text"])
+    hashes = {r["arm"]: r["input_hash"] for r in got if r["id"] == "d4" and r["step"] == "direct"}
+    assert hashes["G0"] != hashes["G0-budget"]
+
+
 def test_windows_of_texts_are_those_of_their_blocks(spark):
     want = {(r["doc_id"], r["window_no"], r["n_words"], r["text"]) for r in C.reading_windows(corpus.blocks_of(spark, SF)).collect()}
     made = C.text_windows(corpus.docs_of(spark, SF))
